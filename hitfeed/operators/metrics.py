@@ -10,7 +10,10 @@ class RunMetrics:
     """Named row counters attached to points of a plan.
 
     ``df = metrics.count(df, "kept")`` passes ``df`` through unchanged and counts the rows
-    flowing by; the figures are read with :meth:`result` after the action."""
+    flowing by; the figures are read with :meth:`result` after the action.
+
+    Place counters *above* any global sort: a range sort first runs a sampling pass over
+    its input, and a counter below the sort would see those rows twice."""
 
     def __init__(self):
         self._obs: dict[str, Observation] = {}

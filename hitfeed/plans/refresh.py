@@ -19,14 +19,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from hitfeed.functions.render import csv_safe
 from hitfeed.functions.timebounds import (
     DAY, HOUR, MICROS, catchup_seam, floor_to, hours_ago_bound, strict_seam,
 )
 from hitfeed.operators.hits import explode_policies
-from hitfeed.operators.metrics import RunMetrics
+from hitfeed.operators.ordering import sort_by_start_time
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.schemas import target_columns
 from hitfeed.sinks.csv import write_csv
@@ -53,9 +53,15 @@ def last_seen_hour(snapshot: DataFrame, aligner: int = HOUR) -> int | None:
 
 
 def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, previous: DataFrame, *,
-                 hourly: bool = False, catch_up: bool = False, refilter: bool = False,
-                 metrics: RunMetrics | None = None) -> tuple[DataFrame, int, int]:
-    """The refreshed feed as all-text rows (unordered), with ``(floor, seam)``."""
+                 hourly: bool = False, catch_up: bool = False,
+                 refilter: bool = False) -> tuple[DataFrame, list[str], int, int]:
+    """The refresh as one tagged, all-text frame (unordered) plus ``(columns, floor, seam)``.
+
+    Tags: ``_new`` (fresh hit), ``_in_window`` (old row at or above the floor) and ``_keep``
+    (row belongs to the output).  Old rows are filtered *after* the ordering step, so the
+    run counts can be observed above the range sort: observers below it would also count
+    the rows seen by the sort's sampling pass.
+    """
     if spec.day_range is not None or spec.hours_ago is None:
         raise ValueError("a refresh needs an hours_ago window (day ranges are not refreshed)")
     columns = target_columns(logs.schema, spec.policy_column)
@@ -64,18 +70,21 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
         seam = catchup_seam(floor, last_seen_hour(previous, DAY if spec.full_days else HOUR))
     else:
         seam = strict_seam(now, hourly)
-    m = metrics or RunMetrics()
-    old = m.count(previous.select(*columns), "input")
     hour = _num("hour")
-    in_window = m.count(old.filter(hour >= F.lit(floor)), "in_window")
-    kept = in_window.filter(hour < F.lit(seam))
+    in_window = F.coalesce(hour >= F.lit(floor), F.lit(False))
+    keep = in_window & F.coalesce(hour < F.lit(seam), F.lit(False))
     if refilter:
-        kept = kept.filter(F.col("policy").isin(spec.values))
-    kept = m.count(kept, "kept")
+        keep = keep & F.coalesce(F.col("policy").isin(spec.values), F.lit(False))
+    old = previous.select(*columns, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"))
     lo = max(seam, floor)
     fresh = explode_policies(logs.filter(F.col("hour") >= F.lit(lo)), spec.policy_column, spec.values)
-    fresh = m.count(csv_safe(fresh).select(*columns), "new")
-    return fresh.unionByName(kept), floor, seam
+    fresh = csv_safe(fresh).select(*columns, F.lit(True).alias("_new"), F.lit(True).alias("_in_window"),
+                                   F.lit(True).alias("_keep"))
+    return fresh.unionByName(old), columns, floor, seam
+
+
+def _count_if(cond):
+    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
 def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, output: str, *,
@@ -83,16 +92,27 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
                  hourly: bool = False, catch_up: bool = False, refilter: bool = False,
                  num_partitions: int | None = None, single_file: bool = False,
                  filename: str | None = None) -> RefreshResult:
-    """Find the newest snapshot (or use ``previous``), refresh it and write the new one."""
+    """Find the newest snapshot (or use ``previous``), refresh it and write the new one,
+    ordered by ``start_time``.  Run counts come from the write itself."""
     if previous is None:
         if snapshot_root is None:
             raise ValueError("give previous or snapshot_root")
         previous = latest_snapshot(spark, snapshot_root, prefix)
     columns = target_columns(logs.schema, spec.policy_column)
     prev = read_snapshot(spark, previous, columns)
-    metrics = RunMetrics()
-    out, floor, seam = refresh_plan(spark, logs, spec, now, prev, hourly=hourly, catch_up=catch_up,
-                                    refilter=refilter, metrics=metrics)
-    path = write_csv(out, output, order_by="start_time", num_partitions=num_partitions,
-                     single_file=single_file, filename=filename)
-    return RefreshResult(path, previous, floor, seam, metrics.result())
+    tagged, columns, floor, seam = refresh_plan(spark, logs, spec, now, prev, hourly=hourly,
+                                                catch_up=catch_up, refilter=refilter)
+    ordered = sort_by_start_time(tagged, num_partitions, tiebreak=columns)
+    obs = Observation("refresh")
+    old = ~F.col("_new")
+    ordered = ordered.observe(
+        obs,
+        _count_if(old).alias("input"),
+        _count_if(old & F.col("_in_window")).alias("in_window"),
+        _count_if(old & F.col("_keep")).alias("kept"),
+        _count_if(F.col("_new")).alias("new"),
+    )
+    out = ordered.filter(F.col("_keep")).select(*columns)
+    path = write_csv(out, output, single_file=single_file, filename=filename)
+    metrics = {k: int(v or 0) for k, v in obs.get.items()}
+    return RefreshResult(path, previous, floor, seam, metrics)
