@@ -30,7 +30,9 @@ POLICY_LOG_DDL = (
 
 _POLICY_LOG_SQL = """
 WITH e AS (
-  SELECT *, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS start_time
+  -- epoch microseconds from the wall-clock parts: no time zone is involved
+  SELECT *, unix_date(CAST(ts AS DATE)) * 86400000000L + hour(ts) * 3600000000L
+            + minute(ts) * 60000000L + CAST(date_part('SECOND', ts) * 1000000 AS BIGINT) AS start_time
   FROM {events}
 )
 SELECT event_id, start_time, user_id, event_type,

@@ -67,4 +67,9 @@ def rename_single_output(spark: SparkSession, directory: str, filename: str, *,
         jvm.org.apache.hadoop.fs.FileUtil.copy(fs, parts[0], fs, target, False, conf)
     else:
         fs.rename(parts[0], target)
+    # now a named file, not a multi-part dataset: drop the marker so snapshot discovery
+    # treats each .csv in the directory on its own
+    marker = jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")
+    if fs.exists(marker):
+        fs.delete(marker, False)
     return target.toString()

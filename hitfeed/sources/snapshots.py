@@ -30,16 +30,11 @@ def list_csv(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
                .load(root)
                .select("path", "modificationTime"))
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_path(root) + "/", "")
-    with_rel = listing.withColumn("rel", rel)
     parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
-    markers = (with_rel.filter(F.col("path").endswith("/_SUCCESS"))
-               .select(parent.alias("marked")))
-    csvs = with_rel.filter(F.col("path").endswith(".csv") & F.col("rel").startswith(prefix))
-    # a Spark output directory (has _SUCCESS) is one snapshot; any other .csv stands alone
-    return (csvs.withColumn("parent", parent)
-            .join(F.broadcast(markers.distinct()), F.col("parent") == F.col("marked"), "left")
+    is_part = F.col("path").rlike(r"/part-[0-9]+[^/]*\.csv$")
+    return (listing.filter(F.col("path").endswith(".csv") & rel.startswith(prefix))
             .select("path", "modificationTime",
-                    F.coalesce(F.col("marked"), F.col("path")).alias("snapshot")))
+                    F.when(is_part, parent).otherwise(F.col("path")).alias("snapshot")))
 
 
 def _re_path(p: str) -> str:
