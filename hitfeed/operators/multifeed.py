@@ -2,7 +2,7 @@
 
 The per-feed form scans the source once per feed.  Here the source is scanned once, with
 the union of the feeds' time windows as a partition filter and the union of their policies
-filtered inside the explode; the hits are then equi-joined with a (feed, policy) table on
+used as a row pre-filter before the explode; the hits are then equi-joined with a (feed, policy) table on
 ``policy`` plus each feed's own window as a residual condition.  The result equals the
 union of the per-feed exports, tagged by feed.  Policy lists are de-duplicated per feed
 first: ``IN`` is idempotent, a join is not.
@@ -60,7 +60,15 @@ def feed_rows(feeds: Sequence[Feed], now: int) -> list[tuple]:
 
 
 def feeds_frame(spark: SparkSession, feeds: Sequence[Feed], now: int) -> DataFrame:
-    return spark.createDataFrame(feed_rows(feeds, now), FEED_TABLE_DDL)
+    return _local_table(spark, feed_rows(feeds, now))
+
+
+def _local_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A small literal table built on the JVM side (no Python worker job to produce it)."""
+    names = [c.split()[0] for c in FEED_TABLE_DDL.split(", ")]
+    types = [c.split()[1] for c in FEED_TABLE_DDL.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def feed_table_from_frame(feeds: DataFrame, now: int, delimiter: str = ",") -> DataFrame:
@@ -114,7 +122,7 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
             raise ValueError("no feeds")
         lo = min(r[2] for r in small_rows)
         values = sorted({r[1] for r in small_rows})
-        table = F.broadcast(spark.createDataFrame(small_rows, FEED_TABLE_DDL))
+        table = F.broadcast(_local_table(spark, [tuple(r) for r in small_rows]))
     else:
         lo = table.agg(F.min("min_hour")).first()[0]
         values = None

@@ -77,6 +77,7 @@ ORACLES: dict[str, str] = {
     "explode_duplicates_and_nulls": f"WITH {POLICY_LOG} SELECT event_id, user_id, unnest(parent_policies) AS policy FROM policy_log",
     "policy_hits_prefiltered": hits(f"hour >= {NOW - 168 * H}", ["view", "p0", "p4"]),
     "policy_hits_unnest_then_filter": hits(f"hour >= {NOW - 168 * H}", ["view", "p0", "p4"]),
+    "policy_hits_filter_in_generator": hits(f"hour >= {NOW - 168 * H}", ["view", "p0", "p4"]),
     "policy_list_filter": hits(f"hour >= {NOW - 720 * H}", ["view", " p3", "p1", "click ", "purchase"]),
     "kind_dns": hits(FLAG_WHERE + " AND subscriber NOT LIKE '%.proxy'", FLAG),
     "kind_proxy": hits(FLAG_WHERE + " AND subscriber LIKE '%.proxy'", FLAG),
@@ -100,6 +101,7 @@ ORACLES: dict[str, str] = {
              CAST((s // 1000000 // 86400) * 86400 AS BIGINT) AS last_seen_day FROM m""",
     "refresh_feed_strict": hits_text(FLAG_WHERE, FLAG),
     "refresh_feed_catchup": hits_text(FLAG_WHERE, FLAG),
+    "refresh_hour_table": hits(FLAG_WHERE, FLAG),
     "run_metrics": f"""WITH {hits_from("TRUE", FLAG)}
       SELECT
         CAST(count(*) FILTER (WHERE hour >= {NOW - H - 72 * H} AND start_time < {(NOW - H) * 1_000_000}) AS BIGINT) AS input_rows,

@@ -12,12 +12,13 @@ from hitfeed.operators.multifeed import multi_feed_hits
 from hitfeed.plans.feed import FeedSpec
 
 
-def export_feed(logs: DataFrame, spec: FeedSpec, now: int, *, inside: bool = True,
+def export_feed(logs: DataFrame, spec: FeedSpec, now: int, *, mode: str = "overlap",
                 render: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """Policy hits of one feed.
 
     The window predicate is a literal on the ``hour`` partition column, so it reaches the
-    scan as a partition filter; the policy filter runs inside the explode.  Nested columns
+    scan as a partition filter; ``mode`` picks how the policy list is applied (see
+    :func:`hitfeed.operators.hits.explode_policies`).  Nested columns
     are rendered to text (``render=False`` keeps them typed).  ``columns`` restricts the
     output (column pruning reaches the scan); default: every column in table order.
     """
@@ -25,7 +26,7 @@ def export_feed(logs: DataFrame, spec: FeedSpec, now: int, *, inside: bool = Tru
     if columns is not None:
         keep = [c for c in logs.columns if c in set(columns) | {spec.policy_column}]
         scoped = scoped.select(*keep)
-    hits = explode_policies(scoped, spec.policy_column, spec.values, inside=inside)
+    hits = explode_policies(scoped, spec.policy_column, spec.values, mode=mode)
     return render_nested(hits) if render else hits
 
 

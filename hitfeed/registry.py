@@ -22,6 +22,7 @@ from hitfeed.operators.ordering import with_global_ordinal
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.plans.refresh import last_seen_hour, refresh_feed
+from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
 from hitfeed.plans.sync import sync_partitions
 from hitfeed.schemas import PARTITION_NAMES, struct_from_ddl, target_columns
 from hitfeed.session import scratch_path
@@ -74,14 +75,19 @@ def q_explode_duplicates_and_nulls(spark, sf):
     return explode_policies(policy_log(spark, sf), "parent_policies").select("event_id", "user_id", "policy")
 
 
+WEEK_SPEC = FeedSpec(parent_policies="view,p0,p4", hours_ago=168)
+
+
 def q_policy_hits_prefiltered(spark, sf):
-    spec = FeedSpec(parent_policies="view,p0,p4", hours_ago=168)
-    return export_feed(policy_log(spark, sf), spec, NOW, inside=True)
+    return export_feed(policy_log(spark, sf), WEEK_SPEC, NOW, mode="overlap")
 
 
 def q_policy_hits_unnest_then_filter(spark, sf):
-    spec = FeedSpec(parent_policies="view,p0,p4", hours_ago=168)
-    return export_feed(policy_log(spark, sf), spec, NOW, inside=False)
+    return export_feed(policy_log(spark, sf), WEEK_SPEC, NOW, mode="after")
+
+
+def q_policy_hits_filter_in_generator(spark, sf):
+    return export_feed(policy_log(spark, sf), WEEK_SPEC, NOW, mode="inside")
 
 
 def q_policy_list_filter(spark, sf):
@@ -185,6 +191,17 @@ def q_refresh_feed_catchup(spark, sf):
     return read_snapshot(spark, res.path, HIT_COLUMNS)
 
 
+def q_refresh_hour_table(spark, sf):
+    """Hour table built at now-10h from the source as it stood then, refreshed hourly up to
+    now with one catch-up run and one strict run."""
+    logs = policy_log(spark, sf)
+    path = scratch_path(spark, "hour-table")
+    refresh_hour_table(spark, _as_of(logs, NOW - 10 * HOUR), FLAGSHIP, NOW - 10 * HOUR, path)
+    refresh_hour_table(spark, _as_of(logs, NOW - HOUR), FLAGSHIP, NOW - HOUR, path, hourly=True, catch_up=True)
+    refresh_hour_table(spark, logs, FLAGSHIP, NOW, path, hourly=True)
+    return read_hour_table(spark, path, HIT_COLUMNS)
+
+
 def q_run_metrics(spark, sf):
     res = _refresh(spark, sf, NOW - HOUR, hourly=True)
     m = res.metrics
@@ -277,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "explode_duplicates_and_nulls": q_explode_duplicates_and_nulls,
     "policy_hits_prefiltered": q_policy_hits_prefiltered,
     "policy_hits_unnest_then_filter": q_policy_hits_unnest_then_filter,
+    "policy_hits_filter_in_generator": q_policy_hits_filter_in_generator,
     "policy_list_filter": q_policy_list_filter,
     "kind_dns": _kind("dns"),
     "kind_proxy": _kind("proxy"),
@@ -291,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "last_seen_hour": q_last_seen_hour,
     "refresh_feed_strict": q_refresh_feed_strict,
     "refresh_feed_catchup": q_refresh_feed_catchup,
+    "refresh_hour_table": q_refresh_hour_table,
     "run_metrics": q_run_metrics,
     "csv_roundtrip": q_csv_roundtrip,
     "render_array": q_render_array,

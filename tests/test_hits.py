@@ -36,14 +36,20 @@ def test_duplicates_nulls_empty(spark, small_log):
     assert dup > 0  # duplicate elements give duplicate rows
 
 
-def test_inside_equals_plain(spark, small_log):
+def test_modes_agree(spark, small_log):
     vals = ["view", "p3", "click"]
-    a = render_nested(explode_policies(small_log, "parent_policies", vals, inside=True))
-    b = render_nested(explode_policies(small_log, "parent_policies", vals, inside=False))
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a, b, c = (render_nested(explode_policies(small_log, "parent_policies", vals, mode=m))
+               for m in ("overlap", "after", "inside"))
+    for x, y in ((a, b), (a, c)):
+        assert x.count() == y.count() and x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+    with pytest.raises(ValueError):
+        explode_policies(small_log, "parent_policies", vals, mode="fast")
 
 
-def test_inside_plan(spark, small_log):
-    a = explode_policies(small_log, "parent_policies", ["view"], inside=True)
-    plan = a._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate explode(filter(" in plan
+def test_mode_plans(spark, small_log):
+    inside = explode_policies(small_log, "parent_policies", ["view"], mode="inside")
+    assert "Generate explode(filter(" in inside._jdf.queryExecution().optimizedPlan().toString()
+    overlap = explode_policies(small_log, "parent_policies", ["view"])
+    plan = overlap._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("arrays_overlap") > plan.index("Generate")  # the pre-filter sits below Generate
+    assert "WholeStageCodegen" in overlap._jdf.queryExecution().executedPlan().treeString() or "*(" in plan
