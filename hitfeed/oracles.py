@@ -5,6 +5,16 @@ Bounds are written out with plain arithmetic here, independently of the library
 
 from __future__ import annotations
 
+import hashlib
+
+
+def _pbkdf2(salt: str, ordinal: str, subscriber: str, receiver: str) -> str:
+    return hashlib.pbkdf2_hmac("sha512", (subscriber + receiver).encode(), (salt + ordinal).encode(), 100000).hex()
+
+
+SALT = "example-salt"
+SUBSCRIBERS = [f"sub.{i}{s}" for i in range(3) for s in ("", ".proxy")]
+
 NOW = 1706659200
 H, D = 3600, 86400
 
@@ -138,3 +148,21 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'c' AS feed, * FROM hits WHERE hour >= {((NOW - 720 * H) // D) * D} AND policy IN ('view', 'view', 'click')""",
     "stream_hits_available_now": hits("TRUE", FLAG),
 }
+
+
+_LOC_CASE = " ".join(f"WHEN '{s}' THEN '{_pbkdf2(SALT, '1', s, 'soc@' + s)}'" for s in SUBSCRIBERS)
+ORACLES["feed_locations"] = f"""WITH {POLICY_LOG}
+  SELECT subscriber, 'soc@' || subscriber AS receiver, '1' AS ordinal,
+         CASE subscriber {_LOC_CASE} END AS feed_location
+  FROM (SELECT DISTINCT subscriber FROM policy_log)"""
+
+_FEED_LOC = {n: _pbkdf2(SALT, str(i + 1), f"sub.{i}", f"soc{i}@example.org") for i, n in enumerate("abc")}
+_text_cols = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in HIT_COLS)
+ORACLES["multi_feed_csv"] = f"""WITH {hits_from("TRUE")}, m AS (
+      SELECT 'a' AS feed, * FROM hits WHERE hour >= {((NOW - 72 * H) // D) * D} AND policy IN ('error', 'p3')
+      UNION ALL SELECT 'b' AS feed, * FROM hits WHERE hour >= {((NOW - 1 * H) // D) * D} AND policy IN ('p3')
+      UNION ALL SELECT 'c' AS feed, * FROM hits WHERE hour >= {((NOW - 720 * H) // D) * D} AND policy IN ('view', 'click'))
+  SELECT feed, {_text_cols},
+         CASE feed {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FEED_LOC.items())} END AS feed_location
+  FROM m"""
+ORACLES["saved_view_sql"] = hits(FLAG_WHERE, FLAG)

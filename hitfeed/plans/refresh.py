@@ -75,11 +75,13 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     keep = in_window & F.coalesce(hour < F.lit(seam), F.lit(False))
     if refilter:
         keep = keep & F.coalesce(F.col("policy").isin(spec.values), F.lit(False))
-    old = previous.select(*columns, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"))
+    bad = _num("hour").isNull() | _num("start_time").isNull()
+    old = previous.select(*columns, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"),
+                          bad.alias("_rejected"))
     lo = max(seam, floor)
     fresh = explode_policies(logs.filter(F.col("hour") >= F.lit(lo)), spec.policy_column, spec.values)
     fresh = csv_safe(fresh).select(*columns, F.lit(True).alias("_new"), F.lit(True).alias("_in_window"),
-                                   F.lit(True).alias("_keep"))
+                                   F.lit(True).alias("_keep"), F.lit(False).alias("_rejected"))
     return fresh.unionByName(old), columns, floor, seam
 
 
@@ -91,9 +93,12 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
                  snapshot_root: str | None = None, prefix: str = "", previous: str | None = None,
                  hourly: bool = False, catch_up: bool = False, refilter: bool = False,
                  num_partitions: int | None = None, single_file: bool = False,
-                 filename: str | None = None) -> RefreshResult:
+                 filename: str | None = None, max_records_per_file: int | None = None,
+                 target_dir: str | None = None, keep_original: bool = False) -> RefreshResult:
     """Find the newest snapshot (or use ``previous``), refresh it and write the new one,
-    ordered by ``start_time``.  Run counts come from the write itself."""
+    ordered by ``start_time``.  Run counts come from the write itself: ``input``,
+    ``in_window``, ``kept``, ``new`` and ``rejected`` (old rows whose ``hour`` or
+    ``start_time`` is not a number; they are dropped)."""
     if spec.day_range is not None or spec.hours_ago is None:
         raise ValueError("a refresh needs an hours_ago window (day ranges are not refreshed)")
     if previous is None:
@@ -113,8 +118,11 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
         _count_if(old & F.col("_in_window")).alias("in_window"),
         _count_if(old & F.col("_keep")).alias("kept"),
         _count_if(F.col("_new")).alias("new"),
+        _count_if(F.col("_rejected")).alias("rejected"),
     )
     out = ordered.filter(F.col("_keep")).select(*columns)
-    path = write_csv(out, output, single_file=single_file, filename=filename)
+    path = write_csv(out, output, single_file=single_file, filename=filename,
+                     max_records_per_file=max_records_per_file, target_dir=target_dir,
+                     keep_original=keep_original)
     metrics = {k: int(v or 0) for k, v in obs.get.items()}
     return RefreshResult(path, previous, floor, seam, metrics)

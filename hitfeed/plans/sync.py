@@ -24,9 +24,18 @@ class SyncResult:
 
 
 def sync_partitions(spark: SparkSession, table: str, root: str, kind: str | None = None, *,
-                    chunk: int = 500, with_locations: bool = False) -> SyncResult:
+                    chunk: int = 500, with_locations: bool = False,
+                    lookback_hours: int | None = None, now: int | None = None) -> SyncResult:
+    """Register what is in storage but not in the catalog.  By default all of storage is
+    listed; with ``lookback_hours`` only partitions from ``now - lookback_hours`` on (an
+    hourly run lists a few day directories instead of the whole history)."""
     scratch_root(spark)  # makes sure a checkpoint folder is set
-    stored = stored_partitions(spark, root, kind)
+    since = None
+    if lookback_hours is not None:
+        import time
+        t = int(now if now is not None else time.time())
+        since = t - 3600 * int(lookback_hours)
+    stored = stored_partitions(spark, root, kind, since_hour=since, until=now)
     registered = registered_partitions(spark, table)
     missing = missing_partitions(stored, registered).checkpoint()
     n = add_partitions(spark, table, missing, root if with_locations else None, chunk)

@@ -270,11 +270,50 @@ def q_multi_feed_hits(spark, sf):
     return export_multi(policy_log(spark, sf), FEEDS, NOW)
 
 
+FEED_SALT = "example-salt"
+
+
+def _feed_table(spark, names):
+    """Location inputs of the check feeds (a small config table)."""
+    rows = [(n, f"sub.{i}", f"soc{i}@example.org", str(i + 1)) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "feed string, subscriber string, receiver string, ordinal string")
+
+
+def q_multi_feed_csv(spark, sf):
+    from hitfeed.operators.multifeed import multi_feed_hits
+    from hitfeed.sinks.csv import write_feeds
+    table = _feed_table(spark, [f.name for f in FEEDS])
+    extra = table.select("feed", location_column(FEED_SALT, "ordinal", "subscriber", "receiver").alias("feed_location"))
+    hits = multi_feed_hits(policy_log(spark, sf), FEEDS, NOW, extra=extra)
+    path = write_feeds(hits, scratch_path(spark, "feeds"))
+    cols = ["feed"] + HIT_COLUMNS + ["feed_location"]
+    return read_snapshot(spark, path, cols)
+
+
+def q_saved_view_sql(spark, sf):
+    """The saved-query route: one view per subscriber, a union view over them, and the
+    export written as SQL against the view."""
+    logs = policy_log(spark, sf)
+    tag = scratch_path(spark, "v").rsplit("-", 1)[1]
+    names = []
+    for i in range(3):
+        names.append(f"hitfeed_{tag}_sub{i}")
+        logs.filter(F.col("subscriber").startswith(f"sub.{i}")).createOrReplaceTempView(names[-1])
+    union_view([spark.table(n) for n in names], f"hitfeed_{tag}_all")
+    return spark.sql(f"""
+        SELECT event_id, start_time, user_id, event_type, policy,
+               concat('{{', array_join(transform(map_entries(annotations),
+                      e -> concat(e.key, '=', coalesce(e.value, 'None'))), ', '), '}}') AS annotations,
+               subscriber, year, month, day, hour
+        FROM hitfeed_{tag}_all LATERAL VIEW explode(parent_policies) t AS policy
+        WHERE hour >= {NOW - 72 * HOUR} AND policy IN ('error', 'p3')""")
+
+
 def q_feed_locations(spark, sf):
     subs = policy_log(spark, sf).select("subscriber").distinct()
     feeds = subs.select("subscriber", F.concat(F.lit("soc@"), "subscriber").alias("receiver"),
                         F.lit("1").alias("ordinal"))
-    return feeds.withColumn("feed_location", location_column("example-salt", "ordinal", "subscriber", "receiver"))
+    return feeds.withColumn("feed_location", location_column(FEED_SALT, "ordinal", "subscriber", "receiver"))
 
 
 def q_stream_hits_available_now(spark, sf):
@@ -318,5 +357,7 @@ QUERIES: dict[str, Query] = {
     "hits_ordered": q_hits_ordered,
     "multi_feed_hits": q_multi_feed_hits,
     "feed_locations": q_feed_locations,
+    "multi_feed_csv": q_multi_feed_csv,
+    "saved_view_sql": q_saved_view_sql,
     "stream_hits_available_now": q_stream_hits_available_now,
 }

@@ -11,10 +11,18 @@ one-file form for small feeds (optionally renamed to a stable name).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import random
+import string
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from hitfeed.functions.location import location_hash
 from hitfeed.functions.render import csv_safe
-from hitfeed.operators.ordering import sort_by_start_time
+from hitfeed.operators.ordering import _sort_keys, sort_by_start_time
+
+# Default output directory name, ``<prefix>-<epoch>-<8 chars of [a-z0-9]>``
+DEFAULT_DIR_PREFIX = "PolicyTriggerCSV"
+DEFAULT_DIR_SUFFIX_LEN = 8
 
 CSV_WRITE_OPTIONS = {
     "header": "true",
@@ -29,7 +37,8 @@ CSV_WRITE_OPTIONS = {
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: str | None = None,
               num_partitions: int | None = None, single_file: bool = False,
               max_records_per_file: int | None = None, partition_by: list[str] | None = None,
-              filename: str | None = None, keep_original: bool = False) -> str:
+              filename: str | None = None, keep_original: bool = False,
+              target_dir: str | None = None) -> str:
     """Write ``df`` (rendered to text first) and return the output path."""
     out = csv_safe(df)
     if order_by is not None:
@@ -45,14 +54,16 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: st
     if filename:
         if not single_file:
             raise ValueError("a stable file name needs single_file=True")
-        return rename_single_output(df.sparkSession, path, filename, keep_original=keep_original)
+        return rename_single_output(df.sparkSession, path, filename, keep_original=keep_original,
+                                    target_dir=target_dir)
     return path
 
 
 def rename_single_output(spark: SparkSession, directory: str, filename: str, *,
-                         keep_original: bool = False) -> str:
-    """Give the single part file of ``directory`` a stable name ``directory/filename``
-    (a metadata operation on the driver through the Hadoop FileSystem API)."""
+                         keep_original: bool = False, target_dir: str | None = None) -> str:
+    """Give the single part file of ``directory`` a stable name: ``directory/filename``, or
+    ``target_dir/filename`` to place it elsewhere (a metadata operation on the driver
+    through the Hadoop FileSystem API)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     d = jvm.org.apache.hadoop.fs.Path(directory)
@@ -60,7 +71,8 @@ def rename_single_output(spark: SparkSession, directory: str, filename: str, *,
     parts = [s.getPath() for s in fs.listStatus(d) if s.getPath().getName().startswith("part-")]
     if len(parts) != 1:
         raise RuntimeError(f"expected one part file in {directory}, found {len(parts)}")
-    target = jvm.org.apache.hadoop.fs.Path(d, filename)
+    target = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(target_dir) if target_dir else d, filename)
+    fs.mkdirs(target.getParent())
     if fs.exists(target):
         fs.delete(target, False)
     if keep_original:
@@ -73,3 +85,36 @@ def rename_single_output(spark: SparkSession, directory: str, filename: str, *,
     if fs.exists(marker):
         fs.delete(marker, False)
     return target.toString()
+
+
+def default_output_dir(now: int, rng: random.Random | None = None) -> str:
+    """``PolicyTriggerCSV-<now>-<8 random [a-z0-9]>``."""
+    r = rng or random.SystemRandom()
+    tail = "".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(DEFAULT_DIR_SUFFIX_LEN))
+    return f"{DEFAULT_DIR_PREFIX}-{int(now)}-{tail}"
+
+
+def feed_output_path(base: str, output_dir: str, salt: str, ordinal: str, subscriber: str, receiver: str) -> str:
+    """``<base>/<output_dir>/<location hash>`` of one feed (one hash, on the driver)."""
+    return "/".join([base.rstrip("/"), output_dir.strip("/"), location_hash(salt, ordinal, subscriber, receiver)])
+
+
+def write_feeds(df: DataFrame, path: str, *, by: str = "feed_location", key: str = "start_time",
+                num_partitions: int | None = None, mode: str = "overwrite",
+                max_records_per_file: int | None = None) -> str:
+    """All feeds of a multi-feed result in one write, one directory per feed
+    (``<path>/<by>=<value>/``), each feed's part files in ``start_time`` order.
+
+    Rows are range-partitioned on the sort key (so a feed holding most of the hits is still
+    written by many tasks) and sorted within partitions by ``(by, key, ...)``: that order
+    satisfies the writer's partition-column ordering, so it adds no sort of its own."""
+    text = csv_safe(df)
+    cols = [c for c in text.columns if c != by]
+    keys = _sort_keys(text.select(*cols), key, None)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = text.repartitionByRange(n, *keys).sortWithinPartitions(F.col(by), *keys)
+    w = out.write.mode(mode).options(**CSV_WRITE_OPTIONS).partitionBy(by)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", str(max_records_per_file))
+    w.csv(path)
+    return path

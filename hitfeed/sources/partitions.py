@@ -33,17 +33,51 @@ def _parse(col, pattern: str) -> list:
     return out
 
 
-def stored_partitions(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
-    """Distinct ``(subscriber, year, month, day, hour)`` that hold at least one file."""
+def stored_partitions(spark: SparkSession, root: str, kind: str | None = None, *,
+                      since_hour: int | None = None, until: int | None = None) -> DataFrame:
+    """Distinct ``(subscriber, year, month, day, hour)`` that hold at least one file.
+
+    With ``since_hour`` only the day directories from one day before ``since_hour`` to one
+    day after ``until`` (default: now) are listed, and partitions below ``since_hour`` are
+    dropped: an hourly sync then lists O(new days), not the whole history.  This relies on
+    ``year/month/day`` agreeing with ``hour`` to within a day."""
+    paths = [root] if since_hour is None else _day_dirs(spark, root, since_hour, until)
+    schema = ", ".join(f"{n} {t}" for n, t in PARTITION_COLUMNS)
+    if not paths:
+        return spark.createDataFrame([], schema)
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
-             .load(root)
+             .load(paths)
              .select("path"))
     keyed = files.filter(F.col("path").rlike(_PATH_PATTERN)).select(*_parse(F.col("path"), _PATH_PATTERN))
+    if since_hour is not None:
+        keyed = keyed.filter(F.col("hour") >= F.lit(int(since_hour)))
     parts = keyed.distinct()
     return split_kind(parts, kind) if kind else parts
 
 
+def _day_dirs(spark: SparkSession, root: str, since_hour: int, until: int | None) -> list[str]:
+    """Existing ``subscriber=*/year=/month=/day=`` directories of the listed days (one glob
+    call per day, on the driver: a handful of metadata requests)."""
+    import time
+    from datetime import datetime, timedelta, timezone
+
+    end = int(until if until is not None else time.time())
+    day = datetime.fromtimestamp(int(since_hour), timezone.utc).date() - timedelta(days=1)
+    last = datetime.fromtimestamp(end, timezone.utc).date() + timedelta(days=1)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    out = []
+    while day <= last:
+        pattern = f"{root.rstrip('/')}/subscriber=*/year={day.year}/month={day.month}/day={day.day}"
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
+        out += [st.getPath().toString() for st in (found or []) if st.isDirectory()]
+        day += timedelta(days=1)
+    return out
+
+
 def registered_partitions(spark: SparkSession, table: str) -> DataFrame:
     """The catalog's partitions of ``table`` as typed columns."""
     shown = spark.sql(f"SHOW PARTITIONS {table}")

@@ -45,6 +45,6 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and "policy" in df.columns
     q, o = e.queries(), e.oracle_sql()
-    assert set(o) <= set(q) and set(q) - set(o) == {"feed_locations"}
+    assert set(o) == set(q)
     assert not any(k.startswith("op") or "pipeline" in k for k in q)
     assert os.path.exists(os.path.join(os.path.dirname(e.__file__), "bench.py"))

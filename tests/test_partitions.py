@@ -69,3 +69,16 @@ def test_spec_literals():
                                        "hour=1611082800)")
     assert partition_spec_sql(row, "/r/").endswith(
         "LOCATION '/r/subscriber=it\\'s/year=2021/month=1/day=19/hour=1611082800'")
+
+
+def test_incremental_listing(spark, few_days):
+    from hitfeed.fixtures import NOW
+    log, root = few_days
+    since = NOW - 30 * 3600  # 2024-01-29 18:00
+    recent = stored_partitions(spark, root, since_hour=since, until=NOW)
+    want = log.filter(F.col("hour") >= since).select(*KEYS).distinct()
+    assert recent.count() == want.count() and recent.exceptAll(want).count() == 0
+    assert stored_partitions(spark, root, since_hour=NOW + 10 * 86400, until=NOW + 11 * 86400).count() == 0
+    name = _new_table(spark, log, root)
+    res = sync_partitions(spark, name, root, lookback_hours=30, now=NOW)
+    assert res.count == want.count()
