@@ -60,7 +60,8 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     Tags: ``_new`` (fresh hit), ``_in_window`` (old row at or above the floor) and ``_keep``
     (row belongs to the output).  Old rows are filtered *after* the ordering step, so the
     run counts can be observed above the range sort: observers below it would also count
-    the rows seen by the sort's sampling pass.
+    the rows seen by the sort's sampling pass.  Old rows that are dropped carry only their
+    ``start_time`` through the shuffle.
     """
     if spec.day_range is not None or spec.hours_ago is None:
         raise ValueError("a refresh needs an hours_ago window (day ranges are not refreshed)")
@@ -76,7 +77,10 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     if refilter:
         keep = keep & F.coalesce(F.col("policy").isin(spec.values), F.lit(False))
     bad = _num("hour").isNull() | _num("start_time").isNull()
-    old = previous.select(*columns, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"),
+    # rows that only need counting keep just their sort key: they cross the range
+    # shuffle at a few bytes each instead of with the whole row
+    slim = [F.col(c) if c == "start_time" else F.when(keep, F.col(c)).alias(c) for c in columns]
+    old = previous.select(*slim, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"),
                           bad.alias("_rejected"))
     lo = max(seam, floor)
     fresh = explode_policies(logs.filter(F.col("hour") >= F.lit(lo)), spec.policy_column, spec.values)
