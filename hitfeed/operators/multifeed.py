@@ -141,6 +141,7 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
     joined = hits.join(f, cond, "inner")
     out = joined.select(F.col("_f_feed").alias("feed"), *[hits[c] for c in hits.columns])
     if extra is not None:
-        # one row per feed (bounded by the feed list): broadcast
-        out = out.join(F.broadcast(extra), "feed", "left")
+        # meant to hold one row per feed: broadcast only once that bound is checked
+        small = extra.limit(broadcast_limit + 1).count() <= broadcast_limit
+        out = out.join(F.broadcast(extra) if small else extra, "feed", "left")
     return out

@@ -103,6 +103,7 @@ ORACLES: dict[str, str] = {
     "stored_partitions": f"WITH {POLICY_LOG} SELECT DISTINCT subscriber, year, month, day, hour FROM policy_log",
     "missing_partitions": f"WITH {POLICY_LOG} SELECT DISTINCT subscriber, year, month, day, hour FROM policy_log WHERE hour >= 1706400000",
     "sync_partitions": f"WITH {POLICY_LOG} SELECT DISTINCT subscriber, year, month, day, hour FROM policy_log WHERE subscriber NOT LIKE '%.proxy'",
+    "catalog_table_export": hits(FLAG_WHERE, FLAG),
     "latest_snapshot_rows": hits_text(FLAG_WHERE, FLAG),
     "retained_snapshot": hits_text(_prev_where(NOW - H), FLAG, f"hour >= {NOW - 48 * H}"),
     "seam_snapshot": hits_text(_prev_where(NOW - H), FLAG, f"hour < {NOW - 24 * H}"),

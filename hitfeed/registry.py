@@ -27,7 +27,7 @@ from hitfeed.plans.sync import sync_partitions
 from hitfeed.schemas import PARTITION_NAMES, struct_from_ddl, target_columns
 from hitfeed.session import scratch_path
 from hitfeed.sinks.csv import write_csv
-from hitfeed.sources.logs import read_logs, source_names, union_view
+from hitfeed.sources.logs import read_logs, read_table, source_names, union_view
 from hitfeed.sources.partitions import (
     add_partitions, create_log_table, missing_partitions, registered_partitions, stored_partitions,
 )
@@ -140,6 +140,14 @@ def q_sync_partitions(spark, sf):
     return registered_partitions(spark, name)
 
 
+def q_catalog_table_export(spark, sf):
+    """Flagship export read through a catalog table whose partitions were registered in two
+    steps (seeded, then synced): partition pruning happens in the catalog."""
+    name, root = _seeded_table(spark, sf)
+    sync_partitions(spark, name, root)
+    return export_feed(read_table(spark, name), FLAGSHIP, NOW)
+
+
 def q_latest_snapshot_rows(spark, sf):
     logs = policy_log(spark, sf)
     root = scratch_path(spark, "snapshots")
@@ -342,6 +350,7 @@ QUERIES: dict[str, Query] = {
     "stored_partitions": q_stored_partitions,
     "missing_partitions": q_missing_partitions,
     "sync_partitions": q_sync_partitions,
+    "catalog_table_export": q_catalog_table_export,
     "latest_snapshot_rows": q_latest_snapshot_rows,
     "retained_snapshot": q_retained_snapshot,
     "seam_snapshot": q_seam_snapshot,

@@ -40,6 +40,15 @@ def read_proxy(spark: SparkSession, root: str) -> DataFrame:
     return read_logs(spark, root, schema_for("proxy"), "proxy")
 
 
+def read_table(spark: SparkSession, table: str, kind: str | None = None) -> DataFrame:
+    """A catalog table over the log root.  Only registered partitions are visible and the
+    window and kind predicates prune them in the catalog (no storage listing).  The kind
+    split is applied whatever is registered: a repair of the shared root also registers
+    the other kind's directories."""
+    df = spark.table(table)
+    return split_kind(df, kind) if kind else df
+
+
 def union_view(frames: Sequence[DataFrame], name: str | None = None) -> DataFrame:
     """UNION ALL over per-subscriber tables, by column name (not position).  All inputs must
     have the same columns and types; a mismatch is an error, not a silent shift."""
