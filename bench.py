@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from hitfeed.fixtures import NOW, policy_log  # noqa: E402
-from hitfeed.functions.render import csv_safe, render_nested  # noqa: E402
+from hitfeed.functions.render import csv_safe  # noqa: E402
 from hitfeed.operators.hits import explode_policies  # noqa: E402
 from hitfeed.plans.export import export_feed, export_multi  # noqa: E402
 from hitfeed.plans.feed import FeedSpec  # noqa: E402

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hitfeed import fixtures
 from hitfeed.fixtures import NOW, policy_log, partitioned_copy, table
 from hitfeed.functions.location import location_column
-from hitfeed.functions.render import csv_safe, render_column, render_nested
+from hitfeed.functions.render import render_column, render_nested
 from hitfeed.functions.timebounds import HOUR, MICROS, DAY, hours_ago_bound, strict_seam
 from hitfeed.operators.hits import explode_policies
 from hitfeed.operators.multifeed import Feed
@@ -24,7 +24,7 @@ from hitfeed.plans.feed import FeedSpec
 from hitfeed.plans.refresh import last_seen_hour, refresh_feed
 from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
 from hitfeed.plans.sync import sync_partitions
-from hitfeed.schemas import PARTITION_NAMES, struct_from_ddl, target_columns
+from hitfeed.schemas import struct_from_ddl
 from hitfeed.session import scratch_path
 from hitfeed.sinks.csv import write_csv
 from hitfeed.sources.logs import read_logs, read_table, source_names, union_view
