@@ -23,6 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from hitfeed.fixtures import NOW, policy_log  # noqa: E402
 from hitfeed.functions.render import csv_safe  # noqa: E402
 from hitfeed.operators.hits import explode_policies  # noqa: E402
+from hitfeed.operators.multifeed import Feed  # noqa: E402
 from hitfeed.plans.export import export_feed, export_multi  # noqa: E402
 from hitfeed.plans.feed import FeedSpec  # noqa: E402
 from hitfeed.plans.refresh import refresh_feed  # noqa: E402
@@ -35,6 +36,10 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 REPS = int(os.environ.get("BENCH_REPS", "3"))
 
 
+SAME_WINDOW = [Feed(n, FeedSpec(parent_policies=p, hours_ago=720, full_days=True))
+               for n, p in (("a", "error,p3"), ("b", "p1,signup"), ("c", "view,click"))]
+
+
 def noop(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -61,6 +66,8 @@ def main():
         "export_filter_in_generator": lambda: noop(export_feed(log, wide, NOW, mode="inside")),
         "multi_feed_one_pass": lambda: noop(export_multi(log, FEEDS, NOW)),
         "multi_feed_pass_per_feed": lambda: [noop(export_feed(log, f.spec, NOW)) for f in FEEDS],
+        "multi_feed_same_window_one_pass": lambda: noop(export_multi(log, SAME_WINDOW, NOW)),
+        "multi_feed_same_window_per_feed": lambda: [noop(export_feed(log, f.spec, NOW)) for f in SAME_WINDOW],
         "feed_full_recompute_csv": lambda: write_csv(export_feed(log, wide, NOW), scratch_path(spark, "b"),
                                                      order_by="start_time"),
         "feed_refresh_csv": lambda: refresh_feed(spark, log, wide, NOW, scratch_path(spark, "b"), previous=prev,
