@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hitfeed.session import scratch_root
 from hitfeed.sources.partitions import (
-    add_partitions, missing_partitions, registered_partitions, stored_partitions,
+    add_partitions, missing_partitions, registered_partitions, stored_partitions, window_days,
 )
 
 
@@ -36,7 +36,7 @@ def sync_partitions(spark: SparkSession, table: str, root: str, kind: str | None
         t = int(now if now is not None else time.time())
         since = t - 3600 * int(lookback_hours)
     stored = stored_partitions(spark, root, kind, since_hour=since, until=now)
-    registered = registered_partitions(spark, table)
+    registered = registered_partitions(spark, table, None if since is None else window_days(since, now))
     missing = missing_partitions(stored, registered).checkpoint()
     n = add_partitions(spark, table, missing, root if with_locations else None, chunk)
     return SyncResult(missing, n)

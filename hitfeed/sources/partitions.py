@@ -59,31 +59,51 @@ def stored_partitions(spark: SparkSession, root: str, kind: str | None = None, *
 def _day_dirs(spark: SparkSession, root: str, since_hour: int, until: int | None) -> list[str]:
     """Existing ``subscriber=*/year=/month=/day=`` directories of the listed days (one glob
     call per day, on the driver: a handful of metadata requests)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    out = []
+    for y, m, d in window_days(since_hour, until):
+        pattern = f"{root.rstrip('/')}/subscriber=*/year={y}/month={m}/day={d}"
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
+        out += [st.getPath().toString() for st in (found or []) if st.isDirectory()]
+    return out
+
+
+def registered_partitions(spark: SparkSession, table: str, days=None) -> DataFrame:
+    """The catalog's partitions of ``table`` as typed columns; with ``days`` (an iterable of
+    ``(year, month, day)``) only those days are asked for, one partial-spec
+    ``SHOW PARTITIONS`` each, so an incremental sync does not pull the whole list."""
+    if days is None:
+        shown = spark.sql(f"SHOW PARTITIONS {table}")
+    else:
+        specs = [f"SHOW PARTITIONS {table} PARTITION (year={int(y)}, month={int(m)}, day={int(d)})"
+                 for y, m, d in sorted(set(days))]
+        if not specs:
+            return spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in PARTITION_COLUMNS))
+        frames = [spark.sql(s) for s in specs]
+        shown = frames[0]
+        for f in frames[1:]:
+            shown = shown.unionByName(f)
+    return shown.select(*_parse(F.col("partition"), _SPEC_PATTERN))
+
+
+def window_days(since_hour: int, until: int | None = None) -> list[tuple[int, int, int]]:
+    """``(year, month, day)`` from one day before ``since_hour`` to one day after ``until``
+    (default: now), UTC."""
     import time
     from datetime import datetime, timedelta, timezone
 
     end = int(until if until is not None else time.time())
     day = datetime.fromtimestamp(int(since_hour), timezone.utc).date() - timedelta(days=1)
     last = datetime.fromtimestamp(end, timezone.utc).date() + timedelta(days=1)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
     out = []
     while day <= last:
-        pattern = f"{root.rstrip('/')}/subscriber=*/year={day.year}/month={day.month}/day={day.day}"
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
-        out += [st.getPath().toString() for st in (found or []) if st.isDirectory()]
+        out.append((day.year, day.month, day.day))
         day += timedelta(days=1)
     return out
 
 
-def registered_partitions(spark: SparkSession, table: str) -> DataFrame:
-    """The catalog's partitions of ``table`` as typed columns."""
-    shown = spark.sql(f"SHOW PARTITIONS {table}")
-    return shown.select(*_parse(F.col("partition"), _SPEC_PATTERN))
-
-
 def missing_partitions(stored: DataFrame, registered: DataFrame) -> DataFrame:
     """Set difference stored - registered (both keyed by the five partition columns)."""
     return stored.join(registered, PARTITION_NAMES, "left_anti")

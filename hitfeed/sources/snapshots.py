@@ -25,9 +25,11 @@ def list_csv(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """``(path, modificationTime, snapshot)`` of every ``.csv`` below ``root`` whose path
     relative to ``root`` starts with ``prefix`` (a directory, a partial name, or both)."""
     root = root.rstrip("/")
+    # list only below the prefix's directory part, not the whole root
+    base = root + "/" + prefix.rsplit("/", 1)[0] if "/" in prefix else root
     listing = (spark.read.format("binaryFile")
                .option("recursiveFileLookup", "true")
-               .load(root)
+               .load(base)
                .select("path", "modificationTime"))
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_path(root) + "/", "")
     parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
@@ -44,9 +46,13 @@ def _re_path(p: str) -> str:
 
 def latest_snapshot(spark: SparkSession, root: str, prefix: str = "") -> str:
     """Path of the newest snapshot (a file, or a Spark output directory)."""
-    row = (list_csv(spark, root, prefix)
-           .agg(F.max_by("snapshot", F.struct("modificationTime", "path")).alias("snapshot"))
-           .first())
+    try:
+        listing = list_csv(spark, root, prefix)
+    except Exception as e:  # the prefix's directory does not exist
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            raise FileNotFoundError(f"no .csv snapshot under {root!r} with prefix {prefix!r}") from None
+        raise
+    row = listing.agg(F.max_by("snapshot", F.struct("modificationTime", "path")).alias("snapshot")).first()
     if row is None or row["snapshot"] is None:
         raise FileNotFoundError(f"no .csv snapshot under {root!r} with prefix {prefix!r}")
     return row["snapshot"]

@@ -66,3 +66,15 @@ def test_quoting(spark):
     path = write_csv(spark.createDataFrame([("a", 1)], "s string, n int"), scratch_path(spark, "q"), single_file=True)
     text = spark.read.text(path).collect()
     assert [r[0] for r in text] == ['"s","n"', '"a","1"']
+
+
+def test_prefix_directory_listing(spark):
+    root = scratch_path(spark, "deep")
+    df = spark.range(2).selectExpr("CAST(id AS STRING) AS v")
+    write_csv(df, f"{root}/csv/feed-a/run-1")
+    time.sleep(0.05)
+    write_csv(df, f"{root}/csv/feed-b/run-1")
+    assert latest_snapshot(spark, root, "csv/feed-a").endswith("/csv/feed-a/run-1")
+    assert latest_snapshot(spark, root, "csv/feed").endswith("/csv/feed-b/run-1")
+    with pytest.raises(FileNotFoundError):
+        latest_snapshot(spark, root, "missing/dir/x")
