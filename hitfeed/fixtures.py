@@ -74,6 +74,10 @@ def partitioned_copy(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    # cluster rows by partition so each hour directory gets one file per writing task
-    (df.repartition(*PARTITION_NAMES)
+    """Each hour directory gets one file.  The partition count is explicit: with
+    ``repartition(*cols)`` alone AQE coalesces a small shuffle into very few tasks, and one
+    task would then create thousands of directories serially (75 s instead of 20 s for the
+    3,887 partitions of sf0.01 here)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(n, *PARTITION_NAMES)
        .write.mode(mode).partitionBy(*PARTITION_NAMES).parquet(path))
