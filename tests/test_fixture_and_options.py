@@ -1,0 +1,49 @@
+"""The fixture's published check value, refilter, and the observe counters."""
+
+from pyspark.sql import functions as F
+
+from conftest import SF_CHECK
+from hitfeed.fixtures import NOW, policy_log
+from hitfeed.operators.hits import explode_policies
+from hitfeed.operators.metrics import RunMetrics
+from hitfeed.plans.export import export_feed
+from hitfeed.plans.feed import FeedSpec
+from hitfeed.plans.refresh import refresh_feed
+from hitfeed.session import scratch_path
+from hitfeed.sinks.csv import write_csv
+from hitfeed.sources.snapshots import read_snapshot
+
+
+def test_fixture_check_value(spark):
+    # FIXTURES.md §2: hour >= 1706572800, exploded, policy in (error, p3) -> 121 rows at sf0.01
+    log = policy_log(spark, SF_CHECK)
+    assert log.count() == 10000
+    got = explode_policies(log.filter(F.col("hour") >= 1706572800), "parent_policies", ["error", "p3"])
+    assert got.count() == 121
+
+
+def test_refilter_drops_old_rows_of_removed_policies(spark, small_log):
+    old_spec = FeedSpec(parent_policies="error,view", hours_ago=48)
+    new_spec = FeedSpec(parent_policies="error", hours_ago=48)
+    prev = write_csv(export_feed(small_log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), old_spec,
+                                 NOW - 3600), scratch_path(spark, "prev"))
+    cols = ["event_id", "start_time", "user_id", "event_type", "policy", "annotations",
+            "subscriber", "year", "month", "day", "hour"]
+    kept = refresh_feed(spark, small_log, new_spec, NOW, scratch_path(spark, "o"), previous=prev, hourly=True)
+    refiltered = refresh_feed(spark, small_log, new_spec, NOW, scratch_path(spark, "o"), previous=prev, hourly=True,
+                              refilter=True)
+    a = read_snapshot(spark, kept.path, cols)
+    b = read_snapshot(spark, refiltered.path, cols)
+    assert a.filter("policy = 'view'").count() > 0          # default: old rows are kept as they were
+    assert b.filter("policy = 'view'").count() == 0
+    assert b.count() == export_feed(small_log, new_spec, NOW).count()
+
+
+def test_run_metrics_counters(spark, small_log):
+    m = RunMetrics()
+    df = m.count(small_log, "input")
+    df = m.count(df.filter("parent_policies IS NOT NULL"), "with_policies")
+    df.write.format("noop").mode("overwrite").save()
+    r = m.result()
+    assert r["input"] == small_log.count()
+    assert r["with_policies"] == small_log.filter("parent_policies IS NOT NULL").count()
