@@ -72,16 +72,20 @@ def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now
           .option("partitionOverwriteMode", "dynamic")
           .partitionBy("hour")
           .parquet(path))
-    # retention: whole hour directories below the floor
-    jvm_fs = None
+    dropped = drop_hours_below(spark, path, floor)
+    return HourTableResult(path, floor, seam, lo, dropped)
+
+
+def drop_hours_below(spark: SparkSession, path: str, floor: int) -> list[int]:
+    """Retention: delete whole ``hour=`` directories below ``floor`` (metadata operations,
+    one listing of the table root).  Returns the dropped hours."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = []
     for h, p in sorted(_hour_dirs(spark, path).items()):
         if h < floor:
-            if jvm_fs is None:
-                jvm_fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            jvm_fs.delete(p, True)
+            p.getFileSystem(conf).delete(p, True)
             dropped.append(h)
-    return HourTableResult(path, floor, seam, lo, dropped)
+    return dropped
 
 
 def read_hour_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,3 @@
-from hitfeed.streaming.hits_stream import stream_hits
+from hitfeed.streaming.hits_stream import hits_schema, read_hits, stream_hits
 
-__all__ = ["stream_hits"]
+__all__ = ["hits_schema", "read_hits", "stream_hits"]

@@ -3,8 +3,12 @@
 New log files under the root -> explode + policy filter (stateless) -> appended to an
 ``hour``-partitioned hit table.  The checkpoint remembers which files were processed, so a
 re-run with no new files adds nothing; ``availableNow`` processes everything new and stops,
-which suits a scheduled run.  Nothing is stateful, so no watermark is needed; retention is
-a batch delete of whole ``hour`` partitions of the output.
+which suits a scheduled run.  Nothing is stateful, so no watermark is needed.
+
+Retention is a batch delete of whole ``hour`` directories of the output
+(:func:`hitfeed.plans.hour_table.drop_hours_below`).  The file sink keeps a log of the files
+it wrote; :func:`read_hits` always filters ``hour >= floor``, which prunes the deleted hours
+out of that file list before any file is opened.
 """
 
 from __future__ import annotations
@@ -38,3 +42,21 @@ def stream_hits(spark: SparkSession, root: str, schema: T.StructType, spec: Feed
     elif available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(output)
+
+
+def hits_schema(spark: SparkSession, source_schema: T.StructType, policy_column: str) -> T.StructType:
+    """Schema of the stream's output, ``hour`` last (it is the directory column): the
+    stream's own transformation applied to an empty frame."""
+    empty = spark.createDataFrame([], source_schema)
+    s = render_nested(explode_policies(empty, policy_column)).schema
+    return T.StructType([f for f in s.fields if f.name != "hour"] + [s["hour"]])
+
+
+def read_hits(spark: SparkSession, output: str, schema: T.StructType, floor: int | None = None):
+    """The stream's hit table; with ``floor``, only hours at or above it.  The schema is
+    given, so no file is opened to infer it, and the ``hour`` filter prunes the sink's file
+    list: hours removed by retention are never touched."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.schema(schema).parquet(output)
+    return df if floor is None else df.filter(F.col("hour") >= F.lit(int(floor)))

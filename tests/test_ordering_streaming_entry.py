@@ -48,3 +48,25 @@ def test_entry_contract(spark):
     assert set(o) == set(q)
     assert not any(k.startswith("op") or "pipeline" in k for k in q)
     assert os.path.exists(os.path.join(os.path.dirname(e.__file__), "bench.py"))
+
+
+def test_stream_retention(spark, small_log):
+    from hitfeed.plans.hour_table import drop_hours_below
+    from hitfeed.streaming.hits_stream import hits_schema, read_hits
+    schema = struct_from_ddl(POLICY_LOG_DDL)
+    root, out, ckpt = (scratch_path(spark, n) for n in ("src", "out", "ckpt"))
+    spec = FeedSpec(parent_policies="error,p3", hours_ago=0)
+    write_partitioned(small_log.filter("day IN (28, 29)"), root)
+    stream_hits(spark, root, schema, spec, out, ckpt).awaitTermination()
+    floor = 1706486400  # 2024-01-29 00:00: drop day 28
+    dropped = drop_hours_below(spark, out, floor)
+    assert dropped and max(dropped) < floor
+    out_schema = hits_schema(spark, schema, "parent_policies")
+    got = read_hits(spark, out, out_schema, floor)
+    want = export_feed(small_log.filter("day = 29"), FeedSpec(parent_policies="error,p3", hours_ago=720), NOW)
+    assert got.count() == want.count()
+    # the stream keeps going after retention
+    write_partitioned(small_log.filter("day = 30"), root, mode="append")
+    stream_hits(spark, root, schema, spec, out, ckpt).awaitTermination()
+    assert read_hits(spark, out, out_schema, floor).count() == want.count() + export_feed(
+        small_log.filter("day = 30"), FeedSpec(parent_policies="error,p3", hours_ago=720), NOW).count()
