@@ -32,7 +32,7 @@ from hitfeed.sources.partitions import (
     add_partitions, create_log_table, missing_partitions, registered_partitions, stored_partitions,
 )
 from hitfeed.sources.snapshots import latest_snapshot, read_snapshot
-from hitfeed.streaming.hits_stream import stream_hits
+from hitfeed.streaming.hits_stream import hits_schema, read_hits, stream_hits
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -331,7 +331,7 @@ def q_stream_hits_available_now(spark, sf):
     for _ in range(2):  # the second run finds no new files and adds nothing
         q = stream_hits(spark, root, _log_schema(), spec, out, ckpt)
         q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_hits(spark, out, hits_schema(spark, _log_schema(), "parent_policies"))
 
 
 QUERIES: dict[str, Query] = {
