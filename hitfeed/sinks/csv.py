@@ -105,14 +105,17 @@ def write_feeds(df: DataFrame, path: str, *, by: str = "feed_location", key: str
     """All feeds of a multi-feed result in one write, one directory per feed
     (``<path>/<by>=<value>/``), each feed's part files in ``start_time`` order.
 
-    Rows are range-partitioned on the sort key (so a feed holding most of the hits is still
-    written by many tasks) and sorted within partitions by ``(by, key, ...)``: that order
-    satisfies the writer's partition-column ordering, so it adds no sort of its own."""
+    Rows are range-partitioned on ``(by, key, ...)``: each task holds a contiguous run of
+    one feed (or the end of one and the start of the next), so the write makes about
+    ``n + feeds`` files instead of ``n * feeds``, while a feed holding most of the hits is
+    still split over many tasks by the range sampler.  Sorting within partitions on the
+    same keys satisfies the writer's partition-column ordering, so it adds no sort."""
     text = csv_safe(df)
     cols = [c for c in text.columns if c != by]
     keys = _sort_keys(text.select(*cols), key, None)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = text.repartitionByRange(n, *keys).sortWithinPartitions(F.col(by), *keys)
+    ordered = [F.col(by).asc_nulls_last(), *keys]
+    out = text.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
     w = out.write.mode(mode).options(**CSV_WRITE_OPTIONS).partitionBy(by)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", str(max_records_per_file))

@@ -60,3 +60,13 @@ def test_refresh_counts_rejects(spark, small_log):
     prev = write_csv(bad, scratch_path(spark, "bad"))
     res = refresh_feed(spark, small_log, spec, NOW, scratch_path(spark, "out"), previous=prev, hourly=True)
     assert res.metrics["rejected"] == 1 and res.metrics["kept"] == 0 and res.metrics["input"] == 1
+
+
+def test_write_feeds_file_count(spark, small_log):
+    feeds = [Feed(f"f{i}", FeedSpec(parent_policies=p, hours_ago=720))
+             for i, p in enumerate(["view", "error", "click", "p1", "p2", "p3"])]
+    extra = spark.createDataFrame([(f.name, f"L{f.name}") for f in feeds], "feed string, feed_location string")
+    hits = multi_feed_hits(small_log, feeds, NOW, extra=extra)
+    path = write_feeds(hits, scratch_path(spark, "feeds"), num_partitions=8)
+    files = spark.read.option("header", True).csv(path).select(F.input_file_name()).distinct().count()
+    assert files <= 8 + len(feeds)  # contiguous feed ranges, not one file per feed per task
