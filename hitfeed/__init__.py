@@ -15,6 +15,7 @@ from hitfeed.plans.feed import FeedSpec
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.refresh import refresh_feed, RefreshResult
 from hitfeed.plans.sync import sync_partitions
+from hitfeed.plans.jobs import FeedTarget, export_job, refresh_job
 from hitfeed.session import build_session, scratch_path
 
 __all__ = [
@@ -24,6 +25,9 @@ __all__ = [
     "refresh_feed",
     "RefreshResult",
     "sync_partitions",
+    "FeedTarget",
+    "export_job",
+    "refresh_job",
     "build_session",
     "scratch_path",
 ]
