@@ -167,3 +167,4 @@ ORACLES["multi_feed_csv"] = f"""WITH {hits_from("TRUE")}, m AS (
          CASE feed {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FEED_LOC.items())} END AS feed_location
   FROM m"""
 ORACLES["saved_view_sql"] = hits(FLAG_WHERE, FLAG)
+ORACLES["feed_export_job"] = hits_text(FLAG_WHERE, FLAG)

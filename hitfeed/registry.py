@@ -317,6 +317,16 @@ def q_saved_view_sql(spark, sf):
         WHERE hour >= {NOW - 72 * HOUR} AND policy IN ('error', 'p3')""")
 
 
+def q_feed_export_job(spark, sf):
+    """Job A end to end: one feed written as a single file with a stable name below its
+    hashed location, read back."""
+    from hitfeed.plans.jobs import FeedTarget, export_job
+    target = FeedTarget(scratch_path(spark, "job"), FEED_SALT, "1", "sub.0", "soc0@example.org",
+                        output_dir="csv", output_filename="LatestTriggers.csv")
+    path = export_job(spark, policy_log(spark, sf), FLAGSHIP, target, now=NOW, order_by="start_time")
+    return read_snapshot(spark, path, HIT_COLUMNS)
+
+
 def q_feed_locations(spark, sf):
     subs = policy_log(spark, sf).select("subscriber").distinct()
     feeds = subs.select("subscriber", F.concat(F.lit("soc@"), "subscriber").alias("receiver"),
@@ -366,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "hits_ordered": q_hits_ordered,
     "multi_feed_hits": q_multi_feed_hits,
     "feed_locations": q_feed_locations,
+    "feed_export_job": q_feed_export_job,
     "multi_feed_csv": q_multi_feed_csv,
     "saved_view_sql": q_saved_view_sql,
     "stream_hits_available_now": q_stream_hits_available_now,
