@@ -25,11 +25,17 @@ _PATH_PATTERN = r"subscriber=([^/]+)/year=(-?\d+)/month=(-?\d+)/day=(-?\d+)/hour
 _SPEC_PATTERN = r"^subscriber=([^/]+)/year=(-?\d+)/month=(-?\d+)/day=(-?\d+)/hour=(-?\d+)$"
 
 
+def _unescape(c):
+    """Partition directory names percent-escape special characters (``:`` -> ``%3A``,
+    ``%`` -> ``%25``) but leave ``+`` as is: protect ``+`` before decoding."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def _parse(col, pattern: str) -> list:
     out = []
     for i, (name, typ) in enumerate(PARTITION_COLUMNS, 1):
         v = F.regexp_extract(col, pattern, i)
-        out.append((v.cast(typ) if typ != "string" else v).alias(name))
+        out.append((v.cast(typ) if typ != "string" else _unescape(v)).alias(name))
     return out
 
 

@@ -82,3 +82,20 @@ def test_incremental_listing(spark, few_days):
     name = _new_table(spark, log, root)
     res = sync_partitions(spark, name, root, lookback_hours=30, now=NOW)
     assert res.count == want.count()
+
+
+def test_escaped_partition_values(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType.fromDDL("v int, subscriber string, year int, month int, day int, hour int")
+    df = spark.createDataFrame([(1, "sub:a=b+c%", 2024, 1, 2, 1704160800), (2, "plain", 2024, 1, 2, 1704160800)],
+                               schema)
+    root = scratch_path(spark, "esc")
+    write_partitioned(df, root)
+    got = {r["subscriber"] for r in stored_partitions(spark, root).collect()}
+    assert got == {"sub:a=b+c%", "plain"}
+    name = "hitfeed_esc_" + root.rsplit("-", 1)[1]
+    create_log_table(spark, name, schema, root)
+    assert sync_partitions(spark, name, root).count == 2
+    assert {r["subscriber"] for r in registered_partitions(spark, name).collect()} == got
+    assert sorted(r["v"] for r in spark.table(name).collect()) == [1, 2]
+    assert sync_partitions(spark, name, root).count == 0
