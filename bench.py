@@ -33,7 +33,7 @@ from hitfeed.sinks.csv import write_csv  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-REPS = int(os.environ.get("BENCH_REPS", "3"))
+REPS = int(os.environ.get("BENCH_REPS", "5"))
 
 
 SAME_WINDOW = [Feed(n, FeedSpec(parent_policies=p, hours_ago=720, full_days=True))
