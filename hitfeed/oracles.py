@@ -168,3 +168,4 @@ ORACLES["multi_feed_csv"] = f"""WITH {hits_from("TRUE")}, m AS (
   FROM m"""
 ORACLES["saved_view_sql"] = hits(FLAG_WHERE, FLAG)
 ORACLES["feed_export_job"] = hits_text(FLAG_WHERE, FLAG)
+ORACLES["stream_hits_retained"] = hits(FLAG_WHERE, FLAG)

@@ -344,6 +344,19 @@ def q_stream_hits_available_now(spark, sf):
     return read_hits(spark, out, hits_schema(spark, _log_schema(), "parent_policies"))
 
 
+def q_stream_hits_retained(spark, sf):
+    """The stream's hit table after retention: whole hours below the 72-hour floor are
+    deleted and the read prunes them away."""
+    from hitfeed.plans.hour_table import drop_hours_below
+    root = partitioned_copy(spark, sf)
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    spec = FeedSpec(parent_policies="error,p3", hours_ago=0)
+    stream_hits(spark, root, _log_schema(), spec, out, ckpt).awaitTermination()
+    floor = hours_ago_bound(NOW, 72)
+    drop_hours_below(spark, out, floor)
+    return read_hits(spark, out, hits_schema(spark, _log_schema(), "parent_policies"), floor)
+
+
 QUERIES: dict[str, Query] = {
     "policy_hits_hours_ago": q_policy_hits_hours_ago,
     "policy_hits_full_days": q_policy_hits_full_days,
@@ -380,4 +393,5 @@ QUERIES: dict[str, Query] = {
     "multi_feed_csv": q_multi_feed_csv,
     "saved_view_sql": q_saved_view_sql,
     "stream_hits_available_now": q_stream_hits_available_now,
+    "stream_hits_retained": q_stream_hits_retained,
 }
