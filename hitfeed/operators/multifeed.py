@@ -3,8 +3,8 @@
 The per-feed form scans the source once per feed.  Here the source is scanned once, with
 the union of the feeds' time windows as a partition filter and the union of their policies
 as a row pre-filter before the explode (a per-window pre-filter was measured: no gain on
-stored columns, 2x slower on computed ones); the hits are then equi-joined with a (feed, policy) table on
-``policy`` plus each feed's own window as a residual condition.  The result equals the
+stored columns, 2x slower on computed ones).  The hits are then equi-joined with a
+(feed, policy) table on ``policy``, with each feed's own window as a residual condition.  The result equals the
 union of the per-feed exports, tagged by feed.  Policy lists are de-duplicated per feed
 first: ``IN`` is idempotent, a join is not.
 
@@ -72,6 +72,20 @@ def _local_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def feed_locations_frame(spark: SparkSession, feeds: Sequence[Feed], salt: str) -> DataFrame:
+    """``(feed, feed_location)`` for feeds that carry subscriber, receiver and ordinal; the
+    slow hash runs in the Arrow UDF on executors, one row per feed.  Pass it as ``extra``
+    to :func:`multi_feed_hits`."""
+    from hitfeed.functions.location import location_column
+
+    rows = [(f.name, f.ordinal, f.subscriber, f.receiver) for f in feeds]
+    missing = [r[0] for r in rows if None in r[1:]]
+    if missing:
+        raise ValueError(f"feeds without ordinal/subscriber/receiver: {missing}")
+    table = spark.createDataFrame(rows, "feed string, ordinal string, subscriber string, receiver string")
+    return table.select("feed", location_column(salt, "ordinal", "subscriber", "receiver").alias("feed_location"))
+
+
 def feed_table_from_frame(feeds: DataFrame, now: int, delimiter: str = ",") -> DataFrame:
     """A feeds *table* (``feed, policies, hours_ago[, full_days][, kind]``) -> the
     (feed, policy, min_hour, max_hour, kind) form, computed by Spark."""

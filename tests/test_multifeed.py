@@ -71,3 +71,16 @@ def test_location_carried_into_hits(spark, small_log):
     got = multi_feed_hits(small_log, FEEDS[:2], NOW, extra=extra)
     locs = {r[0] for r in got.select("feed_location").distinct().collect()}
     assert locs == {location_hash("s3cret", "1", "sub.x", "ops@x.org")}
+
+
+def test_feed_locations_frame(spark, small_log):
+    import pytest
+    from hitfeed.operators.multifeed import feed_locations_frame
+    feeds = [Feed("a", FeedSpec(parent_policies="error", hours_ago=72), subscriber="s1", receiver="r1", ordinal="1"),
+             Feed("b", FeedSpec(parent_policies="p3", hours_ago=72), subscriber="s2", receiver="r2", ordinal="2")]
+    locs = {r["feed"]: r["feed_location"] for r in feed_locations_frame(spark, feeds, "salt").collect()}
+    assert locs == {"a": location_hash("salt", "1", "s1", "r1"), "b": location_hash("salt", "2", "s2", "r2")}
+    hits = multi_feed_hits(small_log, feeds, NOW, extra=feed_locations_frame(spark, feeds, "salt"))
+    assert hits.filter("feed_location IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        feed_locations_frame(spark, [Feed("c", FeedSpec(parent_policies="x", hours_ago=1))], "salt")
