@@ -21,8 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # refresh jobs rewrite only the hours they touch
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # (dynamic partition overwrite is set on the one write that needs it, the hour table,
+    # not session-wide: a session default would change every partitioned overwrite)
 }
 
 

@@ -70,3 +70,14 @@ def test_write_feeds_file_count(spark, small_log):
     path = write_feeds(hits, scratch_path(spark, "feeds"), num_partitions=8)
     files = spark.read.option("header", True).csv(path).select(F.input_file_name()).distinct().count()
     assert files <= 8 + len(feeds)  # contiguous feed ranges, not one file per feed per task
+
+
+def test_write_feeds_overwrite_replaces_all(spark, small_log):
+    path = scratch_path(spark, "feeds")
+    extra = spark.createDataFrame([("x", "LX"), ("y", "LY")], "feed string, feed_location string")
+    two = [Feed("x", FeedSpec(parent_policies="view", hours_ago=720)),
+           Feed("y", FeedSpec(parent_policies="p1", hours_ago=720))]
+    write_feeds(multi_feed_hits(small_log, two, NOW, extra=extra), path)
+    write_feeds(multi_feed_hits(small_log, two[:1], NOW, extra=extra), path)
+    locs = {r[0] for r in spark.read.option("header", True).csv(path).select("feed_location").distinct().collect()}
+    assert locs == {"LX"}  # a plain overwrite replaces the whole output
