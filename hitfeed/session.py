@@ -35,6 +35,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master and master.startswith("local"):
         # local mode: the driver JVM is the executor; a cluster sizes this at deploy time
         conf["spark.driver.memory"] = "16g"
+        # listing thousands of hour directories: one listing task per directory (the
+        # default, right for a cluster) costs more than the listing itself on 8 threads
+        conf["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = "64"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
