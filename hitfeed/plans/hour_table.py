@@ -92,3 +92,17 @@ def read_hour_table(spark: SparkSession, path: str, columns: list[str] | None =
     """The feed rows, columns in feed order (``hour`` is read back from the directories)."""
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def hour_table_to_csv(spark: SparkSession, path: str, output: str, columns: list[str] | None = None, *,
+                      floor: int | None = None, num_partitions: int | None = None, single_file: bool = False,
+                      filename: str | None = None, max_records_per_file: int | None = None) -> str:
+    """The feed's CSV form, ordered by ``start_time``, read from the hour table only (the
+    source logs are not touched).  ``floor`` restricts to hours at or above it (pruned)."""
+    from hitfeed.sinks.csv import write_csv
+
+    df = read_hour_table(spark, path, columns)
+    if floor is not None:
+        df = df.filter(F.col("hour") >= F.lit(int(floor)))
+    return write_csv(df, output, order_by="start_time", num_partitions=num_partitions, single_file=single_file,
+                     filename=filename, max_records_per_file=max_records_per_file)

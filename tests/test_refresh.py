@@ -123,3 +123,15 @@ def test_hour_table_refresh(spark, small_log):
 
 def render_cols(df):
     return csv_safe(df)
+
+
+def test_hour_table_to_csv(spark, small_log):
+    from hitfeed.plans.hour_table import hour_table_to_csv, refresh_hour_table
+    spec = FeedSpec(parent_policies="error,p3,view", hours_ago=24)
+    path = scratch_path(spark, "hours")
+    refresh_hour_table(spark, small_log, spec, NOW, path)
+    out = hour_table_to_csv(spark, path, scratch_path(spark, "csv"), COLS, single_file=True, filename="Feed.csv")
+    got = read_snapshot(spark, out, COLS)
+    assert same(got, full(spark, small_log, spec))
+    ts = [int(r[0]) for r in got.select("start_time").collect()]
+    assert ts == sorted(ts)
