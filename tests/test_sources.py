@@ -62,3 +62,31 @@ def test_source_names(spark):
     rows = {r["bucket"]: r for r in source_names(df).collect()}
     assert rows["sub-x.y-1"]["database_name"] == "sub_x_y_1"
     assert rows["sub.x.y-abc"]["subscriber_name"] == "sub.x.y"
+
+
+def test_schema_drift_in_files(spark):
+    """Files may differ from the table definition: a missing column reads as null and a
+    narrower integer type is widened to the declared one."""
+    from hitfeed.session import scratch_path
+    root = scratch_path(spark, "drift")
+    old = spark.createDataFrame(
+        [(1706652000000001, 17066520, ["sb-x"], "sub.a", 2024, 1, 30, H)],
+        "start_time bigint, meta_timestamp int, parent_policies array<string>, "
+        "subscriber string, year int, month int, day int, hour int")
+    write_partitioned(old, root)
+    dns = read_dns(spark, root)
+    r = dns.first()
+    assert r["meta_timestamp"] == 17066520 and r["rtt"] is None and r["dns_answer_ips"] is None
+    assert dict(dns.dtypes)["meta_timestamp"] == "bigint"
+    out = export_feed(dns, FeedSpec(parent_policies="sb-x", hours_ago=1), H + 60)
+    assert out.count() == 1 and out.first()["policy"] == "sb-x"
+
+
+def test_proxy_export(spark, log_root):
+    out = export_feed(read_proxy(spark, log_root), FeedSpec(parent_policies="sb-block", hours_ago=0), H + 60)
+    rows = out.collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r["policy"] == "sb-block" and r["policy_name"] == 'quote " and, comma'
+    assert r["ssl_core_domains"] == "[1, 2, null]" and r["request_headers"] == "{}"
+    assert out.columns.index("policy") == 48  # in place of parent_policies, data_version after it
