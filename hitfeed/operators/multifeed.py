@@ -113,12 +113,16 @@ def _regex_quote(s: str) -> str:
 def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
                     policy_column: str = "parent_policies",
                     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
-                    extra: DataFrame | None = None) -> DataFrame:
+                    extra: DataFrame | None = None, salt_buckets: int | None = None) -> DataFrame:
     """Union of per-feed hits, with the feed name first.
 
     ``feeds``: a sequence of :class:`Feed` (all on ``policy_column``) or a feeds table (see
     :func:`feed_table_from_frame`).  ``extra``: optional ``(feed, ...)`` frame whose other
     columns (e.g. ``feed_location``) are carried into the output; it has one row per feed.
+    ``salt_buckets``: for the shuffle join only (feed table above ``broadcast_limit``), split
+    every policy over that many join keys -- hits get a deterministic salt from a row hash,
+    the feed table is replicated once per bucket -- so a policy holding a large share of the
+    hits is spread over as many tasks even without AQE's skew handling.
     """
     spark = logs.sparkSession
     if isinstance(feeds, DataFrame):
@@ -145,6 +149,14 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
     scoped = logs.filter(F.col("hour") >= F.lit(lo))
     hits = explode_policies(scoped, policy_column, values)
     f = table.select(*[F.col(c).alias(f"_f_{c}") for c in table.columns])
+    salted = small_rows is None and salt_buckets and salt_buckets > 1
+    if salted:
+        n = int(salt_buckets)
+        from pyspark.sql import types as T
+        # spread by a hash of the scalar columns (maps cannot be hashed)
+        scalar = [f.name for f in hits.schema.fields if isinstance(f.dataType, T.AtomicType)]
+        hits = hits.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in scalar]), F.lit(n)))
+        f = f.withColumn("_f_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     is_proxy = F.col("subscriber").endswith(PROXY_SUFFIX)
     kind_ok = (F.col("_f_kind").isNull()
                | ((F.col("_f_kind") == F.lit("proxy")) & is_proxy)
@@ -153,8 +165,10 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
             & (hits["hour"] >= F.col("_f_min_hour"))
             & (F.col("_f_max_hour").isNull() | (hits["hour"] < F.col("_f_max_hour")))
             & kind_ok)
+    if salted:
+        cond = cond & (hits["_salt"] == F.col("_f_salt"))
     joined = hits.join(f, cond, "inner")
-    out = joined.select(F.col("_f_feed").alias("feed"), *[hits[c] for c in hits.columns])
+    out = joined.select(F.col("_f_feed").alias("feed"), *[hits[c] for c in hits.columns if c != "_salt"])
     if extra is not None:
         # meant to hold one row per feed: broadcast only once that bound is checked
         small = extra.limit(broadcast_limit + 1).count() <= broadcast_limit

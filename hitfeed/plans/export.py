@@ -31,9 +31,11 @@ def export_feed(logs: DataFrame, spec: FeedSpec, now: int, *, mode: str = "overl
 
 
 def export_multi(logs: DataFrame, feeds, now: int, *, render: bool = True,
-                 broadcast_limit: int | None = None) -> DataFrame:
+                 broadcast_limit: int | None = None, salt_buckets: int | None = None) -> DataFrame:
     """Many feeds in one scan: the union of ``export_feed`` over ``feeds``, tagged by feed
     name (see :func:`hitfeed.operators.multifeed.multi_feed_hits`)."""
     kwargs = {} if broadcast_limit is None else {"broadcast_limit": broadcast_limit}
+    if salt_buckets:
+        kwargs["salt_buckets"] = salt_buckets
     hits = multi_feed_hits(logs, feeds, now, **kwargs)
     return render_nested(hits) if render else hits

@@ -84,3 +84,8 @@ def test_feed_locations_frame(spark, small_log):
     assert hits.filter("feed_location IS NULL").count() == 0
     with pytest.raises(ValueError):
         feed_locations_frame(spark, [Feed("c", FeedSpec(parent_policies="x", hours_ago=1))], "salt")
+
+
+def test_salted_shuffle_path_same(spark, small_log):
+    got = export_multi(small_log, FEEDS, NOW, broadcast_limit=2, salt_buckets=4)
+    assert same(got, union_of_singles(small_log))
