@@ -99,3 +99,17 @@ def test_escaped_partition_values(spark):
     assert {r["subscriber"] for r in registered_partitions(spark, name).collect()} == got
     assert sorted(r["v"] for r in spark.table(name).collect()) == [1, 2]
     assert sync_partitions(spark, name, root).count == 0
+
+
+def test_repair_registers_both_kinds_reader_splits(spark, few_days):
+    from hitfeed.sources.logs import read_table
+    log, root = few_days
+    name = _new_table(spark, log, root)
+    repair_partitions(spark, name)  # registers every directory, proxy ones too
+    registered = registered_partitions(spark, name)
+    assert registered.filter(F.col("subscriber").endswith(".proxy")).count() > 0
+    dns = read_table(spark, name, "dns")
+    assert dns.filter(F.col("subscriber").endswith(".proxy")).count() == 0
+    assert dns.count() == log.filter(~F.col("subscriber").endswith(".proxy")).count()
+    plan = dns._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "EndsWith(subscriber" in plan
