@@ -10,19 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from hitfeed import fixtures
 from hitfeed.fixtures import NOW, policy_log, partitioned_copy, table
 from hitfeed.functions.location import location_column
 from hitfeed.functions.render import render_column, render_nested
-from hitfeed.functions.timebounds import HOUR, MICROS, DAY, hours_ago_bound, strict_seam
+from hitfeed.functions.timebounds import DAY, HOUR, MICROS, hours_ago_bound, strict_seam
 from hitfeed.operators.hits import explode_policies
 from hitfeed.operators.multifeed import Feed
 from hitfeed.operators.ordering import with_global_ordinal
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
-from hitfeed.plans.refresh import last_seen_hour, refresh_feed
 from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
+from hitfeed.plans.refresh import last_seen_hour, refresh_feed
 from hitfeed.plans.sync import sync_partitions
 from hitfeed.schemas import struct_from_ddl
 from hitfeed.session import scratch_path
@@ -33,7 +34,6 @@ from hitfeed.sources.partitions import (
 )
 from hitfeed.sources.snapshots import latest_snapshot, read_snapshot
 from hitfeed.streaming.hits_stream import hits_schema, read_hits, stream_hits
-from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +42,11 @@ HIT_COLUMNS = ["event_id", "start_time", "user_id", "event_type", "policy", "ann
                "subscriber", "year", "month", "day", "hour"]
 
 
+SEED_BOUND = 1706400000  # partitions below this hour count as already registered
+
+
 def _log_schema() -> T.StructType:
     return struct_from_ddl(fixtures.POLICY_LOG_DDL)
-SEED_BOUND = 1706400000  # partitions below this hour count as already registered
 
 
 def _as_of(logs: DataFrame, t: int) -> DataFrame:
