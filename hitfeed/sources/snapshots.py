@@ -44,18 +44,42 @@ def _re_path(p: str) -> str:
     return re.escape(p.split(":", 1)[-1] if p.startswith("file:") else p)
 
 
-def latest_snapshot(spark: SparkSession, root: str, prefix: str = "") -> str:
-    """Path of the newest snapshot (a file, or a Spark output directory)."""
+def latest_snapshot(spark: SparkSession, root: str, prefix: str = "", *, candidates: int = 10) -> str:
+    """Path of the newest *complete* snapshot (a file, or a Spark output directory).
+
+    A directory counts only once its ``_SUCCESS`` marker exists: a job that died while
+    committing can leave part files without it, and refreshing from such a partial
+    snapshot would lose rows.  The newest ``candidates`` snapshots are checked, newest
+    first (one metadata call each); only those rows reach the driver."""
     try:
         listing = list_csv(spark, root, prefix)
     except Exception as e:  # the prefix's directory does not exist
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             raise FileNotFoundError(f"no .csv snapshot under {root!r} with prefix {prefix!r}") from None
         raise
-    row = listing.agg(F.max_by("snapshot", F.struct("modificationTime", "path")).alias("snapshot")).first()
-    if row is None or row["snapshot"] is None:
-        raise FileNotFoundError(f"no .csv snapshot under {root!r} with prefix {prefix!r}")
-    return row["snapshot"]
+    newest = (listing.groupBy("snapshot")
+              .agg(F.max(F.struct("modificationTime", "path")).alias("newest"), F.count(F.lit(1)).alias("files"))
+              .orderBy(F.col("newest").desc())
+              .limit(candidates)
+              .collect())
+    for row in newest:
+        path = row["snapshot"]
+        if path.endswith(".csv") and not _is_part(path):
+            return path
+        if _exists(spark, path.rstrip("/") + "/_SUCCESS"):
+            return path
+    raise FileNotFoundError(f"no complete .csv snapshot under {root!r} with prefix {prefix!r}")
+
+
+def _is_part(path: str) -> bool:
+    import re
+    return re.search(r"/part-[0-9]+[^/]*\.csv$", path) is not None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 def read_snapshot(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -78,3 +78,18 @@ def test_prefix_directory_listing(spark):
     assert latest_snapshot(spark, root, "csv/feed").endswith("/csv/feed-b/run-1")
     with pytest.raises(FileNotFoundError):
         latest_snapshot(spark, root, "missing/dir/x")
+
+
+def test_partial_output_is_skipped(spark):
+    import shutil
+    root = scratch_path(spark, "partial")
+    df = spark.range(3).selectExpr("CAST(id AS STRING) AS v")
+    write_csv(df, f"{root}/feed/run-1")
+    time.sleep(0.05)
+    done = write_csv(df.limit(1), f"{root}/feed/run-2")
+    # a later output whose commit did not finish: part files, no _SUCCESS marker
+    partial = f"{root}/feed/run-3"
+    time.sleep(0.05)
+    shutil.copytree(done.replace("file:", ""), partial.replace("file:", ""), copy_function=shutil.copy,
+                    ignore=shutil.ignore_patterns("_SUCCESS", "._SUCCESS.crc"))
+    assert latest_snapshot(spark, root, "feed").endswith("/feed/run-2")
