@@ -90,3 +90,25 @@ def test_proxy_export(spark, log_root):
     assert r["policy"] == "sb-block" and r["policy_name"] == 'quote " and, comma'
     assert r["ssl_core_domains"] == "[1, 2, null]" and r["request_headers"] == "{}"
     assert out.columns.index("policy") == 48  # in place of parent_policies, data_version after it
+
+
+def test_export_plan_has_no_shuffle(spark, log_root):
+    out = export_feed(read_dns(spark, log_root), FeedSpec(parent_policies="sb-phishing-page", hours_ago=24), H)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_refresh_plan_has_one_range_shuffle(spark, small_log):
+    from hitfeed.fixtures import NOW
+    from hitfeed.operators.ordering import sort_by_start_time
+    from hitfeed.plans.refresh import refresh_plan
+    from hitfeed.session import scratch_path
+    from hitfeed.sinks.csv import write_csv
+    from hitfeed.sources.snapshots import read_snapshot
+    spec = FeedSpec(parent_policies="error", hours_ago=48)
+    cols = ["event_id", "start_time", "user_id", "event_type", "policy", "annotations",
+            "subscriber", "year", "month", "day", "hour"]
+    prev = write_csv(export_feed(small_log, spec, NOW - 3600), scratch_path(spark, "p"))
+    tagged, cols, _, _ = refresh_plan(spark, small_log, spec, NOW, read_snapshot(spark, prev, cols), hourly=True)
+    plan = sort_by_start_time(tagged, 4, tiebreak=cols)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
