@@ -53,8 +53,12 @@ def _hour_dirs(spark: SparkSession, path: str) -> dict[int, object]:
 
 
 def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, path: str, *,
-                       hourly: bool = False, catch_up: bool = False) -> HourTableResult:
-    """Bring the hour table at ``path`` up to ``now`` (creates it on the first run)."""
+                       hourly: bool = False, catch_up: bool = True) -> HourTableResult:
+    """Bring the hour table at ``path`` up to ``now`` (creates it on the first run).
+
+    Catch-up is the default here: the table knows its newest hour, so after missed runs the
+    gap is re-read instead of being left empty for good (the strict seam only re-reads
+    the last 1 or 24 hours)."""
     if spec.day_range is not None or spec.hours_ago is None:
         raise ValueError("an hour table needs an hours_ago window")
     floor = hours_ago_bound(now, spec.hours_ago, spec.full_days)
