@@ -26,6 +26,7 @@ from hitfeed.operators.hits import explode_policies  # noqa: E402
 from hitfeed.operators.multifeed import Feed  # noqa: E402
 from hitfeed.plans.export import export_feed, export_multi  # noqa: E402
 from hitfeed.plans.feed import FeedSpec  # noqa: E402
+from hitfeed.plans.hour_table import refresh_hour_table  # noqa: E402
 from hitfeed.plans.refresh import refresh_feed  # noqa: E402
 from hitfeed.registry import FEEDS, FLAGSHIP  # noqa: E402
 from hitfeed.session import build_session, scratch_path  # noqa: E402
@@ -53,6 +54,12 @@ def main():
     prev = write_csv(export_feed(log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), wide, NOW - 3600),
                      scratch_path(spark, "bench-prev"), order_by="start_time")
 
+    # hour table as it stood an hour ago, refreshed in place by each timed run (idempotent)
+    spec_hours = FeedSpec(parent_policies="error,p3,view", hours_ago=168)
+    hour_table = scratch_path(spark, "bench-hours")
+    refresh_hour_table(spark, log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), spec_hours,
+                       NOW - 3600, hour_table)
+
     from pyspark.sql.functions import udf
 
     @udf("string")
@@ -72,6 +79,10 @@ def main():
                                                      order_by="start_time"),
         "feed_refresh_csv": lambda: refresh_feed(spark, log, wide, NOW, scratch_path(spark, "b"), previous=prev,
                                                  hourly=True),
+        "hour_table_full_build": lambda: refresh_hour_table(spark, log, spec_hours, NOW,
+                                                            scratch_path(spark, "b")),
+        "hour_table_refresh_hourly": lambda: refresh_hour_table(spark, log, spec_hours, NOW, hour_table,
+                                                                hourly=True),
         "write_range_ordered": lambda: write_csv(export_feed(log, wide, NOW), scratch_path(spark, "b"),
                                                  order_by="start_time"),
         "write_single_task": lambda: write_csv(export_feed(log, wide, NOW), scratch_path(spark, "b"),
