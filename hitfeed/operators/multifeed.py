@@ -113,7 +113,8 @@ def _regex_quote(s: str) -> str:
 def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
                     policy_column: str = "parent_policies",
                     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
-                    extra: DataFrame | None = None, salt_buckets: int | None = None) -> DataFrame:
+                    extra: DataFrame | None = None, salt_buckets: int | None = None,
+                    mode: str = "overlap") -> DataFrame:
     """Union of per-feed hits, with the feed name first.
 
     ``feeds``: a sequence of :class:`Feed` (all on ``policy_column``) or a feeds table (see
@@ -147,7 +148,7 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
         values = None
 
     scoped = logs.filter(F.col("hour") >= F.lit(lo))
-    hits = explode_policies(scoped, policy_column, values)
+    hits = explode_policies(scoped, policy_column, values, mode=mode if values is not None else "after")
     f = table.select(*[F.col(c).alias(f"_f_{c}") for c in table.columns])
     salted = small_rows is None and salt_buckets and salt_buckets > 1
     if salted:

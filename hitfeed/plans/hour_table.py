@@ -53,7 +53,7 @@ def _hour_dirs(spark: SparkSession, path: str) -> dict[int, object]:
 
 
 def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, path: str, *,
-                       hourly: bool = False, catch_up: bool = True) -> HourTableResult:
+                       hourly: bool = False, catch_up: bool = True, mode: str = "overlap") -> HourTableResult:
     """Bring the hour table at ``path`` up to ``now`` (creates it on the first run).
 
     Catch-up is the default here: the table knows its newest hour, so after missed runs the
@@ -71,7 +71,7 @@ def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now
         seam = strict_seam(now, hourly)
     lo = max(seam, floor)
     fresh = render_nested(explode_policies(logs.filter(F.col("hour") >= F.lit(lo)),
-                                           spec.policy_column, spec.values))
+                                           spec.policy_column, spec.values, mode=mode))
     (fresh.write.mode("overwrite")
           .option("partitionOverwriteMode", "dynamic")
           .partitionBy("hour")

@@ -53,8 +53,8 @@ def last_seen_hour(snapshot: DataFrame, aligner: int = HOUR) -> int | None:
 
 
 def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, previous: DataFrame, *,
-                 hourly: bool = False, catch_up: bool = False,
-                 refilter: bool = False) -> tuple[DataFrame, list[str], int, int]:
+                 hourly: bool = False, catch_up: bool = False, refilter: bool = False,
+                 mode: str = "overlap") -> tuple[DataFrame, list[str], int, int]:
     """The refresh as one tagged, all-text frame (unordered) plus ``(columns, floor, seam)``.
 
     Tags: ``_new`` (fresh hit), ``_in_window`` (old row at or above the floor) and ``_keep``
@@ -83,7 +83,7 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     old = previous.select(*slim, F.lit(False).alias("_new"), in_window.alias("_in_window"), keep.alias("_keep"),
                           bad.alias("_rejected"))
     lo = max(seam, floor)
-    fresh = explode_policies(logs.filter(F.col("hour") >= F.lit(lo)), spec.policy_column, spec.values)
+    fresh = explode_policies(logs.filter(F.col("hour") >= F.lit(lo)), spec.policy_column, spec.values, mode=mode)
     fresh = csv_safe(fresh).select(*columns, F.lit(True).alias("_new"), F.lit(True).alias("_in_window"),
                                    F.lit(True).alias("_keep"), F.lit(False).alias("_rejected"))
     return fresh.unionByName(old), columns, floor, seam
@@ -98,7 +98,8 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
                  hourly: bool = False, catch_up: bool = False, refilter: bool = False,
                  num_partitions: int | None = None, single_file: bool = False,
                  filename: str | None = None, max_records_per_file: int | None = None,
-                 target_dir: str | None = None, keep_original: bool = False) -> RefreshResult:
+                 target_dir: str | None = None, keep_original: bool = False,
+                 mode: str = "overlap") -> RefreshResult:
     """Find the newest snapshot (or use ``previous``), refresh it and write the new one,
     ordered by ``start_time``.  Run counts come from the write itself: ``input``,
     ``in_window``, ``kept``, ``new`` and ``rejected`` (old rows whose ``hour`` or
@@ -112,7 +113,7 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     columns = target_columns(logs.schema, spec.policy_column)
     prev = read_snapshot(spark, previous, columns)
     tagged, columns, floor, seam = refresh_plan(spark, logs, spec, now, prev, hourly=hourly,
-                                                catch_up=catch_up, refilter=refilter)
+                                                catch_up=catch_up, refilter=refilter, mode=mode)
     ordered = sort_by_start_time(tagged, num_partitions, tiebreak=columns)
     obs = Observation("refresh")
     old = ~F.col("_new")

@@ -24,7 +24,8 @@ from hitfeed.plans.feed import FeedSpec
 
 def stream_hits(spark: SparkSession, root: str, schema: T.StructType, spec: FeedSpec, output: str,
                 checkpoint: str, *, now: int | None = None, max_files_per_trigger: int | None = None,
-                available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                available_now: bool = True, processing_time: str | None = None,
+                mode: str = "overlap") -> StreamingQuery:
     """Start the stream.  With ``now`` the spec's window bound is applied as well."""
     reader = spark.readStream.schema(schema).option("basePath", root)
     if max_files_per_trigger:
@@ -32,7 +33,7 @@ def stream_hits(spark: SparkSession, root: str, schema: T.StructType, spec: Feed
     logs = reader.parquet(root)
     if now is not None:
         logs = logs.filter(spec.hour_predicate(now))
-    hits = render_nested(explode_policies(logs, spec.policy_column, spec.values))
+    hits = render_nested(explode_policies(logs, spec.policy_column, spec.values, mode=mode))
     writer = (hits.writeStream.format("parquet")
               .option("checkpointLocation", checkpoint)
               .partitionBy("hour")

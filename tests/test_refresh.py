@@ -150,3 +150,10 @@ def test_hour_table_missed_runs(spark, small_log):
     refresh_hour_table(spark, small_log, spec, NOW, safe, hourly=True)  # default: catch up
     assert read_hour_table(spark, strict, COLS).count() < want.count()
     assert same(render_cols(read_hour_table(spark, safe, COLS)), want)
+
+
+def test_refresh_modes_agree(spark, small_log):
+    prev = snapshot(spark, small_log, NOW - 3600)
+    outs = [read_snapshot(spark, refresh_feed(spark, small_log, SPEC, NOW, scratch_path(spark, "o"), previous=prev,
+                                              hourly=True, mode=m).path, COLS) for m in ("overlap", "after")]
+    assert same(outs[0], outs[1])
