@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hitfeed.llm.common import read
 from hitfeed.llm.packing import pack_documents
+from hitfeed.llm.simhash import simhash_components
 from hitfeed.llm.token_count import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +19,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 

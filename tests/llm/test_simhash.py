@@ -1,0 +1,113 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from hitfeed.llm.common import components
+from hitfeed.llm.simhash import (
+    block_masks, drop_near_duplicates, fingerprint, near_links, simhash_components, spare_blocks, within_radius,
+)
+
+
+def brute_fingerprint(text, n=4):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i:i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(rows, radius=4):
+    fp = [(d, brute_fingerprint(t)) for d, t in rows]
+    root = list(range(len(fp)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(fp)):
+        for j in range(i):
+            if bin(fp[i][1] ^ fp[j][1]).count("1") <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(fp):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(((d, f"{f:016x}", least.get(find(i))) for i, (d, f) in enumerate(fp)), key=str)
+
+
+def test_fingerprint_matches_definition():
+    for t in (None, "", " \t\n", "One", "a b c", "a b c d", "A B\tc D e f \u0085 g é Ü", "x " * 500, "\x1ca b c d e"):
+        assert fingerprint(t) == np.uint64(brute_fingerprint(t)).astype(np.int64)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
+def test_bit_sliced_distances(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    fps = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for _ in range(8)),
+                          base ^ np.uint64(0b10011011)])
+    got = {(i, j) for a, b in within_radius(fps, fps, radius) for i, j in zip(a.tolist(), b.tolist())}
+    x = fps[:, None] ^ fps[None, :]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(x) <= radius))}
+    assert got == want
+
+
+def test_masks_leave_no_pair_out():
+    rnd = random.Random(3)
+    for spare in (1, 2, 3):
+        masks = block_masks(4, spare)
+        for _ in range(500):
+            x = sum(1 << b for b in rnd.sample(range(64), 4))
+            assert any(x & m == 0 for m in masks)
+    assert spare_blocks(1000, 4) == 1 < spare_blocks(10**8, 4) < spare_blocks(10**11, 4)
+
+
+def texts(n=60):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = [(1000, None), (1001, ""), (1002, "\n "), (1003, "one two"), (1004, "One  TWO"), (None, "alone here now")]
+    for k in range(n):
+        t = [word() for _ in range(rnd.choice([30, 80, 300]))]
+        rows.append((k * 3, " ".join(t)))
+        for c in range(rnd.choice([0, 0, 1, 4])):
+            u = list(t)
+            u[rnd.randrange(len(u))] = word()
+            rows.append((2000 + 10 * k + c, " ".join(u)))
+    return rows + rows[6:9]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_components_match_brute_force(spark, block):
+    rows = texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    got = sorted(map(tuple, simhash_components(df, block=block).collect()), key=str)
+    assert got == brute_components(rows)
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = texts(15)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    want = sorted({str(c) for _, _, c in brute_components(rows)})
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == want
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash_components(df).count() == 0
+
+
+def test_components_of_chain_star_and_cycle(spark):
+    edges = [(i, i + 1) for i in range(0, 50)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200)]
+    random.Random(1).shuffle(edges)
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {n: (0 if n <= 50 else 100 if n < 200 else 200) for e in edges for n in e}
+    assert near_links(spark.createDataFrame([(5,)], "fp long")).count() == 0
