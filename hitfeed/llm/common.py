@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hitfeed.session import scratch_path
@@ -37,6 +38,23 @@ def id_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[pa.Array]]], columns: str) -> DataFrame:
+    """doc_id and what a function makes of the texts of a batch (one value per text and column).
+
+    ``make`` runs once in each task.  Ids pass through as Arrow columns, so null and large
+    ids stay as they are.
+    """
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *of(b.column(1).to_pylist())], names=["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
 def runs(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Split a stream of key-sorted batches into one frame per key.
 

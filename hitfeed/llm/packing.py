@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -77,21 +77,23 @@ def encoder(path: str) -> ByteEncoder:
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing: int = 0) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): whole capacities, then the rest."""
     end = np.array([closing], "<u4").tobytes()
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for row, text in enumerate(b.column(1).to_pylist()):
                 ids = enc.ids(text) + end
                 n = len(ids) // 4
-                rows += [(doc_id, s, min(capacity, n - s), zlib.crc32(ids[4 * s:4 * (s + capacity)]), n)
+                rows += [(row, s, min(capacity, n - s), zlib.crc32(ids[4 * s:4 * (s + capacity)]), n)
                          for s in range(0, n, capacity)]
-            yield pd.DataFrame(rows, columns=columns)
+            row, *rest = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hitfeed.llm.bottomk import edited_fingerprints
 from hitfeed.llm.common import read
 from hitfeed.llm.packing import pack_documents
 from hitfeed.llm.simhash import simhash_components
@@ -19,6 +20,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents"), k=256, shingle=5)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -29,6 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
+    "op5_fingerprints": op5_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }

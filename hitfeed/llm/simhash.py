@@ -26,10 +26,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hitfeed.llm.common import block_cells, components, materialize, merge_links, parts, runs
+from hitfeed.llm.common import block_cells, components, map_texts, materialize, merge_links, parts, runs
 
 #: Fingerprints in a block; a bucket above it is compared block by block.
 BLOCK = 2048
@@ -58,12 +59,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint of every document as a signed long."""
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, shingle) for t in b["text"]]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(mark, f"doc_id {kind}, fp long")
+    return map_texts(docs, lambda: lambda texts: [pa.array([fingerprint(t, shingle) for t in texts], pa.int64())],
+                     "fp long")
 
 
 def block_masks(radius: int, spare: int) -> list[int]:

@@ -15,13 +15,14 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from hitfeed.llm.common import map_texts
+
 #: Words kept by a worker; twice as many at most (two generations).
 CACHE_WORDS = 250_000
 
@@ -165,14 +166,9 @@ def counter(path: str) -> TokenCounter:
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
-    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(tokenizer_path)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"],
-                                "n_tokens": [c.count(t) for t in b["text"]]})
+    def make():
+        count = counter(tokenizer_path).count
+        return lambda texts: [pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64()),
+                              pa.array(list(map(count, texts)), pa.int64())]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn(
-        "over_limit", F.col("n_tokens") > limit)
+    return map_texts(docs, make, "n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

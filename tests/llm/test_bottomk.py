@@ -1,0 +1,84 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from hitfeed.llm.bottomk import (
+    containment, decode, distinct_count, document_fingerprints, edited_fingerprints, encode, merge, resemblance, sketch,
+)
+
+
+def shingles(text):
+    w = (text or "").encode().split()
+    return {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def text(rnd, n):
+    return " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(50)) for _ in range(n))
+
+
+def test_short_texts_are_exact():
+    rnd = random.Random(1)
+    for _ in range(50):
+        a = text(rnd, rnd.randrange(0, 100))
+        b = a[:len(a) // 2] + text(rnd, rnd.randrange(0, 60))
+        assert resemblance(sketch(a), sketch(b)) == pytest.approx(jaccard(a, b))
+        assert distinct_count(sketch(a)) == len(shingles(a))
+
+
+def test_long_texts_are_close_and_parts_merge():
+    rnd = random.Random(2)
+    a = text(rnd, 8000)
+    b = a[:len(a) // 2] + text(rnd, 3000)
+    assert resemblance(sketch(a), sketch(b)) == pytest.approx(jaccard(a, b), abs=0.1)
+    assert distinct_count(sketch(a)) == pytest.approx(len(shingles(a)), rel=0.2)
+    half = b[:len(b) // 2]
+    assert containment(sketch(half), sketch(b)) == pytest.approx(1, abs=0.2)
+    words = a.split()
+    parts = [" ".join(words[:4000]), " ".join(words[3996:])]
+    assert (merge(*map(sketch, parts)) == sketch(a)).all()
+    assert (decode(encode(sketch(a))) == sketch(a)).all() and len(decode(encode(sketch("")))) == 0
+
+
+def expected(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        h = len(t) // 2
+        e = t[:len(t) - h] + nxt[:h]
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(t, e), 9), round(jaccard(t, nxt), 9)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_neighbours_over_ranges(spark, ranges):
+    rnd = random.Random(ranges)
+    rows = [(rnd.randrange(10**15), text(rnd, rnd.randrange(0, 40)) + " é😀ß") for _ in range(90)]
+    rows += [(5, None), (6, ""), (7, "\x1c\x85 one"), rows[3], rows[3], (rows[4][0], "other"), (-4, "minus"), (None, "no id")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string")
+    got = edited_fingerprints(df, ranges=ranges).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9))
+                   for r in got), key=str) == expected(rows)
+    made = {(r["doc_id"], r["fingerprint"]) for r in got}
+    assert made == {(d, encode(sketch(t))) for d, t in rows}
+
+
+def test_one_row_and_none(spark):
+    one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    r = edited_fingerprints(one).first()
+    assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"a ba b").hexdigest() or r["n_chars"] == 7
+    none = one.filter("doc_id = 2")
+    assert edited_fingerprints(none).count() == 0
+    assert document_fingerprints(none).count() == 0
+
+
+def test_hash_is_the_high_bits():
+    assert sketch("only")[0] == np.uint64(xxhash.xxh64_intdigest(b"only") >> 16)
