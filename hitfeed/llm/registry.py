@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hitfeed.llm.bottomk import edited_fingerprints
 from hitfeed.llm.common import read
+from hitfeed.llm.embedding_itq import embedding_components
 from hitfeed.llm.packing import pack_documents
 from hitfeed.llm.simhash import simhash_components
 from hitfeed.llm.token_count import token_counts
@@ -16,6 +17,10 @@ from hitfeed.llm.token_count import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read(spark, sf_dir, "embeddings"), threshold=0.9, rotations=2, substring_bits=16)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -33,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_itq": op1_embedding_itq,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op9_simhash": op9_simhash,
