@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from hitfeed.llm.bottomk import edited_fingerprints
 from hitfeed.llm.common import read
 from hitfeed.llm.embedding_itq import embedding_components
+from hitfeed.llm.langid_crossparse import predict_languages
 from hitfeed.llm.packing import pack_documents
+from hitfeed.llm.qda_quality import quality_scores
 from hitfeed.llm.simhash import simhash_components
 from hitfeed.llm.token_count import token_counts
 
@@ -21,6 +23,14 @@ def op1_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(read(spark, sf_dir, "embeddings"), threshold=0.9, rotations=2, substring_bits=16)
 
 
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -39,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_itq": op1_embedding_itq,
+    "op2_quality_qda": op2_quality_qda,
+    "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op9_simhash": op9_simhash,
