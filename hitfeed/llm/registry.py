@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hitfeed.llm import entropy_mix
 from hitfeed.llm.bottomk import edited_fingerprints
 from hitfeed.llm.common import read
 from hitfeed.llm.embedding_itq import embedding_components
@@ -39,6 +40,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"), k=256, shingle=5)
 
 
+def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -53,8 +58,11 @@ QUERIES: dict[str, Query] = {
     "op3_language": op3_language,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
+    "op6_entropy_mix": op6_entropy_mix,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_entropy_mix": entropy_mix.ORACLE,
+}
