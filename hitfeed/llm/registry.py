@@ -13,7 +13,9 @@ from hitfeed.llm.common import read
 from hitfeed.llm.embedding_itq import embedding_components
 from hitfeed.llm.langid_crossparse import predict_languages
 from hitfeed.llm.packing import pack_documents
+from hitfeed.llm.pii_weak import personal_data
 from hitfeed.llm.qda_quality import quality_scores
+from hitfeed.llm.secret_scan import secrets
 from hitfeed.llm.simhash import simhash_components
 from hitfeed.llm.token_count import token_counts
 
@@ -44,6 +46,14 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read(spark, sf_dir, "documents"), fdr=0.01)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"), accept=0.9)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -59,6 +69,8 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_entropy_mix": op6_entropy_mix,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
