@@ -13,7 +13,8 @@ social-security numbers).  Five labelers vote +1, 0 or -1 on each candidate:
 Expectation-maximisation estimates the reliability of each labeler (chance of each vote for true and
 for false candidates) from the counts of vote patterns, a table of bounded size.  The posteriors train
 the final classifier, a naive Bayes model with reliabilities by kind that fall back to those of all kinds.
-A loose candidate becomes a span if its posterior reaches ``accept``; base spans always stay.
+A loose candidate becomes a span if its posterior reaches ``accept`` and its kind's check does not
+speak against it; base spans always stay.
 
 Defined cases: a null text is an empty one; repeated rows get the same spans, and each counts in
 the estimates; spans are ordered by kind as listed, then start; without candidates the priors stand;
@@ -81,12 +82,16 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def luhn(d: Column) -> Column:
+    return F.call_function("luhn_check", d)
+
+
 def base_spans(text: Column) -> list[Column]:
     some = lambda x: F.contains(text, F.lit(x))
     return [
         spans(text, EMAIL, "email", 0, hint=some("@")),
         spans(text, IP, "ip", 1, lambda m, _: F.rlike(m, F.lit(rf"^{PART}(?:\.{PART}){{3}}$"))),
-        spans(text, CARD, "card", 2, lambda m, _: F.luhn_check(digits(m))),
+        spans(text, CARD, "card", 2, lambda m, _: luhn(digits(m))),
         spans(text, PHONE, "phone", 3, lambda m, _: F.length(digits(m)).between(9, 15), hint=some("+")),
     ]
 
@@ -134,7 +139,7 @@ def votes(text: Column, s: Column) -> dict[str, Column]:
     return {
         "form": like(STRICT),
         "check": by_kind(kind, {
-            "email": vote(~F.rlike(m, F.lit(r"\.\.|^[.]|[.]@|-$"))), "ip": F.lit(1), "card": vote(F.luhn_check(d)),
+            "email": vote(~F.rlike(m, F.lit(r"\.\.|^[.]|[.]@|-$"))), "ip": F.lit(1), "card": vote(luhn(d)),
             "phone": vote(F.length(d).between(10, 15) & (~F.rlike(d, F.lit("^(?:1[0-9]{10}|[0-9]{10})$"))
                                                          | F.rlike(last10, F.lit("^[2-9][0-9]{2}[2-9][0-9]{6}$")))),
             "iban": vote(mod_97(m) == 1), "ssn": vote(F.rlike(m, F.lit("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")))}),
@@ -216,7 +221,9 @@ def fit_spans(candidates: DataFrame) -> SpanModel:
 def accepted(model: SpanModel, accept: float) -> Column:
     """All spans: the base ones, and the loose ones that the classifier accepts; by kind, then start."""
     least = log(accept / (1 - accept))
-    added = F.filter("_loose", lambda s: F.coalesce(model.score(s["kind"], s["votes"]) >= least, F.lit(False)))
+    check = LABELERS.index("check")
+    added = F.filter("_loose", lambda s: (F.split(s["votes"], ",")[check] != "-1")
+                     & F.coalesce(model.score(s["kind"], s["votes"]) >= least, F.lit(False)))
     return F.array_sort(F.concat("_base", added))
 
 
