@@ -10,8 +10,6 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, functions as F
-
 HOUR = 3600
 DAY = 24 * HOUR
 MICROS = 1_000_000
@@ -80,10 +78,3 @@ def catchup_seam(retention_floor: int, last_seen_hour: int | None) -> int:
     if last_seen_hour is None:
         return retention_floor
     return max(int(retention_floor), int(last_seen_hour))
-
-
-def hour_of_micros(col) -> Column:
-    """Epoch-microsecond column -> epoch seconds of its hour start (integer floor)."""
-    c = F.col(col) if isinstance(col, str) else col
-    # exact: the numerator is a whole number of hours, so the division has no rounding
-    return ((c - F.pmod(c, F.lit(MICROS * HOUR))) / F.lit(MICROS)).cast("long")

@@ -1,17 +1,19 @@
 """Many feeds in one scan.
 
 The per-feed form scans the source once per feed.  Here the source is scanned once, with
-the union of the feeds' time windows as a partition filter and the union of their policies
-as a row pre-filter before the explode (a per-window pre-filter was measured: no gain on
-stored columns, 2x slower on computed ones).  The hits are then equi-joined with a
-(feed, policy) table on ``policy``, with each feed's own window as a residual condition.  The result equals the
-union of the per-feed exports, tagged by feed.  Policy lists are de-duplicated per feed
-first: ``IN`` is idempotent, a join is not.
-
-Sizing: the feed table is configuration.  Its size is checked before it is broadcast (and
-before its policy list is used as literals); beyond ``broadcast_limit`` entries the join is
-a shuffle join on ``policy`` with no literal pre-filter, and AQE's skew-join handling
-splits a policy that holds a large share of the hits.
+the feeds' merged time windows (both bounds) and their common kind as partition filters.  The exploded
+hits are equi-joined with a (source, policy) table of the feeds, with each feed's own window
+and kind as residual conditions.  The result equals the union of the per-feed exports,
+tagged by feed.  Policy lists are de-duplicated per feed first: ``IN`` is idempotent, a join
+is not.
+
+A feed with a subscriber gets that subscriber's rows only (its proxy logs included); a feed
+without one gets every subscriber's.
+
+Sizing: the feed table is an ordinary DataFrame, whatever its size, and the plan is the same for few
+and many feeds.  Spark broadcasts it if its size is below the session's broadcast threshold;
+otherwise the join is a shuffle join, where AQE splits a policy that holds a large share of the
+hits (``salt_buckets`` splits it explicitly).
 """
 
 from __future__ import annotations
@@ -19,21 +21,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from hitfeed.functions.policies import unique_policies
+from hitfeed.functions.timebounds import DAY, HOUR
 from hitfeed.operators.hits import explode_policies
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.schemas import PROXY_SUFFIX, normalize_kind
+from hitfeed.sources.logs import kind_predicate
 
-DEFAULT_BROADCAST_LIMIT = 100_000
+FEED_TABLE_DDL = "feed string, source string, policy string, min_hour long, max_hour long, kind string"
 
-FEED_TABLE_DDL = "feed string, policy string, min_hour long, max_hour long, kind string"
+#: Join key of feeds that read every subscriber.
+ANY_SOURCE = ""
 
 
 @dataclass(frozen=True)
 class Feed:
-    """One feed job: a name, a spec, optional kind restriction and location inputs."""
+    """One feed job: a name, a spec, optional kind and subscriber restrictions, location inputs."""
 
     name: str
     spec: FeedSpec
@@ -49,129 +55,153 @@ class Feed:
 
 
 def feed_rows(feeds: Sequence[Feed], now: int) -> list[tuple]:
-    """(feed, policy, min_hour, max_hour, kind) per distinct policy of each feed."""
+    """(feed, source, policy, min_hour, max_hour, kind) per distinct policy of each feed."""
     names = [f.name for f in feeds]
     if len(set(names)) != len(names):
         raise ValueError(f"feed names must be unique: {names}")
     rows = []
     for f in feeds:
         lo, hi = f.spec.window(now)
-        rows += [(f.name, p, lo, hi, f.kind) for p in unique_policies(f.spec.values)]
+        rows += [(f.name, f.subscriber, p, lo, hi, f.kind) for p in unique_policies(f.spec.values)]
     return rows
 
 
 def feeds_frame(spark: SparkSession, feeds: Sequence[Feed], now: int) -> DataFrame:
-    return _local_table(spark, feed_rows(feeds, now))
-
-
-def _local_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A small literal table built on the JVM side (no Python worker job to produce it)."""
-    names = [c.split()[0] for c in FEED_TABLE_DDL.split(", ")]
-    types = [c.split()[1] for c in FEED_TABLE_DDL.split(", ")]
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.createDataFrame(feed_rows(feeds, now), FEED_TABLE_DDL)
 
 
 def feed_locations_frame(spark: SparkSession, feeds: Sequence[Feed], salt: str) -> DataFrame:
-    """``(feed, feed_location)`` for feeds that carry subscriber, receiver and ordinal; the
-    slow hash runs in the Arrow UDF on executors, one row per feed.  Pass it as ``extra``
-    to :func:`multi_feed_hits`."""
+    """``(feed, feed_location, output_filename)`` for feeds that carry subscriber, receiver and
+    ordinal; the slow hash runs in the Arrow UDF on executors, one row per feed.  Pass it as
+    ``extra`` to :func:`multi_feed_hits`."""
     from hitfeed.functions.location import location_column
 
-    rows = [(f.name, f.ordinal, f.subscriber, f.receiver) for f in feeds]
-    missing = [r[0] for r in rows if None in r[1:]]
+    rows = [(f.name, f.ordinal, f.subscriber, f.receiver, f.output_filename) for f in feeds]
+    missing = [r[0] for r in rows if None in r[1:4]]
     if missing:
         raise ValueError(f"feeds without ordinal/subscriber/receiver: {missing}")
-    table = spark.createDataFrame(rows, "feed string, ordinal string, subscriber string, receiver string")
-    return table.select("feed", location_column(salt, "ordinal", "subscriber", "receiver").alias("feed_location"))
+    table = spark.createDataFrame(rows, "feed string, ordinal string, subscriber string, receiver string, output_filename string")
+    named = ["output_filename"] if any(r[4] for r in rows) else []
+    return table.select("feed", location_column(salt, "ordinal", "subscriber", "receiver").alias("feed_location"), *named)
 
 
-def feed_table_from_frame(feeds: DataFrame, now: int, delimiter: str = ",") -> DataFrame:
-    """A feeds *table* (``feed, policies, hours_ago[, full_days][, kind]``) -> the
-    (feed, policy, min_hour, max_hour, kind) form, computed by Spark."""
+def feed_table_from_frame(feeds: DataFrame, now: int, delimiter: str = ",",
+                          policy_column: str = "parent_policies") -> DataFrame:
+    """A feeds *table* -> the (feed, source, policy, min_hour, max_hour, kind) form, computed by Spark.
+
+    Columns: ``feed``, ``policies`` and/or ``parent_policies`` (one of them set per feed; a table with
+    ``policies`` alone is read for either column), ``hours_ago`` or ``day_range`` (exactly one set), and
+    optionally ``full_days``, ``kind``, ``subscriber`` and ``delimiter``.  Rows for the other policy
+    column are left out.  A row that breaks a rule of :class:`FeedSpec` raises ``ValueError``.
+    """
     cols = set(feeds.columns)
-    full = F.coalesce(F.col("full_days"), F.lit(False)) if "full_days" in cols else F.lit(False)
-    aligner = F.when(full, F.lit(86400)).otherwise(F.lit(3600))
-    back = F.lit(int(now)) - F.lit(3600) * F.col("hours_ago").cast("long")
-    parts = F.array_distinct(F.filter(F.split(F.col("policies"), _regex_quote(delimiter)),
-                                      lambda p: p != F.lit("")))
-    kind = F.lower(F.col("kind")) if "kind" in cols else F.lit(None).cast("string")
-    return feeds.select(
-        F.col("feed"),
-        F.explode(parts).alias("policy"),
-        (back - F.pmod(back, aligner)).alias("min_hour"),
-        F.lit(None).cast("long").alias("max_hour"),
-        kind.alias("kind"),
-    )
-
-
-def _regex_quote(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
-def multi_feed_hits(logs: DataFrame, feeds, now: int, *,
-                    policy_column: str = "parent_policies",
-                    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
-                    extra: DataFrame | None = None, salt_buckets: int | None = None,
-                    mode: str = "overlap") -> DataFrame:
+    col = lambda name, kind: F.col(name).cast(kind) if name in cols else F.lit(None).cast(kind)
+    both = {"policies", "parent_policies"} <= cols
+    lists = F.col(policy_column if both else "policies" if "policies" in cols else "parent_policies")
+    other = F.col("policies" if policy_column == "parent_policies" else "parent_policies") if both else F.lit(None)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    full = F.coalesce(col("full_days", "boolean"), F.lit(False))
+    hours = F.expr("try_cast(hours_ago AS BIGINT)") if "hours_ago" in cols else F.lit(None).cast("long")
+    given = F.col("hours_ago").isNotNull() if "hours_ago" in cols else F.lit(False)
+    days = col("day_range", "string")
+    kind = F.lower(col("kind", "string"))
+    cut = F.coalesce(col("delimiter", "string"), F.lit(delimiter))
+    parts = F.array_distinct(F.filter(F.split(lists, F.concat(F.lit("\\Q"), cut, F.lit("\\E"))), lambda p: p != F.lit("")))
+    back = F.lit(int(now)) - F.lit(HOUR) * hours
+    day = lambda at: F.unix_date(F.try_to_timestamp(F.substring(days, at, 8), F.lit("yyyyMMdd")).cast("date")).cast("long") * DAY
+    form = days.isNotNull() & F.coalesce(days.rlike("^[0-9]{8}-[0-9]{8}$"), F.lit(False))
+    start, end = F.when(form, day(1)), F.when(form, day(10) + DAY)
+    unit = F.when(full, F.lit(DAY)).otherwise(F.lit(HOUR))
+    rows = feeds.select(
+        F.col("feed").cast("string").alias("feed"), col("subscriber", "string").alias("source"), parts.alias("parts"),
+        F.when(given, back - F.pmod(back, unit)).otherwise(start).alias("min_hour"),
+        F.when(~given, end).alias("max_hour"), kind.alias("kind"),
+        F.concat_ws(
+            "; ", F.when(F.col("feed").isNull(), "no feed name"),
+            F.when((text(lists) != "") & (text(other) != ""), "both policy columns are set"),
+            F.when((text(lists) == "") & (text(other) == ""), "no policies"),
+            F.when((text(lists) != "") & (F.size(parts) == 0), "empty policy list"),
+            F.when(given == days.isNotNull(), "exactly one of hours_ago and day_range must be set"),
+            F.when(given & F.coalesce(hours < 0, F.lit(True)), "hours_ago is not a whole number of hours"),
+            F.when(days.isNotNull() & F.coalesce(start >= end, F.lit(True)), "invalid day range"),
+            F.when(days.isNotNull() & full, "full_days applies to hours_ago windows only"),
+            F.when(kind.isNotNull() & ~F.coalesce(kind.isin("dns", "proxy"), F.lit(False)), "unknown kind"),
+        ).alias("fault"), (text(other) == "").alias("ours"))
+    bad = rows.filter("fault <> ''").agg(F.count("*").alias("n"), F.min(F.struct("feed", "fault")).alias("first")).first()
+    if bad["n"]:
+        raise ValueError(f"{bad['n']} invalid feeds, e.g. {bad['first']['feed']!r}: {bad['first']['fault']}")
+    return rows.filter("ours").select("feed", "source", F.explode("parts").alias("policy"), "min_hour", "max_hour", "kind")
+
+
+def merged_windows(windows: Sequence[tuple[int, int | None]]) -> list[tuple[int, int | None]]:
+    """Half-open windows joined where they meet; an end of None is open."""
+    out: list[tuple[int, int | None]] = []
+    for lo, hi in sorted(windows, key=lambda w: w[0]):
+        if out and (out[-1][1] is None or lo <= out[-1][1]):
+            last = out[-1][1]
+            out[-1] = (out[-1][0], None if last is None or hi is None else max(last, hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def scan_predicate(table: DataFrame) -> tuple[Column, bool, bool]:
+    """Partition predicate of the scan, and whether some feeds name a subscriber, and some do not.
+
+    The distinct windows and kinds of the feeds reach the driver, a few rows however many the feeds are."""
+    rows = table.select("min_hour", "max_hour", "kind", F.col("source").isNull().alias("any")).distinct().collect()
+    if not rows:
+        raise ValueError("no feeds")
+    out = None
+    for lo, hi in merged_windows([(r["min_hour"], r["max_hour"]) for r in rows]):
+        p = F.col("hour") >= F.lit(lo)
+        p = p if hi is None else p & (F.col("hour") < F.lit(hi))
+        out = p if out is None else out | p
+    kinds = {r["kind"] for r in rows}
+    if len(kinds) == 1 and None not in kinds:
+        out = out & kind_predicate(kinds.pop())
+    return out, not all(r["any"] for r in rows), any(r["any"] for r in rows)
+
+
+def multi_feed_hits(logs: DataFrame, feeds, now: int, *, policy_column: str = "parent_policies",
+                    extra: DataFrame | None = None, salt_buckets: int | None = None) -> DataFrame:
     """Union of per-feed hits, with the feed name first.
 
     ``feeds``: a sequence of :class:`Feed` (all on ``policy_column``) or a feeds table (see
     :func:`feed_table_from_frame`).  ``extra``: optional ``(feed, ...)`` frame whose other
     columns (e.g. ``feed_location``) are carried into the output; it has one row per feed.
-    ``salt_buckets``: for the shuffle join only (feed table above ``broadcast_limit``), split
-    every policy over that many join keys -- hits get a deterministic salt from a row hash,
-    the feed table is replicated once per bucket -- so a policy holding a large share of the
-    hits is spread over as many tasks even without AQE's skew handling.
+    ``salt_buckets``: split every policy over that many join keys -- hits get a deterministic
+    salt from a row hash, the feed table is replicated once per bucket -- so a policy holding
+    a large share of the hits is spread over as many tasks even without AQE's skew handling.
     """
     spark = logs.sparkSession
     if isinstance(feeds, DataFrame):
-        table = feed_table_from_frame(feeds, now)
-        size = table.limit(broadcast_limit + 1).count()
-        small_rows = table.collect() if size <= broadcast_limit else None
+        table = feed_table_from_frame(feeds, now, policy_column=policy_column)
     else:
         for f in feeds:
             if f.spec.policy_column != policy_column:
                 raise ValueError(f"feed {f.name!r} reads {f.spec.policy_column}, not {policy_column}")
-        small_rows = feed_rows(feeds, now)
-        if len(small_rows) > broadcast_limit:
-            table, small_rows = spark.createDataFrame(small_rows, FEED_TABLE_DDL), None
-    if small_rows is not None:
-        if not small_rows:
-            raise ValueError("no feeds")
-        lo = min(r[2] for r in small_rows)
-        values = sorted({r[1] for r in small_rows})
-        table = F.broadcast(_local_table(spark, [tuple(r) for r in small_rows]))
-    else:
-        lo = table.agg(F.min("min_hour")).first()[0]
-        values = None
-
-    scoped = logs.filter(F.col("hour") >= F.lit(lo))
-    hits = explode_policies(scoped, policy_column, values, mode=mode if values is not None else "after")
-    f = table.select(*[F.col(c).alias(f"_f_{c}") for c in table.columns])
-    salted = small_rows is None and salt_buckets and salt_buckets > 1
-    if salted:
+        table = feeds_frame(spark, feeds, now)
+    predicate, some_source, any_source = scan_predicate(table)
+    hits = explode_policies(logs.filter(predicate), policy_column)
+
+    # the join key of a hit is its subscriber, and the key of every subscriber if some feed reads all
+    subscriber = F.regexp_replace(F.col("subscriber"), PROXY_SUFFIX.replace(".", r"\.") + "$", "")
+    keys = [subscriber] * some_source + [F.lit(ANY_SOURCE)] * any_source
+    keyed = hits.withColumn("_source", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)))
+    f = table.select(F.coalesce("source", F.lit(ANY_SOURCE)).alias("_f_source"),
+                     *[F.col(c).alias(f"_f_{c}") for c in table.columns if c != "source"])
+    is_proxy = F.col("subscriber").endswith(PROXY_SUFFIX)
+    cond = ((keyed["_source"] == F.col("_f_source")) & (keyed["policy"] == F.col("_f_policy"))
+            & (keyed["hour"] >= F.col("_f_min_hour"))
+            & (F.col("_f_max_hour").isNull() | (keyed["hour"] < F.col("_f_max_hour")))
+            & (F.col("_f_kind").isNull() | ((F.col("_f_kind") == F.lit("proxy")) == is_proxy)))
+    if salt_buckets and salt_buckets > 1:
         n = int(salt_buckets)
-        from pyspark.sql import types as T
         # spread by a hash of the scalar columns (maps cannot be hashed)
-        scalar = [f.name for f in hits.schema.fields if isinstance(f.dataType, T.AtomicType)]
-        hits = hits.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in scalar]), F.lit(n)))
+        scalar = [c.name for c in hits.schema.fields if isinstance(c.dataType, T.AtomicType)]
+        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in scalar]), F.lit(n)))
         f = f.withColumn("_f_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    is_proxy = F.col("subscriber").endswith(PROXY_SUFFIX)
-    kind_ok = (F.col("_f_kind").isNull()
-               | ((F.col("_f_kind") == F.lit("proxy")) & is_proxy)
-               | ((F.col("_f_kind") == F.lit("dns")) & ~is_proxy))
-    cond = ((hits["policy"] == F.col("_f_policy"))
-            & (hits["hour"] >= F.col("_f_min_hour"))
-            & (F.col("_f_max_hour").isNull() | (hits["hour"] < F.col("_f_max_hour")))
-            & kind_ok)
-    if salted:
-        cond = cond & (hits["_salt"] == F.col("_f_salt"))
-    joined = hits.join(f, cond, "inner")
-    out = joined.select(F.col("_f_feed").alias("feed"), *[hits[c] for c in hits.columns if c != "_salt"])
-    if extra is not None:
-        # meant to hold one row per feed: broadcast only once that bound is checked
-        small = extra.limit(broadcast_limit + 1).count() <= broadcast_limit
-        out = out.join(F.broadcast(extra) if small else extra, "feed", "left")
-    return out
+        cond = cond & (F.col("_salt") == F.col("_f_salt"))
+    out = keyed.join(f, cond, "inner").select(F.col("_f_feed").alias("feed"), *[keyed[c] for c in hits.columns])
+    return out if extra is None else out.join(extra, "feed", "left")

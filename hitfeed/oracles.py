@@ -140,14 +140,16 @@ ORACLES: dict[str, str] = {
                   || '}, {ip=10.1.0.' || CAST(event_id % 256 AS VARCHAR) || ', cc=DE, asnum=None}]' END AS dns_answer_ips
       FROM events""",
     "hits_ordered": f"""WITH {hits_from(FLAG_WHERE, FLAG)}
-      SELECT row_number() OVER (ORDER BY start_time, event_id, user_id, event_type, policy, annotations,
-                                         subscriber, year, month, day, hour) AS ordinal,
+      SELECT row_number() OVER (ORDER BY start_time, event_id, policy) AS ordinal,
              event_id, start_time, policy, subscriber FROM hits""",
     "multi_feed_hits": f"""WITH {hits_from("TRUE")}
       SELECT 'a' AS feed, * FROM hits WHERE hour >= {((NOW - 72 * H) // D) * D} AND policy IN ('error', 'p3')
       UNION ALL SELECT 'b' AS feed, * FROM hits WHERE hour >= {((NOW - 1 * H) // D) * D} AND policy IN ('p3')
       UNION ALL SELECT 'c' AS feed, * FROM hits WHERE hour >= {((NOW - 720 * H) // D) * D} AND policy IN ('view', 'view', 'click')""",
+    "stream_hits_dns": hits("subscriber NOT LIKE '%.proxy'", FLAG),
+    "stream_hits_proxy": hits("subscriber LIKE '%.proxy'", FLAG),
     "stream_hits_available_now": hits("TRUE", FLAG),
+    "stream_hits_retained": hits(FLAG_WHERE, FLAG),
 }
 
 
@@ -168,4 +170,31 @@ ORACLES["multi_feed_csv"] = f"""WITH {hits_from("TRUE")}, m AS (
   FROM m"""
 ORACLES["saved_view_sql"] = hits(FLAG_WHERE, FLAG)
 ORACLES["feed_export_job"] = hits_text(FLAG_WHERE, FLAG)
-ORACLES["stream_hits_retained"] = hits(FLAG_WHERE, FLAG)
+ORACLES["feed_export_republish"] = hits_text(FLAG_WHERE, FLAG)
+ORACLES["latest_snapshot_many_incomplete"] = hits_text(FLAG_WHERE, FLAG)
+ORACLES["repair_then_read"] = hits(FLAG_WHERE + " AND subscriber NOT LIKE '%.proxy'", FLAG)
+ORACLES["sync_with_locations"] = f"""WITH {hits_from(FLAG_WHERE + " AND hour >= 1706400000", FLAG)}
+  SELECT * REPLACE (subscriber || ':x' AS subscriber) FROM hits"""
+ORACLES["refresh_hour_table_corrected"] = hits(
+    f"hour >= {NOW - 72 * H} AND (event_id % 7 <> 0 OR hour >= {NOW - 24 * H}) AND hour <> {NOW - 5 * H}", FLAG)
+ORACLES["multi_feed_by_source"] = f"""WITH {hits_from("TRUE")}
+  SELECT 's0' AS feed, * FROM hits WHERE hour >= 1706313600 AND hour < 1706486400 AND policy IN ('error', 'p3')
+    AND subscriber IN ('sub.0', 'sub.0.proxy')
+  UNION ALL SELECT 's1' AS feed, * FROM hits WHERE hour >= {((NOW - 72 * H) // D) * D} AND policy = 'error'
+    AND subscriber IN ('sub.1', 'sub.1.proxy')
+  UNION ALL SELECT 'all' AS feed, * FROM hits WHERE hour >= {NOW - 10 * H} AND policy IN ('p3', 'error')
+    AND subscriber LIKE '%.proxy'"""
+for _kind, _not in (("dns", "NOT "), ("proxy", "")):
+    ORACLES[f"read_{_kind}_full_schema"] = f"""WITH {POLICY_LOG}
+  SELECT start_time, coalesce(array_to_string(parent_policies, '|'), '') AS parent_policies, subscriber, year, month, day, hour
+  FROM policy_log WHERE subscriber {_not}LIKE '%.proxy'"""
+ORACLES["add_partition_at_location"] = f"""WITH {POLICY_LOG}
+  SELECT event_id, start_time, 'it''s:here' AS subscriber, 2024 AS year, 1 AS month, 31 AS day, {NOW} AS hour FROM policy_log"""
+_forms = {"hours": f"hour >= {NOW - 5 * H}", "current": f"hour >= {NOW}", "days": f"hour >= {((NOW - 30 * H) // D) * D}",
+          "range": "hour >= 1705708800 AND hour < 1705881600"}
+ORACLES["window_choice"] = f"WITH {POLICY_LOG} " + " UNION ALL ".join(
+    f"SELECT '{k}' AS form, count(*) AS n, min(hour) AS first, max(hour) AS last FROM policy_log WHERE {w}" for k, w in _forms.items())
+ORACLES["policy_column_choice"] = f"""WITH {POLICY_LOG},
+  x AS (SELECT start_time, unnest([event_type, 'any']) AS policy, CAST(parent_policies AS VARCHAR) AS parent_policies,
+               subscriber, year, month, day, hour FROM policy_log WHERE {FLAG_WHERE} AND subscriber NOT LIKE '%.proxy')
+  SELECT * FROM x WHERE policy IN ('error', 'any')"""

@@ -24,18 +24,18 @@ def export_feed(logs: DataFrame, spec: FeedSpec, now: int, *, mode: str = "overl
     """
     scoped = logs.filter(spec.hour_predicate(now))
     if columns is not None:
+        unknown = [c for c in columns if c not in logs.columns and c != "policy"]
+        if unknown:
+            raise ValueError(f"unknown columns {unknown}")
         keep = [c for c in logs.columns if c in set(columns) | {spec.policy_column}]
         scoped = scoped.select(*keep)
     hits = explode_policies(scoped, spec.policy_column, spec.values, mode=mode)
     return render_nested(hits) if render else hits
 
 
-def export_multi(logs: DataFrame, feeds, now: int, *, render: bool = True,
-                 broadcast_limit: int | None = None, salt_buckets: int | None = None) -> DataFrame:
+def export_multi(logs: DataFrame, feeds, now: int, *, policy_column: str = "parent_policies", render: bool = True,
+                 salt_buckets: int | None = None) -> DataFrame:
     """Many feeds in one scan: the union of ``export_feed`` over ``feeds``, tagged by feed
     name (see :func:`hitfeed.operators.multifeed.multi_feed_hits`)."""
-    kwargs = {} if broadcast_limit is None else {"broadcast_limit": broadcast_limit}
-    if salt_buckets:
-        kwargs["salt_buckets"] = salt_buckets
-    hits = multi_feed_hits(logs, feeds, now, **kwargs)
+    hits = multi_feed_hits(logs, feeds, now, policy_column=policy_column, salt_buckets=salt_buckets)
     return render_nested(hits) if render else hits

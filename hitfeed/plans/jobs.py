@@ -33,7 +33,8 @@ class FeedTarget:
     output_dir: str | None = None
     output_filename: str | None = None
     keep_original: bool = False
-    target_dir: str | None = None  # put the stable-name copy here instead of next to the output
+    target_dir: str | None = None  # put the stable name here instead of below the location
+    single_file: bool = False  # one file (one task) instead of a directory of part files
 
     def __repr__(self) -> str:  # never show the salt
         return (f"FeedTarget(base={self.base!r}, ordinal={self.ordinal!r}, subscriber={self.subscriber!r}, "
@@ -46,22 +47,22 @@ class FeedTarget:
 
 
 def export_job(spark: SparkSession, logs: DataFrame, spec: FeedSpec, target: FeedTarget, *,
-               now: int | None = None, order_by: str | None = None) -> str:
-    """Write one feed.  With ``target.output_filename`` the feed is one file with that name
-    (the original part file kept only with ``keep_original``); otherwise a directory of
-    part files.  Returns the written path."""
+               now: int | None = None, order_by: str | None = None, mode: str = "overlap") -> str:
+    """Write one feed.  With ``target.output_filename`` the feed is a directory of part files with that
+    name, or one file with ``target.single_file`` (the original part file kept only with
+    ``keep_original``).  Returns the written path."""
     now = int(now if now is not None else time.time())
-    return write_csv(export_feed(logs, spec, now), target.location(now), order_by=order_by,
-                     single_file=target.output_filename is not None, filename=target.output_filename,
+    return write_csv(export_feed(logs, spec, now, mode=mode), target.location(now), order_by=order_by,
+                     single_file=target.single_file, filename=target.output_filename,
                      keep_original=target.keep_original, target_dir=target.target_dir)
 
 
 def refresh_job(spark: SparkSession, logs: DataFrame, spec: FeedSpec, target: FeedTarget, *, input_root: str,
                 input_prefix: str = "", hourly: bool = False, catch_up: bool = False, now: int | None = None,
-                refilter: bool = False) -> RefreshResult:
+                refilter: bool = False, mode: str = "overlap") -> RefreshResult:
     """Refresh the newest snapshot under ``input_root/input_prefix`` into the target."""
     now = int(now if now is not None else time.time())
     return refresh_feed(spark, logs, spec, now, target.location(now), snapshot_root=input_root,
-                        prefix=input_prefix, hourly=hourly, catch_up=catch_up, refilter=refilter,
-                        single_file=target.output_filename is not None, filename=target.output_filename,
+                        prefix=input_prefix, hourly=hourly, catch_up=catch_up, refilter=refilter, mode=mode,
+                        single_file=target.single_file, filename=target.output_filename,
                         keep_original=target.keep_original, target_dir=target.target_dir)

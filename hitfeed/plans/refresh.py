@@ -52,6 +52,16 @@ def last_seen_hour(snapshot: DataFrame, aligner: int = HOUR) -> int | None:
     return None if v is None else floor_to(int(v) // MICROS, aligner)
 
 
+def retained(floor: int):
+    """Whether a snapshot row is at or above the retention floor."""
+    return F.coalesce(_num("hour") >= F.lit(floor), F.lit(False))
+
+
+def before_seam(seam: int):
+    """Whether a snapshot row lies strictly before the re-query point."""
+    return F.coalesce(_num("hour") < F.lit(seam), F.lit(False))
+
+
 def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, previous: DataFrame, *,
                  hourly: bool = False, catch_up: bool = False, refilter: bool = False,
                  mode: str = "overlap") -> tuple[DataFrame, list[str], int, int]:
@@ -67,13 +77,12 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
         raise ValueError("a refresh needs an hours_ago window (day ranges are not refreshed)")
     columns = target_columns(logs.schema, spec.policy_column)
     floor = hours_ago_bound(now, spec.hours_ago, spec.full_days)
+    in_window = retained(floor)
     if catch_up:
         seam = catchup_seam(floor, last_seen_hour(previous, DAY if spec.full_days else HOUR))
     else:
         seam = strict_seam(now, hourly)
-    hour = _num("hour")
-    in_window = F.coalesce(hour >= F.lit(floor), F.lit(False))
-    keep = in_window & F.coalesce(hour < F.lit(seam), F.lit(False))
+    keep = in_window & before_seam(seam)
     if refilter:
         keep = keep & F.coalesce(F.col("policy").isin(spec.values), F.lit(False))
     bad = _num("hour").isNull() | _num("start_time").isNull()
@@ -114,7 +123,7 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     prev = read_snapshot(spark, previous, columns)
     tagged, columns, floor, seam = refresh_plan(spark, logs, spec, now, prev, hourly=hourly,
                                                 catch_up=catch_up, refilter=refilter, mode=mode)
-    ordered = sort_by_start_time(tagged, num_partitions, tiebreak=columns)
+    ordered = sort_by_start_time(tagged, num_partitions)
     obs = Observation("refresh")
     old = ~F.col("_new")
     ordered = ordered.observe(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from hitfeed import fixtures
-from hitfeed.fixtures import NOW, policy_log, partitioned_copy, table
+from hitfeed.fixtures import NOW, policy_log, partitioned_copy, table, write_partitioned
 from hitfeed.functions.location import location_column
 from hitfeed.functions.render import render_column, render_nested
 from hitfeed.functions.timebounds import DAY, HOUR, MICROS, hours_ago_bound, strict_seam
@@ -23,14 +23,14 @@ from hitfeed.operators.ordering import with_global_ordinal
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
-from hitfeed.plans.refresh import last_seen_hour, refresh_feed
+from hitfeed.plans.refresh import before_seam, last_seen_hour, refresh_feed, retained
 from hitfeed.plans.sync import sync_partitions
-from hitfeed.schemas import struct_from_ddl
+from hitfeed.schemas import PARTITION_COLUMNS, schema_for, struct_from_ddl
 from hitfeed.session import scratch_path
 from hitfeed.sinks.csv import write_csv
-from hitfeed.sources.logs import read_logs, read_table, source_names, union_view
+from hitfeed.sources.logs import read_dns, read_logs, read_proxy, read_table, source_names, union_view
 from hitfeed.sources.partitions import (
-    add_partitions, create_log_table, missing_partitions, registered_partitions, stored_partitions,
+    add_partitions, create_log_table, missing_partitions, registered_partitions, repair_partitions, stored_partitions,
 )
 from hitfeed.sources.snapshots import latest_snapshot, read_snapshot
 from hitfeed.streaming.hits_stream import hits_schema, read_hits, stream_hits
@@ -42,6 +42,7 @@ HIT_COLUMNS = ["event_id", "start_time", "user_id", "event_type", "policy", "ann
                "subscriber", "year", "month", "day", "hour"]
 
 
+EMPTIED_HOUR = NOW - 5 * HOUR
 SEED_BOUND = 1706400000  # partitions below this hour count as already registered
 
 
@@ -120,11 +121,19 @@ def q_stored_partitions(spark, sf):
     return stored_partitions(spark, partitioned_copy(spark, sf))
 
 
+def _table_name(spark) -> str:
+    """A catalog name of this query; tables of earlier queries of the session go."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("hitfeedq_") and not t.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    return "hitfeedq_" + scratch_path(spark, "t").rsplit("-", 1)[1]
+
+
 def _seeded_table(spark, sf, kind=None) -> tuple[str, str]:
     """A catalog table over the partitioned copy with the partitions below SEED_BOUND
     registered (of ``kind`` only, when given)."""
     root = partitioned_copy(spark, sf)
-    name = "hitfeed_" + scratch_path(spark, "t").rsplit("-", 1)[1]
+    name = _table_name(spark)
     create_log_table(spark, name, _log_schema(), root)
     stored = stored_partitions(spark, root, kind)
     add_partitions(spark, name, stored.filter(F.col("hour") < F.lit(SEED_BOUND)))
@@ -142,6 +151,27 @@ def q_sync_partitions(spark, sf):
     return registered_partitions(spark, name)
 
 
+def q_sync_with_locations(spark, sf):
+    """Directories whose names escape and zero-pad the values: what the synced table reads."""
+    logs = policy_log(spark, sf).withColumn("subscriber", F.concat(F.col("subscriber"), F.lit(":x")))
+    root = scratch_path(spark, "padded")
+    padded = logs.withColumns({"month": F.lpad(F.col("month").cast("string"), 2, "0"),
+                               "day": F.lpad(F.col("day").cast("string"), 2, "0")})
+    write_partitioned(padded.filter(F.col("hour") >= F.lit(SEED_BOUND)), root)
+    name = _table_name(spark)
+    create_log_table(spark, name, _log_schema(), root)
+    sync_partitions(spark, name, root)
+    return export_feed(read_table(spark, name), FLAGSHIP, NOW)
+
+
+def q_repair_then_read(spark, sf):
+    """Everything below the shared root registered at once; the reader splits the kinds."""
+    name = _table_name(spark)
+    create_log_table(spark, name, _log_schema(), partitioned_copy(spark, sf))
+    repair_partitions(spark, name)
+    return export_feed(read_table(spark, name, "dns"), FLAGSHIP, NOW)
+
+
 def q_catalog_table_export(spark, sf):
     """Flagship export read through a catalog table whose partitions were registered in two
     steps (seeded, then synced): partition pruning happens in the catalog."""
@@ -159,6 +189,19 @@ def q_latest_snapshot_rows(spark, sf):
     return read_snapshot(spark, latest_snapshot(spark, root, "feed-a"), HIT_COLUMNS)
 
 
+def q_latest_snapshot_many_incomplete(spark, sf):
+    """One complete run, then twelve newer ones that died before their commit."""
+    logs = policy_log(spark, sf)
+    root = scratch_path(spark, "snapshots")
+    _snapshot(spark, logs, FLAGSHIP, NOW, f"{root}/feed-a/run-00")
+    late = FeedSpec(parent_policies="view", hours_ago=1)
+    for i in range(1, 13):
+        path = _snapshot(spark, logs, late, NOW, f"{root}/feed-a/run-{i:02d}")
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marker, False)
+    return read_snapshot(spark, latest_snapshot(spark, root, "feed-a"), HIT_COLUMNS)
+
+
 def _previous(spark, sf, t):
     logs = policy_log(spark, sf)
     path = _snapshot(spark, logs, FLAGSHIP, t, scratch_path(spark, "prev"))
@@ -167,13 +210,12 @@ def _previous(spark, sf, t):
 
 def q_retained_snapshot(spark, sf):
     _, snap = _previous(spark, sf, NOW - HOUR)
-    floor = hours_ago_bound(NOW, 48)
-    return snap.filter(F.expr("try_cast(hour AS BIGINT)") >= F.lit(floor))
+    return snap.filter(retained(hours_ago_bound(NOW, 48)))
 
 
 def q_seam_snapshot(spark, sf):
     _, snap = _previous(spark, sf, NOW - HOUR)
-    return snap.filter(F.expr("try_cast(hour AS BIGINT)") < F.lit(strict_seam(NOW, hourly=False)))
+    return snap.filter(before_seam(strict_seam(NOW, hourly=False)))
 
 
 def q_last_seen_hour(spark, sf):
@@ -212,6 +254,18 @@ def q_refresh_hour_table(spark, sf):
     return read_hour_table(spark, path, HIT_COLUMNS)
 
 
+def q_refresh_hour_table_corrected(spark, sf):
+    """The hour table equals the full export after the source changed: the hits of one hour above the
+    seam are gone, and events of the last day arrived 10 hours late."""
+    logs = policy_log(spark, sf)
+    path = scratch_path(spark, "hour-table")
+    late = F.pmod("event_id", F.lit(7)) == 0
+    refresh_hour_table(spark, logs.filter(~late), FLAGSHIP, NOW, path)
+    corrected = logs.filter(F.col("hour") != F.lit(EMPTIED_HOUR))
+    refresh_hour_table(spark, corrected.filter(~late | (F.col("hour") >= F.lit(NOW - 24 * HOUR))), FLAGSHIP, NOW, path)
+    return read_hour_table(spark, path, HIT_COLUMNS)
+
+
 def q_run_metrics(spark, sf):
     res = _refresh(spark, sf, NOW - HOUR, hourly=True)
     m = res.metrics
@@ -266,7 +320,7 @@ def q_render_nested(spark, sf):
 
 def q_hits_ordered(spark, sf):
     hits = export_feed(policy_log(spark, sf), FLAGSHIP, NOW)
-    return with_global_ordinal(hits).select("ordinal", "event_id", "start_time", "policy", "subscriber")
+    return with_global_ordinal(hits, tiebreak=["event_id", "policy"]).select("ordinal", "event_id", "start_time", "policy", "subscriber")
 
 
 FEEDS = [
@@ -280,6 +334,17 @@ def q_multi_feed_hits(spark, sf):
     return export_multi(policy_log(spark, sf), FEEDS, NOW)
 
 
+def q_multi_feed_by_source(spark, sf):
+    """A feeds table: two feeds on one policy for different subscribers, one of them a day range, one
+    for every subscriber, and one kind only."""
+    feeds = spark.createDataFrame(
+        [("s0", "error,p3", "sub.0", None, "20240127-20240128", None, None), ("s1", "error", "sub.1", 72, None, True, None),
+         ("all", "p3|p3||error", None, 10, None, None, "proxy")],
+        "feed string, parent_policies string, subscriber string, hours_ago int, day_range string, full_days boolean, kind string")
+    feeds = feeds.withColumn("delimiter", F.when(F.col("feed") == "all", "|"))
+    return export_multi(policy_log(spark, sf), feeds, NOW)
+
+
 FEED_SALT = "example-salt"
 
 
@@ -329,6 +394,17 @@ def q_feed_export_job(spark, sf):
     return read_snapshot(spark, path, HIT_COLUMNS)
 
 
+def q_feed_export_republish(spark, sf):
+    """A published feed after a second run over the same name."""
+    from hitfeed.plans.jobs import FeedTarget, export_job
+    target = FeedTarget(scratch_path(spark, "job"), FEED_SALT, "1", "sub.0", "soc0@example.org",
+                        output_dir="csv", output_filename="LatestTriggers.csv")
+    logs = policy_log(spark, sf)
+    export_job(spark, logs, FeedSpec(parent_policies="view", hours_ago=24), target, now=NOW)
+    path = export_job(spark, logs, FLAGSHIP, target, now=NOW, order_by="start_time")
+    return read_snapshot(spark, path, HIT_COLUMNS)
+
+
 def q_feed_locations(spark, sf):
     subs = policy_log(spark, sf).select("subscriber").distinct()
     feeds = subs.select("subscriber", F.concat(F.lit("soc@"), "subscriber").alias("receiver"),
@@ -336,27 +412,101 @@ def q_feed_locations(spark, sf):
     return feeds.withColumn("feed_location", location_column(FEED_SALT, "ordinal", "subscriber", "receiver"))
 
 
-def q_stream_hits_available_now(spark, sf):
-    root = partitioned_copy(spark, sf)
+def _stream(spark, sf, kind, runs=1):
+    root = partitioned_copy(spark, sf)  # both kinds share it
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    spec = FeedSpec(parent_policies="error,p3", hours_ago=0)
-    for _ in range(2):  # the second run finds no new files and adds nothing
-        q = stream_hits(spark, root, _log_schema(), spec, out, ckpt)
-        q.awaitTermination()
+    for _ in range(runs):
+        stream_hits(spark, root, _log_schema(), kind, "error,p3", out, ckpt).awaitTermination()
+    return out
+
+
+def _read_stream(spark, out):
     return read_hits(spark, out, hits_schema(spark, _log_schema(), "parent_policies"))
 
 
+def q_stream_hits_available_now(spark, sf):
+    """The streams of both kinds; a second run finds no new files and adds nothing."""
+    return _read_stream(spark, _stream(spark, sf, "dns", 2)).unionByName(_read_stream(spark, _stream(spark, sf, "proxy", 2)))
+
+
+def _stream_hits(kind):
+    return lambda spark, sf: _read_stream(spark, _stream(spark, sf, kind))
+
+
 def q_stream_hits_retained(spark, sf):
-    """The stream's hit table after retention: whole hours below the 72-hour floor are
-    deleted and the read prunes them away."""
+    """Both kinds' hit tables after retention: whole hours below the 72-hour floor are gone for
+    every reader."""
     from hitfeed.plans.hour_table import drop_hours_below
-    root = partitioned_copy(spark, sf)
-    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    spec = FeedSpec(parent_policies="error,p3", hours_ago=0)
-    stream_hits(spark, root, _log_schema(), spec, out, ckpt).awaitTermination()
-    floor = hours_ago_bound(NOW, 72)
-    drop_hours_below(spark, out, floor)
-    return read_hits(spark, out, hits_schema(spark, _log_schema(), "parent_policies"), floor)
+    outs = [_stream(spark, sf, kind) for kind in ("dns", "proxy")]
+    for out in outs:
+        drop_hours_below(spark, out, hours_ago_bound(NOW, 72))
+    return _read_stream(spark, outs[0]).unionByName(_read_stream(spark, outs[1]))
+
+
+def _log_frame(spark, sf, kind):
+    """The 44 or 50 data columns and 5 partition columns of a kind, derived from ``events``: the check
+    view's columns under their table names, ``policies`` from its event type, others null."""
+    log = policy_log(spark, sf).filter(F.col("subscriber").endswith(".proxy") == F.lit(kind == "proxy"))
+    given = {"start_time": F.col("start_time"), "parent_policies": F.col("parent_policies"), "subscriber": F.col("subscriber"),
+             "policies": F.array(F.col("event_type"), F.lit("any")), **{n: F.col(n) for n, _ in PARTITION_COLUMNS}}
+    return log.select(*[(given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in schema_for(kind).fields])
+
+
+_full_copies: dict[tuple, str] = {}
+
+
+def _full_copy(spark, sf) -> str:
+    """Both kinds with their full schemas below one root, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _full_copies:
+        root = scratch_path(spark, "logs")
+        for k in ("dns", "proxy"):
+            write_partitioned(_log_frame(spark, sf, k), root, mode="append")
+        _full_copies[key] = root
+    return _full_copies[key]
+
+
+def _reader(kind):
+    def q(spark, sf):
+        """Read with the kind's own full schema."""
+        root = _full_copy(spark, sf)
+        read = read_dns if kind == "dns" else read_proxy
+        return read(spark, root).select("start_time", F.concat_ws("|", "parent_policies").alias("parent_policies"), *[n for n, _ in PARTITION_COLUMNS])
+    return q
+
+
+def q_add_partition_at(spark, sf):
+    """One partition registered at an explicit location outside the table's root."""
+    logs = policy_log(spark, sf)
+    away = scratch_path(spark, "away")
+    logs.select(*[c for c in logs.columns if c not in dict(PARTITION_COLUMNS)]).write.parquet(away)
+    name = _table_name(spark)
+    create_log_table(spark, name, _log_schema(), scratch_path(spark, "empty-root"))
+    row = {"subscriber": "it's:here", "year": 2024, "month": 1, "day": 31, "hour": NOW, "location": away}
+    add_partitions(spark, name, [row])
+    return spark.table(name).select("event_id", "start_time", *dict(PARTITION_COLUMNS))
+
+
+def q_window_choice(spark, sf):
+    """Each form of the window, and its bounds on ``hour``."""
+    logs = policy_log(spark, sf)
+    specs = {"hours": FeedSpec(parent_policies="view", hours_ago=5), "current": FeedSpec(parent_policies="view", hours_ago=0),
+             "days": FeedSpec(parent_policies="view", hours_ago=30, full_days=True),
+             "range": FeedSpec(parent_policies="view", day_range="20240120-20240121")}
+    out = None
+    for name, spec in specs.items():
+        one = logs.filter(spec.hour_predicate(NOW)).agg(F.count("*").alias("n"), F.min("hour").alias("first"), F.max("hour").alias("last"))
+        one = one.select(F.lit(name).alias("form"), "n", "first", "last")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_policy_column_choice(spark, sf):
+    """The export over ``policies`` instead of ``parent_policies`` (the latter stays as a column)."""
+    logs = _log_frame(spark, sf, "dns")
+    spec = FeedSpec(policies="error,any", hours_ago=72)
+    return export_feed(logs, spec, NOW).select("start_time", "policy", "parent_policies", *[n for n, _ in PARTITION_COLUMNS])
 
 
 QUERIES: dict[str, Query] = {
@@ -395,5 +545,18 @@ QUERIES: dict[str, Query] = {
     "multi_feed_csv": q_multi_feed_csv,
     "saved_view_sql": q_saved_view_sql,
     "stream_hits_available_now": q_stream_hits_available_now,
+    "stream_hits_dns": _stream_hits("dns"),
+    "stream_hits_proxy": _stream_hits("proxy"),
+    "read_dns_full_schema": _reader("dns"),
+    "read_proxy_full_schema": _reader("proxy"),
+    "add_partition_at_location": q_add_partition_at,
+    "window_choice": q_window_choice,
+    "policy_column_choice": q_policy_column_choice,
+    "sync_with_locations": q_sync_with_locations,
+    "repair_then_read": q_repair_then_read,
+    "latest_snapshot_many_incomplete": q_latest_snapshot_many_incomplete,
+    "refresh_hour_table_corrected": q_refresh_hour_table_corrected,
+    "multi_feed_by_source": q_multi_feed_by_source,
+    "feed_export_republish": q_feed_export_republish,
     "stream_hits_retained": q_stream_hits_retained,
 }

@@ -58,7 +58,9 @@ def scratch_root(spark: SparkSession) -> str:
             # getCheckpointDir appends a per-application UUID; use its parent
             root = root.rstrip("/").rsplit("/", 1)[0]
     if not root:
-        # unset: a bare local session (tests); never taken on a cluster that sets it
+        # unset: a bare local session (tests).  On a cluster a driver-local folder would lose data.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="hitfeed-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:

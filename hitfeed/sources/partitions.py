@@ -2,12 +2,14 @@
 
 * ``stored_partitions``     -- what is in storage: a ``binaryFile`` listing that selects only
                                the path (no file content is read), keys parsed from the path,
-                               ``distinct``.  Spark lists directories in parallel.
+                               one row per partition.  Spark lists directories in parallel.
+                               ``stored_locations`` also carries the real directory, which
+                               may escape or pad the values.
 * ``registered_partitions`` -- what the catalog has (``SHOW PARTITIONS``), parsed to columns.
 * ``missing_partitions``    -- stored minus registered (left anti join on the five keys).
 * ``add_partitions``        -- ``ALTER TABLE ... ADD IF NOT EXISTS PARTITION (...)`` in chunks,
-                               typed literals, optional explicit locations.  Only the missing
-                               list reaches the driver, streamed chunk by chunk.
+                               typed literals, the directories found as locations.  Only the
+                               missing list reaches the driver, streamed chunk by chunk.
 * ``repair_partitions``     -- register everything found under the table root.
 """
 
@@ -47,18 +49,26 @@ def stored_partitions(spark: SparkSession, root: str, kind: str | None = None, *
     day after ``until`` (default: now) are listed, and partitions below ``since_hour`` are
     dropped: an hourly sync then lists O(new days), not the whole history.  This relies on
     ``year/month/day`` agreeing with ``hour`` to within a day."""
+    return stored_locations(spark, root, kind, since_hour=since_hour, until=until).drop("location")
+
+
+def stored_locations(spark: SparkSession, root: str, kind: str | None = None, *,
+                     since_hour: int | None = None, until: int | None = None) -> DataFrame:
+    """:func:`stored_partitions` with ``location``, the partition's directory as it is named in
+    storage (the first by name, where two directories spell the same values)."""
     paths = [root] if since_hour is None else _day_dirs(spark, root, since_hour, until)
-    schema = ", ".join(f"{n} {t}" for n, t in PARTITION_COLUMNS)
+    schema = ", ".join(f"{n} {t}" for n, t in [*PARTITION_COLUMNS, ("location", "string")])
     if not paths:
         return spark.createDataFrame([], schema)
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
              .load(paths)
              .select("path"))
-    keyed = files.filter(F.col("path").rlike(_PATH_PATTERN)).select(*_parse(F.col("path"), _PATH_PATTERN))
+    keyed = files.filter(F.col("path").rlike(_PATH_PATTERN)).select(
+        *_parse(F.col("path"), _PATH_PATTERN), F.regexp_extract("path", f"^(.*{_PATH_PATTERN.removesuffix('(/|$)')})(/|$)", 1).alias("location"))
     if since_hour is not None:
         keyed = keyed.filter(F.col("hour") >= F.lit(int(since_hour)))
-    parts = keyed.distinct()
+    parts = keyed.groupBy(*PARTITION_NAMES).agg(F.min("location").alias("location"))
     return split_kind(parts, kind) if kind else parts
 
 
@@ -70,7 +80,8 @@ def _day_dirs(spark: SparkSession, root: str, since_hour: int, until: int | None
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
     out = []
     for y, m, d in window_days(since_hour, until):
-        pattern = f"{root.rstrip('/')}/subscriber=*/year={y}/month={m}/day={d}"
+        # with and without zero padding
+        pattern = f"{root.rstrip('/')}/subscriber=*/year={y}/month={{{m},{m:02d}}}/day={{{d},{d:02d}}}"
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
         out += [st.getPath().toString() for st in (found or []) if st.isDirectory()]
     return out
@@ -122,12 +133,16 @@ def _literal(value, typ: str) -> str:
 
 
 def partition_spec_sql(row, root: str | None = None) -> str:
-    """``PARTITION (subscriber='s', year=2024, ...) [LOCATION '...']`` with typed literals."""
+    """``PARTITION (subscriber='s', year=2024, ...) [LOCATION '...']`` with typed literals.
+
+    The location is the row's own, where it has one, or else the plain path below ``root``."""
     vals = [row[n] for n in PARTITION_NAMES]
     spec = ", ".join(f"{n}={_literal(v, t)}" for (n, t), v in zip(PARTITION_COLUMNS, vals))
     text = f"PARTITION ({spec})"
-    if root is not None:
+    loc = row["location"] if "location" in row else None
+    if loc is None and root is not None:
         loc = root.rstrip("/") + "/" + "/".join(f"{n}={v}" for n, v in zip(PARTITION_NAMES, vals))
+    if loc is not None:
         text += f" LOCATION {_literal(loc, 'string')}"
     return text
 

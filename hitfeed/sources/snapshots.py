@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+#: Part files of a Spark output directory.
+PART_FILE = r"/part-[0-9]+[^/]*\.csv$"
+
 CSV_READ_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -22,7 +25,7 @@ CSV_READ_OPTIONS = {
 
 
 def list_csv(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """``(path, modificationTime, snapshot)`` of every ``.csv`` below ``root`` whose path
+    """``(path, modificationTime, snapshot, named)`` of every ``.csv`` below ``root`` whose path
     relative to ``root`` starts with ``prefix`` (a directory, a partial name, or both)."""
     root = root.rstrip("/")
     # list only below the prefix's directory part, not the whole root
@@ -33,10 +36,10 @@ def list_csv(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
                .select("path", "modificationTime"))
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_path(root) + "/", "")
     parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
-    is_part = F.col("path").rlike(r"/part-[0-9]+[^/]*\.csv$")
+    is_part = F.col("path").rlike(PART_FILE)
     return (listing.filter(F.col("path").endswith(".csv") & rel.startswith(prefix))
             .select("path", "modificationTime",
-                    F.when(is_part, parent).otherwise(F.col("path")).alias("snapshot")))
+                    F.when(is_part, parent).otherwise(F.col("path")).alias("snapshot"), (~is_part).alias("named")))
 
 
 def _re_path(p: str) -> str:
@@ -44,41 +47,31 @@ def _re_path(p: str) -> str:
     return re.escape(p.split(":", 1)[-1] if p.startswith("file:") else p)
 
 
-def latest_snapshot(spark: SparkSession, root: str, prefix: str = "", *, candidates: int = 10) -> str:
+def latest_snapshot(spark: SparkSession, root: str, prefix: str = "") -> str:
     """Path of the newest *complete* snapshot (a file, or a Spark output directory).
 
     A directory counts only once its ``_SUCCESS`` marker exists: a job that died while
     committing can leave part files without it, and refreshing from such a partial
-    snapshot would lose rows.  The newest ``candidates`` snapshots are checked, newest
-    first (one metadata call each); only those rows reach the driver."""
+    snapshot would lose rows.  Spark's listing hides markers, so the candidates are streamed
+    newest first and checked one by one (a metadata call each) until one is complete, however
+    many incomplete runs are newer."""
+    missing = FileNotFoundError(f"no complete .csv snapshot under {root!r} with prefix {prefix!r}")
     try:
         listing = list_csv(spark, root, prefix)
     except Exception as e:  # the prefix's directory does not exist
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            raise FileNotFoundError(f"no .csv snapshot under {root!r} with prefix {prefix!r}") from None
+            raise missing from None
         raise
-    newest = (listing.groupBy("snapshot")
-              .agg(F.max(F.struct("modificationTime", "path")).alias("newest"), F.count(F.lit(1)).alias("files"))
-              .orderBy(F.col("newest").desc())
-              .limit(candidates)
-              .collect())
-    for row in newest:
-        path = row["snapshot"]
-        if path.endswith(".csv") and not _is_part(path):
-            return path
-        if _exists(spark, path.rstrip("/") + "/_SUCCESS"):
-            return path
-    raise FileNotFoundError(f"no complete .csv snapshot under {root!r} with prefix {prefix!r}")
-
-
-def _is_part(path: str) -> bool:
-    import re
-    return re.search(r"/part-[0-9]+[^/]*\.csv$", path) is not None
+    newest = (listing.groupBy("snapshot", "named").agg(F.max(F.struct("modificationTime", "path")).alias("newest"))
+              .orderBy(F.col("newest").desc()))
+    for row in newest.toLocalIterator():
+        if row["named"] or _exists(spark, row["snapshot"].rstrip("/") + "/_SUCCESS"):
+            return row["snapshot"]
+    raise missing
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 

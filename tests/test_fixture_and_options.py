@@ -1,11 +1,12 @@
 """The fixture's published check value, refilter, and the observe counters."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
 from hitfeed.fixtures import NOW, policy_log
 from hitfeed.operators.hits import explode_policies
-from hitfeed.operators.metrics import RunMetrics
 from hitfeed.plans.export import export_feed
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.plans.refresh import refresh_feed
@@ -39,11 +40,25 @@ def test_refilter_drops_old_rows_of_removed_policies(spark, small_log):
     assert b.count() == export_feed(small_log, new_spec, NOW).count()
 
 
-def test_run_metrics_counters(spark, small_log):
-    m = RunMetrics()
-    df = m.count(small_log, "input")
-    df = m.count(df.filter("parent_policies IS NOT NULL"), "with_policies")
-    df.write.format("noop").mode("overwrite").save()
-    r = m.result()
-    assert r["input"] == small_log.count()
-    assert r["with_policies"] == small_log.filter("parent_policies IS NOT NULL").count()
+def test_scratch_needs_a_shared_folder_off_local():
+    from hitfeed.session import scratch_root
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Session())
+
+
+def test_unknown_columns_raise(spark, small_log):
+    with pytest.raises(ValueError, match="nope"):
+        export_feed(small_log, FeedSpec(parent_policies="view", hours_ago=1), NOW, columns=["nope"])

@@ -2,12 +2,14 @@
 
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hitfeed.fixtures import NOW
 from hitfeed.functions.render import render_nested
 from hitfeed.functions.location import location_column, location_hash
-from hitfeed.operators.multifeed import Feed, multi_feed_hits
+from hitfeed.operators.multifeed import Feed, merged_windows, multi_feed_hits
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
 
@@ -43,8 +45,68 @@ def test_equals_union(spark, small_log):
 
 
 def test_shuffle_path_same(spark, small_log):
-    got = export_multi(small_log, FEEDS, NOW, broadcast_limit=2)
-    assert same(got, union_of_singles(small_log))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = export_multi(small_log, FEEDS, NOW)
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert same(got, union_of_singles(small_log))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_subscriber_sees_its_own_rows_only(spark, small_log):
+    feeds = [Feed("s0", FeedSpec(parent_policies="error", hours_ago=720), subscriber="sub.0"),
+             Feed("s1", FeedSpec(parent_policies="error", hours_ago=720), subscriber="sub.1", kind="dns"),
+             Feed("all", FeedSpec(parent_policies="error", hours_ago=720))]
+    got = {(r["feed"], r["subscriber"]) for r in export_multi(small_log, feeds, NOW).select("feed", "subscriber").distinct().collect()}
+    every = {(f"sub.{i}{k}") for i in range(3) for k in ("", ".proxy")}
+    assert got == {("s0", "sub.0"), ("s0", "sub.0.proxy"), ("s1", "sub.1")} | {("all", s) for s in every}
+    only = export_multi(small_log, feeds[:2], NOW)
+    assert same(only, export_multi(small_log, feeds, NOW).filter("feed <> 'all'"))
+
+
+def test_both_bounds_and_kind_reach_the_scan(spark, small_log):
+    from hitfeed.fixtures import write_partitioned
+    from hitfeed.session import scratch_path
+    root = scratch_path(spark, "bounds")
+    write_partitioned(small_log.filter("day IN (26, 27, 28)"), root)
+    logs = spark.read.schema(small_log.schema).option("basePath", root).parquet(root)
+    feeds = [Feed("d", FeedSpec(parent_policies="error", day_range="20240127-20240127"), kind="dns")]
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        plan = multi_feed_hits(logs, feeds, NOW)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    filters = plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0]
+    assert "1706313600" in filters and "1706400000" in filters and "EndsWith" in filters
+
+
+def test_merged_windows():
+    assert merged_windows([(5, 9), (1, 3), (3, 6), (20, None), (25, 30)]) == [(1, 9), (20, None)]
+    assert merged_windows([(1, None), (0, 5)]) == [(0, None)]
+
+
+@pytest.mark.parametrize("row, fault", [
+    (("x", "a", None, None, None), "exactly one"), (("x", "a", "-1", None, None), "hours_ago"), (("x", "a", "1.5", None, None), "hours_ago"),
+    (("x", "a", "1", "20240101-20240102", None), "exactly one"), (("x", "a", None, "20240103-20240102", None), "day range"),
+    (("x", "a", None, "20240199-20240202", None), "day range"), (("x", "a", None, "2024-01-01", None), "day range"),
+    (("x", "a", "1", None, "web"), "kind"), (("x", ",,", "1", None, None), "empty"), (("x", None, "1", None, None), "no policies"),
+    ((None, "a", "1", None, None), "name")])
+def test_invalid_feeds_raise(spark, small_log, row, fault):
+    table = spark.createDataFrame([("ok", "a", "1", None, "DNS"), row],
+                                  "feed string, parent_policies string, hours_ago string, day_range string, kind string")
+    with pytest.raises(ValueError, match=fault):
+        multi_feed_hits(small_log, table, NOW)
+
+
+def test_many_feeds_plan_quickly(spark, small_log):
+    import time
+    feeds = [Feed(f"f{i}", FeedSpec(parent_policies=f"p{i % 7},x{i}", hours_ago=720), subscriber=f"sub.{i % 3}") for i in range(5000)]
+    started = time.time()
+    multi_feed_hits(small_log, feeds, NOW)._jdf.queryExecution().executedPlan()
+    assert time.time() - started < 20  # a few seconds here; one literal per feed took minutes
 
 
 def test_feeds_table(spark, small_log):
@@ -74,12 +136,12 @@ def test_location_carried_into_hits(spark, small_log):
 
 
 def test_feed_locations_frame(spark, small_log):
-    import pytest
     from hitfeed.operators.multifeed import feed_locations_frame
     feeds = [Feed("a", FeedSpec(parent_policies="error", hours_ago=72), subscriber="s1", receiver="r1", ordinal="1"),
              Feed("b", FeedSpec(parent_policies="p3", hours_ago=72), subscriber="s2", receiver="r2", ordinal="2")]
     locs = {r["feed"]: r["feed_location"] for r in feed_locations_frame(spark, feeds, "salt").collect()}
     assert locs == {"a": location_hash("salt", "1", "s1", "r1"), "b": location_hash("salt", "2", "s2", "r2")}
+    feeds = [Feed(f.name, f.spec, subscriber=f"sub.{i}", receiver="r", ordinal="1") for i, f in enumerate(feeds)]
     hits = multi_feed_hits(small_log, feeds, NOW, extra=feed_locations_frame(spark, feeds, "salt"))
     assert hits.filter("feed_location IS NULL").count() == 0
     with pytest.raises(ValueError):
@@ -87,5 +149,5 @@ def test_feed_locations_frame(spark, small_log):
 
 
 def test_salted_shuffle_path_same(spark, small_log):
-    got = export_multi(small_log, FEEDS, NOW, broadcast_limit=2, salt_buckets=4)
+    got = export_multi(small_log, FEEDS, NOW, salt_buckets=4)
     assert same(got, union_of_singles(small_log))

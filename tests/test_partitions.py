@@ -113,3 +113,19 @@ def test_repair_registers_both_kinds_reader_splits(spark, few_days):
     assert dns.count() == log.filter(~F.col("subscriber").endswith(".proxy")).count()
     plan = dns._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "EndsWith(subscriber" in plan
+
+
+def test_padded_and_escaped_directories(spark):
+    """The directory found in storage is the location, however its values are spelled."""
+    from pyspark.sql import types as T
+    schema = T.StructType.fromDDL("v int, subscriber string, year int, month int, day int, hour int")
+    root = scratch_path(spark, "padded")
+    text = spark.createDataFrame([(1, "a:b", "2024", "01", "02", "1704160800"), (2, "p", "2024", "01", "02", "1704160800")],
+                                 "v int, subscriber string, year string, month string, day string, hour string")
+    write_partitioned(text, root)
+    for lookback in (None, 24):
+        name = "hitfeed_pad_" + scratch_path(spark, "x").rsplit("-", 1)[1]
+        create_log_table(spark, name, schema, root)
+        assert sync_partitions(spark, name, root, lookback_hours=lookback, now=1704164400).count == 2
+        assert sorted(map(tuple, spark.table(name).select("v", "subscriber", "month", "day").collect())) == [(1, "a:b", 1, 2), (2, "p", 1, 2)]
+        assert sync_partitions(spark, name, root).count == 0

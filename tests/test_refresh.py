@@ -157,3 +157,26 @@ def test_refresh_modes_agree(spark, small_log):
     outs = [read_snapshot(spark, refresh_feed(spark, small_log, SPEC, NOW, scratch_path(spark, "o"), previous=prev,
                                               hourly=True, mode=m).path, COLS) for m in ("overlap", "after")]
     assert same(outs[0], outs[1])
+
+
+def test_hour_table_follows_the_source(spark, small_log):
+    """Hours that lost their hits go, late hits of the re-read hours come, and an interrupted run is made up for."""
+    from hitfeed.plans.hour_table import _mark, refresh_hour_table
+    spec = FeedSpec(parent_policies="error,p3", hours_ago=72)
+    path = scratch_path(spark, "follow")
+    late = small_log.filter(f"event_id % 7 <> 0 OR hour < {NOW - 24 * 3600}")
+    refresh_hour_table(spark, late, spec, NOW, path)
+    gone = NOW - 5 * 3600
+    now_log = small_log.filter(f"hour <> {gone}")
+    refresh_hour_table(spark, now_log, spec, NOW, path)
+    want = export_feed(now_log, spec, NOW)
+    got = spark.read.parquet(path)
+    assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+    # a run that died before it dropped an older hour has left its marker
+    older = NOW - 50 * 3600
+    _mark(spark, path, older - 3600)
+    shrunk = now_log.filter(f"hour <> {older}")
+    res = refresh_hour_table(spark, shrunk, spec, NOW, path, hourly=True)
+    assert res.rewritten_from == older - 3600
+    assert spark.read.parquet(path).count() == export_feed(shrunk, spec, NOW).count()
+    assert refresh_hour_table(spark, shrunk, spec, NOW, path, hourly=True).rewritten_from > older

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hitfeed.fixtures import NOW
@@ -81,3 +83,59 @@ def test_write_feeds_overwrite_replaces_all(spark, small_log):
     write_feeds(multi_feed_hits(small_log, two[:1], NOW, extra=extra), path)
     locs = {r[0] for r in spark.read.option("header", True).csv(path).select("feed_location").distinct().collect()}
     assert locs == {"LX"}  # a plain overwrite replaces the whole output
+
+
+def _names(spark, path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(st.getPath().getName() for st in fs.listStatus(p))
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_failed_run_keeps_the_published_feed(spark, single):
+    root = scratch_path(spark, "safe")
+    good = spark.range(5).selectExpr("CAST(id AS STRING) AS v")
+    bad = spark.range(5).selectExpr("CAST(raise_error('boom') AS STRING) AS v")
+    for path, name in ((f"{root}/named", "Latest.csv"), (f"{root}/plain", None)):
+        out = write_csv(good, path, filename=name, single_file=single)
+        with pytest.raises(Exception, match="boom"):
+            write_csv(bad, path, filename=name, single_file=single)
+        assert read_snapshot(spark, out).count() == 5
+    assert _names(spark, root) == ["named", "plain"]  # no run directory is left
+
+
+def test_republish_replaces(spark):
+    root = scratch_path(spark, "again")
+    for n in (5, 3):
+        out = write_csv(spark.range(n).selectExpr("CAST(id AS STRING) AS v"), root, filename="Latest.csv")
+        assert read_snapshot(spark, out).count() == n
+    assert _names(spark, root) == ["Latest.csv"]
+    # a feed may replace the directory that it reads
+    out = write_csv(read_snapshot(spark, out).filter("v > 0"), root, filename="Latest.csv")
+    assert read_snapshot(spark, out).count() == 2
+
+
+def test_arguments_are_checked_before_writing(spark):
+    df = spark.range(1).selectExpr("CAST(id AS STRING) AS v")
+    path = scratch_path(spark, "args")
+    for kw in ({"mode": "append"}, {"filename": "x.csv", "partition_by": ["v"]}, {"keep_original": True}):
+        with pytest.raises(ValueError):
+            write_csv(df, path, **kw)
+    write_csv(df, path)
+    with pytest.raises(FileExistsError):
+        write_csv(df, path, mode="errorifexists")
+
+
+def test_feeds_under_their_own_names(spark, small_log):
+    from hitfeed.operators.multifeed import feed_locations_frame
+    spec = FeedSpec(parent_policies="view,error", hours_ago=720)
+    feeds = [Feed("x", spec, subscriber="sub.0", receiver="r", ordinal="1", output_filename="X.csv"),
+             Feed("y", spec, subscriber="sub.1", receiver="r", ordinal="1", output_filename="Latest Y.csv")]
+    hits = multi_feed_hits(small_log, feeds, NOW, extra=feed_locations_frame(spark, feeds, "s"))
+    path = scratch_path(spark, "named-feeds")
+    for _ in range(2):
+        write_feeds(hits, path, names="output_filename", num_partitions=3)
+    for f in feeds:
+        place = f"{path}/{location_hash('s', '1', f.subscriber, 'r')}/{f.output_filename}"
+        assert read_snapshot(spark, place).count() == hits.filter(F.col("feed") == f.name).count() > 0
+    assert len(_names(spark, path)) == 2

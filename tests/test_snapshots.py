@@ -93,3 +93,16 @@ def test_partial_output_is_skipped(spark):
     shutil.copytree(done.replace("file:", ""), partial.replace("file:", ""), copy_function=shutil.copy,
                     ignore=shutil.ignore_patterns("_SUCCESS", "._SUCCESS.crc"))
     assert latest_snapshot(spark, root, "feed").endswith("/feed/run-2")
+
+
+def test_many_incomplete_runs_are_no_limit(spark):
+    import shutil
+    root = scratch_path(spark, "many")
+    df = spark.range(3).selectExpr("CAST(id AS STRING) AS v")
+    done = write_csv(df, f"{root}/feed/run-00")
+    for i in range(1, 13):
+        shutil.copytree(done.replace("file:", ""), f"{root}/feed/run-{i:02d}".replace("file:", ""), copy_function=shutil.copy,
+                        ignore=shutil.ignore_patterns("_SUCCESS", "._SUCCESS.crc"))
+    assert latest_snapshot(spark, root, "feed").endswith("/run-00")
+    with pytest.raises(FileNotFoundError):
+        latest_snapshot(spark, root, "feed/run-1")
