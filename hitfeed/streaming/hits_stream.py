@@ -67,5 +67,5 @@ def hits_schema(spark: SparkSession, source_schema: T.StructType, policy_column:
 def read_hits(spark: SparkSession, output: str, schema: T.StructType, floor: int | None = None) -> DataFrame:
     """The stream's hit table; with ``floor``, only hours at or above it (pruned).  The schema is
     given, so no file is opened to infer it."""
-    df = spark.read.schema(schema).parquet(output)
+    df = spark.read.schema(schema).parquet(output).select(*schema.fieldNames())  # without the batch number
     return df if floor is None else df.filter(F.col("hour") >= F.lit(int(floor)))
