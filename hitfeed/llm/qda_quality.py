@@ -120,7 +120,8 @@ def fit_quality(stored: DataFrame, labels: DataFrame, pull: float = 40.0, shrink
                 for q in (0, 1):
                     one = np.hstack([np.ones(((b["quality"] == q).sum(), 1)), x[b["quality"] == q]])
                     sums[q] = sums.get(q, 0) + one.T @ one
-        yield pd.DataFrame({"quality": list(sums), "sums": [s.reshape(-1) for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"quality": list(sums), "sums": [s.reshape(-1) for s in sums.values()]})
 
     rows = (learn.mapInPandas(products, "quality int, sums array<double>")
             .select("quality", F.posexplode("sums")).groupBy("quality", "pos").agg(F.sum("col").alias("s")).collect())

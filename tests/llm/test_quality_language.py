@@ -59,6 +59,15 @@ def test_quality_corner_cases(spark):
     assert {r["score"] for r in quality_scores(docs, one).collect()} == {1.0}
     assert keep_quality(docs, one).collect() == docs.collect()
     assert quality_scores(docs.limit(0), one).count() == 0
+    # partitions without a labelled row
+    spread = spark.range(40, numPartitions=8).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    few = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert quality_scores(spread, few).count() == 40
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(counts("a b")) == len(COUNTS) and isinstance(QualityModel(np.zeros(len(COUNTS)), 1, 0.5).score(np.zeros((2, len(COUNTS)))), np.ndarray)
 
 
