@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from hitfeed.session import scratch_path
 
 
-def _sort_keys(df: DataFrame, key: str, tiebreak: Sequence[str] | None) -> list[Column]:
+def sort_keys(df: DataFrame, key: str = "start_time", tiebreak: Sequence[str] | None = None) -> list[Column]:
     if key not in df.columns:
         raise ValueError(f"no column {key!r}")
     k = F.col(key)
@@ -54,7 +54,7 @@ def sort_by_start_time(df: DataFrame, num_partitions: int | None = None, *,
                        key: str = "start_time", tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Globally ordered, range-partitioned (``num_partitions`` ranges; default: the
     session's shuffle partition count)."""
-    keys = _sort_keys(df, key, tiebreak)
+    keys = sort_keys(df, key, tiebreak)
     if num_partitions is None:
         return df.orderBy(*keys)
     return df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)

@@ -198,3 +198,4 @@ ORACLES["policy_column_choice"] = f"""WITH {POLICY_LOG},
   x AS (SELECT start_time, unnest([event_type, 'any']) AS policy, CAST(parent_policies AS VARCHAR) AS parent_policies,
                subscriber, year, month, day, hour FROM policy_log WHERE {FLAG_WHERE} AND subscriber NOT LIKE '%.proxy')
   SELECT * FROM x WHERE policy IN ('error', 'any')"""
+ORACLES["refresh_hour_feed_csv"] = hits_text(FLAG_WHERE, FLAG)

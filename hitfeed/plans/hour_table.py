@@ -25,8 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitfeed.functions.timebounds import DAY, HOUR, floor_to, hours_ago_bound, strict_seam
-from hitfeed.functions.render import render_nested
+from hitfeed.functions.render import csv_safe, render_nested
 from hitfeed.operators.hits import explode_policies
+from hitfeed.operators.ordering import sort_keys
 from hitfeed.plans.feed import FeedSpec
 
 _HOUR_DIR = re.compile(r"/hour=(-?\d+)(/|$)")
@@ -81,26 +82,33 @@ def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now
     scalar = [f.name for f in fresh.schema.fields if f.name != "hour"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     clustered = fresh.repartition(n, "hour", F.pmod(F.xxhash64(*scalar), F.lit(int(buckets))))
+    dropped = replace_hours(spark, path, lo, floor, lambda stage: clustered.write.partitionBy("hour").parquet(stage))
+    return HourTableResult(path, floor, seam, lo, dropped)
+
+
+def replace_hours(spark: SparkSession, path: str, lo: int, floor: int, write) -> list[int]:
+    """Replace all hours from ``lo`` on of an ``hour=`` partitioned output by what ``write(stage)`` makes,
+    and drop the hours below ``floor``; returns the hours that are gone.
+
+    The stage is written completely before anything moves; a marker covers the moves (metadata operations)."""
     fs, root = _fs(spark, path)
     fs.mkdirs(root)
     stage = f"{path.rstrip('/')}/_stage-{uuid.uuid4().hex[:12]}"
     try:
-        clustered.write.partitionBy("hour").parquet(stage)
-        # the new hours replace all hours from ``lo`` on; a marker covers the moves
+        write(stage)
         _mark(spark, path, lo)
-        dropped = _drop(spark, path, lambda h: h < floor)
+        dropped = drop_hours_below(spark, path, floor)
         new = _hour_dirs(spark, stage)
         old = {h: p for h, p in _hour_dirs(spark, path).items() if h >= lo}
-        for h, p in old.items():
+        for p in old.values():
             fs.delete(p, True)
         for h, p in new.items():
             if not fs.rename(p, _fs(spark, f"{path.rstrip('/')}/hour={h}")[1]):
                 raise RuntimeError(f"cannot publish hour {h} of {path}")
     finally:
         fs.delete(_fs(spark, stage)[1], True)
-    dropped = sorted({*dropped, *(h for h in old if h not in new)})
     _unmark(spark, path)
-    return HourTableResult(path, floor, seam, lo, dropped)
+    return sorted({*dropped, *(h for h in old if h not in new)})
 
 
 _PENDING = "_rewriting-"
@@ -137,14 +145,10 @@ def _unmark(spark: SparkSession, path: str) -> None:
 def drop_hours_below(spark: SparkSession, path: str, floor: int) -> list[int]:
     """Retention: delete whole ``hour=`` directories below ``floor`` (metadata operations,
     one listing of the table root).  Returns the dropped hours."""
-    return _drop(spark, path, lambda h: h < floor)
-
-
-def _drop(spark: SparkSession, path: str, gone) -> list[int]:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = []
     for h, p in sorted(_hour_dirs(spark, path).items()):
-        if gone(h):
+        if h < floor:
             p.getFileSystem(conf).delete(p, True)
             dropped.append(h)
     return dropped
@@ -168,3 +172,23 @@ def hour_table_to_csv(spark: SparkSession, path: str, output: str, columns: list
         df = df.filter(F.col("hour") >= F.lit(int(floor)))
     return write_csv(df, output, order_by="start_time", num_partitions=num_partitions, single_file=single_file,
                      filename=filename, max_records_per_file=max_records_per_file)
+
+
+def refresh_hour_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, table: str, output: str, *,
+                      hourly: bool = False, catch_up: bool = True, mode: str = "overlap") -> HourTableResult:
+    """Refresh the hour table and, for the hours that changed only, its CSV form.
+
+    ``output`` holds ``hour=<h>/part-*.csv``, each hour ordered by ``start_time``: files in directory
+    order are in feed order.  Neither a range sort nor a rewrite of the retained window is needed,
+    so a run costs what is new since the last one."""
+    from hitfeed.sinks.csv import CSV_WRITE_OPTIONS
+
+    result = refresh_hour_table(spark, logs, spec, now, table, hourly=hourly, catch_up=catch_up, mode=mode)
+    have = _hour_dirs(spark, output)
+    lo = min([result.rewritten_from if have else result.floor, *_pending(spark, output)])
+    changed = csv_safe(read_hour_table(spark, table).filter(F.col("hour") >= F.lit(lo)))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = changed.repartition(n, "hour").sortWithinPartitions(F.col("hour").cast("long"), *sort_keys(changed))
+    replace_hours(spark, output, lo, result.floor,
+                  lambda stage: ordered.write.options(**CSV_WRITE_OPTIONS).partitionBy("hour").csv(stage))
+    return result

@@ -22,7 +22,7 @@ from hitfeed.operators.multifeed import Feed
 from hitfeed.operators.ordering import with_global_ordinal
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
-from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
+from hitfeed.plans.hour_table import read_hour_table, refresh_hour_feed, refresh_hour_table
 from hitfeed.plans.refresh import before_seam, last_seen_hour, refresh_feed, retained
 from hitfeed.plans.sync import sync_partitions
 from hitfeed.schemas import PARTITION_COLUMNS, schema_for, struct_from_ddl
@@ -32,7 +32,7 @@ from hitfeed.sources.logs import read_dns, read_logs, read_proxy, read_table, so
 from hitfeed.sources.partitions import (
     add_partitions, create_log_table, missing_partitions, registered_partitions, repair_partitions, stored_partitions,
 )
-from hitfeed.sources.snapshots import latest_snapshot, read_snapshot
+from hitfeed.sources.snapshots import CSV_READ_OPTIONS, latest_snapshot, read_snapshot
 from hitfeed.streaming.hits_stream import hits_schema, read_hits, stream_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,16 @@ def q_refresh_hour_table_corrected(spark, sf):
     return read_hour_table(spark, path, HIT_COLUMNS)
 
 
+def q_refresh_hour_feed(spark, sf):
+    """The per-hour CSV feed after hourly refreshes over the hour table, read back whole."""
+    logs = policy_log(spark, sf)
+    table, out = scratch_path(spark, "hour-table"), scratch_path(spark, "hour-feed")
+    for t in (NOW - 30 * HOUR, NOW - HOUR, NOW):
+        refresh_hour_feed(spark, _as_of(logs, t), FLAGSHIP, t, table, out, hourly=t != NOW)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in HIT_COLUMNS])
+    return spark.read.options(**CSV_READ_OPTIONS).schema(schema).csv(out)
+
+
 def q_run_metrics(spark, sf):
     res = _refresh(spark, sf, NOW - HOUR, hourly=True)
     m = res.metrics
@@ -555,6 +565,7 @@ QUERIES: dict[str, Query] = {
     "sync_with_locations": q_sync_with_locations,
     "repair_then_read": q_repair_then_read,
     "latest_snapshot_many_incomplete": q_latest_snapshot_many_incomplete,
+    "refresh_hour_feed_csv": q_refresh_hour_feed,
     "refresh_hour_table_corrected": q_refresh_hour_table_corrected,
     "multi_feed_by_source": q_multi_feed_by_source,
     "feed_export_republish": q_feed_export_republish,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitfeed.functions.location import location_hash
 from hitfeed.functions.render import csv_safe
-from hitfeed.operators.ordering import _sort_keys, sort_by_start_time
+from hitfeed.operators.ordering import sort_keys, sort_by_start_time
 
 # Default output directory name, ``<prefix>-<epoch>-<8 chars of [a-z0-9]>``
 DEFAULT_DIR_PREFIX = "PolicyTriggerCSV"
@@ -170,7 +170,7 @@ def write_feeds(df: DataFrame, path: str, *, by: str = "feed_location", key: str
     text = csv_safe(df)
     places = [by, names] if names else [by]
     cols = [c for c in text.columns if c not in places]
-    keys = _sort_keys(text.select(*cols), key, None)
+    keys = sort_keys(text.select(*cols), key, None)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [*[F.col(c).asc_nulls_last() for c in places], *keys]
     out = text.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)

@@ -48,14 +48,14 @@ def main():
     plans = [
         ("Export (flagship): one stage, partition + pushed filters, pruned ReadSchema",
          export_feed(logs, FLAGSHIP, NOW)),
-        ("Many feeds, one scan: broadcast hash join on policy, per-feed window as residual",
+        ("Many feeds, one scan: merged windows as partition filters, hash join on (source, policy)",
          export_multi(logs, FEEDS, NOW)),
-        ("Many feeds, shuffle fallback with salting (broadcast_limit exceeded; shown with Spark's own "
-         "auto-broadcast off, as at scale: at this size Spark would broadcast either side)",
-         ("no-auto-broadcast", multi_feed_hits(logs, FEEDS, NOW, broadcast_limit=2, salt_buckets=4))),
+        ("The same with a feed table above the broadcast threshold, and salting (shown with "
+         "auto-broadcast off)",
+         ("no-auto-broadcast", multi_feed_hits(logs, FEEDS, NOW, salt_buckets=4))),
         ("Refresh: fresh hits UNION slimmed old rows, one range exchange",
          tagged.orderBy("start_time").filter("_keep").select(*cols)),
-        ("Global ordinal: range sort + per-partition counts broadcast back",
+        ("Global ordinal: stored ranges + counts per range broadcast back",
          with_global_ordinal(export_feed(logs, FLAGSHIP, NOW))),
         ("Partition diff: path-only listing, partial distinct, anti join",
          missing_partitions(stored_partitions(spark, root), other)),
