@@ -22,10 +22,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     A reliable lineage cut: what is read later never recomputes the plan above it, and
     survives the loss of executors.
     """
+    return store(df, name)[0]
+
+
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`materialize`, with the path, for results that are discarded later."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove stored results that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -124,7 +136,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     changes nothing.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    e = materialize(e, "edges")
+    spark = edges.sparkSession
+    e, kept = store(e, "edges")
     state = None
     for _ in range(max_rounds):
         # large star: neighbours above a node hang on the node's smallest neighbour (or itself)
@@ -134,11 +147,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: the smaller neighbours of a node hang on the smallest of them
         down = large.filter("u <> v").select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        down = materialize(down, "star")
+        down, star = store(down, "star")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        e = materialize(small, "edges")
+        e, new = store(small, "edges")
+        discard(spark, star, kept)
+        kept = new
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
