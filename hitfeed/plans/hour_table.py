@@ -30,7 +30,7 @@ from hitfeed.operators.hits import explode_policies
 from hitfeed.operators.ordering import sort_keys
 from hitfeed.plans.feed import FeedSpec
 
-_HOUR_DIR = re.compile(r"/hour=(-?\d+)(/|$)")
+_HOUR_DIR = re.compile(r"/hour=(-?\d+)(?=[;,/}]|$)")
 
 
 @dataclass
@@ -42,20 +42,18 @@ class HourTableResult:
     dropped_hours: list
 
 
-def _hour_dirs(spark: SparkSession, path: str) -> dict[int, object]:
-    """``hour -> Path`` of the table's top-level partition directories (one listing call)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
+def _hours(spark: SparkSession, path: str) -> set[int]:
+    """The hours of the table's partition directories (one listing)."""
+    fs, root = _fs(spark, path)
     if not fs.exists(root):
-        return {}
-    out = {}
-    for st in fs.listStatus(root):
-        m = _HOUR_DIR.search(st.getPath().toString() + "/")
-        if st.isDirectory() and m:
-            out[int(m.group(1))] = st.getPath()
-    return out
+        return set()
+    found = fs.globStatus(_fs(spark, f"{path.rstrip('/')}/hour=*")[1])
+    names = (st.toString() for st in found)  # one call each: the text holds the path
+    return {int(m[1]) for m in map(_HOUR_DIR.search, names) if m}
+
+
+def _hour_path(spark: SparkSession, path: str, hour: int):
+    return _fs(spark, f"{path.rstrip('/')}/hour={hour}")[1]
 
 
 def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, path: str, *,
@@ -70,7 +68,7 @@ def refresh_hour_table(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now
     if spec.day_range is not None or spec.hours_ago is None:
         raise ValueError("an hour table needs an hours_ago window")
     floor = hours_ago_bound(now, spec.hours_ago, spec.full_days)
-    hours = _hour_dirs(spark, path)
+    hours = _hours(spark, path)
     seam = strict_seam(now, hourly)
     if not hours:
         seam = floor                      # first run: build the whole window
@@ -98,17 +96,16 @@ def replace_hours(spark: SparkSession, path: str, lo: int, floor: int, write) ->
         write(stage)
         _mark(spark, path, lo)
         dropped = drop_hours_below(spark, path, floor)
-        new = _hour_dirs(spark, stage)
-        old = {h: p for h, p in _hour_dirs(spark, path).items() if h >= lo}
-        for p in old.values():
-            fs.delete(p, True)
-        for h, p in new.items():
-            if not fs.rename(p, _fs(spark, f"{path.rstrip('/')}/hour={h}")[1]):
+        new, old = _hours(spark, stage), {h for h in _hours(spark, path) if h >= lo}
+        for h in sorted(old):
+            fs.delete(_hour_path(spark, path, h), True)
+        for h in sorted(new):
+            if not fs.rename(_hour_path(spark, stage, h), _hour_path(spark, path, h)):
                 raise RuntimeError(f"cannot publish hour {h} of {path}")
     finally:
         fs.delete(_fs(spark, stage)[1], True)
     _unmark(spark, path)
-    return sorted({*dropped, *(h for h in old if h not in new)})
+    return sorted({*dropped, *(old - new)})
 
 
 _PENDING = "_rewriting-"
@@ -145,12 +142,9 @@ def _unmark(spark: SparkSession, path: str) -> None:
 def drop_hours_below(spark: SparkSession, path: str, floor: int) -> list[int]:
     """Retention: delete whole ``hour=`` directories below ``floor`` (metadata operations,
     one listing of the table root).  Returns the dropped hours."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = []
-    for h, p in sorted(_hour_dirs(spark, path).items()):
-        if h < floor:
-            p.getFileSystem(conf).delete(p, True)
-            dropped.append(h)
+    dropped = sorted(h for h in _hours(spark, path) if h < floor)
+    for h in dropped:
+        _fs(spark, path)[0].delete(_hour_path(spark, path, h), True)
     return dropped
 
 
@@ -184,9 +178,14 @@ def refresh_hour_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now:
     from hitfeed.sinks.csv import CSV_WRITE_OPTIONS
 
     result = refresh_hour_table(spark, logs, spec, now, table, hourly=hourly, catch_up=catch_up, mode=mode)
-    have = _hour_dirs(spark, output)
+    have = _hours(spark, output)
     lo = min([result.rewritten_from if have else result.floor, *_pending(spark, output)])
-    changed = csv_safe(read_hour_table(spark, table).filter(F.col("hour") >= F.lit(lo)))
+    # only the changed hours are listed and read
+    paths = [f"{table.rstrip('/')}/hour={h}" for h in sorted(_hours(spark, table)) if h >= lo]
+    if not paths:
+        replace_hours(spark, output, lo, result.floor, lambda stage: None)
+        return result
+    changed = csv_safe(spark.read.option("basePath", table).parquet(*paths))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = changed.repartition(n, "hour").sortWithinPartitions(F.col("hour").cast("long"), *sort_keys(changed))
     replace_hours(spark, output, lo, result.floor,
