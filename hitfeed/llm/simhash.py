@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hitfeed.llm.common import block_cells, components, map_texts, materialize, merge_links, parts, runs
 
@@ -172,7 +172,17 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, block
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Orders the rows and tells them apart: by doc_id, nulls last, then 128 bits of all columns; only equal rows share it."""
+    flat = [F.to_json(c) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns]
+    whole = [*flat, *map(F.isnull, docs.columns)]  # the hash passes over nulls
+    return F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"),
+                    F.xxhash64(*whole).alias("h0"), F.xxhash64(F.lit(1), *whole).alias("h1"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that name their component, one row each (of repeated rows, one)."""
-    keep = simhash_components(docs, shingle, radius).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: the row of the smallest :func:`row_key` (of repeated rows, one)."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    reach = simhash_components(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, radius)
+    keep = reach.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

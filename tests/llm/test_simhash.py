@@ -100,6 +100,19 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == want
 
 
+def test_every_group_keeps_one_row_whatever_its_ids(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, "x"), (None, b, None), (None, b, "y"), (None, b, None), (1, c, "x"), (None, c, "x"), (7, d, "x"), (7, e, "x"), (9, e, "x")]
+    for order in (rows, rows[::-1]):
+        got = drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string, source string")).collect()
+        assert sorted((r["text"], r["doc_id"] or 0) for r in got) == sorted([(a, 0), (b, 0), (c, 1), (d, 7), (e, 7)])
+        kept = {r["text"]: r["source"] for r in got}
+        assert order is rows or kept == first
+        first = kept
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(df).count() == 0
