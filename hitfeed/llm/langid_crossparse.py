@@ -8,8 +8,8 @@ that needs fewest wins.
 
 Whole texts are parsed, in segments of ``SEGMENT`` symbols whose phrases are added up (every language
 has the same cuts): many segments take a step at once through the automaton's table.  The learned
-text is a bounded sample: ``docs_per_language`` documents of each language (all, if fewer),
-``chars_per_language`` symbols of them.
+text is a bounded sample: the ``docs_per_language`` different texts of each language with the smallest
+hashes (all, if fewer), ``chars_per_language`` symbols of them.
 
 Defined cases: ``und`` and score 0 for a null text, one without a letter, or if nothing was learned;
 ties go to the first language by name; letters that no sample holds are a phrase each; repeated rows
@@ -183,16 +183,20 @@ def learned_texts(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     """(language, text) from a bounded sample of labelled documents outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}  # a row per language
     if not sizes:
         return ()
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, docs_per_language / n)])[F.col("lang")]
-    spread = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    # more than are taken, so that practically never fewer pass; the copies of a text pass together
+    some = docs_per_language + 10 * docs_per_language ** 0.5 + 50
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, some / n)])[F.col("lang")]
+    spread = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
     sample = (rows.select("lang", "text", spread.alias("spread")).filter(F.col("spread") < share)
               .select("lang", "spread", F.substring("text", 1, chars_per_language).alias("text")).distinct().collect())
     by_language: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["spread"], r["text"])):
-        by_language.setdefault(r["lang"], []).append(r["text"])
+        if len(texts := by_language.setdefault(r["lang"], [])) < docs_per_language:
+            texts.append(r["text"])
     most = min(chars_per_language, CHARS_IN_ALL // max(1, len(by_language)))
     return tuple((name, "\n".join(t)[:most]) for name, t in sorted(by_language.items()))
 

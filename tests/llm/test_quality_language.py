@@ -132,6 +132,15 @@ def test_language_corner_cases(spark):
     assert predict_languages(docs.limit(0)).count() == 0
 
 
+def test_languages_of_copies_are_learned(spark):
+    word = F.concat_ws(" ", *[F.concat(F.lit(w), F.col("copy").cast("string"), F.lit(w)) for w in ("der", "hund", "haus")])
+    few = spark.range(6000).selectExpr("id AS doc_id", "id % 3 AS copy").select("doc_id", word.alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(6000, 6900).selectExpr("id AS doc_id", "concat('the cat ', id, ' hat') AS text", "'en' AS lang")
+    got = dict(learned_texts(few.union(many)))
+    assert sorted(got) == ["de", "en"]
+    assert len(got["de"].split("\n")) == 3 and len(got["en"].split("\n")) == 200
+
+
 @pytest.mark.parametrize("text", [None, "", "123", "Ä", "a1b", "  x"])
 def test_letters(text):
     x = letters(text)
