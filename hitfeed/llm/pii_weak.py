@@ -157,10 +157,10 @@ def voted(text: Column, found: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """Add ``_base`` and ``_loose``: voted spans of the base patterns, and loose ones that overlap none of them."""
+    """Add ``_base`` and ``_loose``: voted spans of the base patterns, and loose ones that lie in none of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({"_base": F.concat(*base_spans(text)), "_loose": F.concat(*loose_spans(text))})
-    free = F.filter("_loose", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    free = F.filter("_loose", lambda c: ~F.exists("_base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
     return rows.withColumn("_loose", free).withColumns({
         "_base": F.array_sort(voted(text, F.col("_base"))), "_loose": F.array_sort(voted(text, F.col("_loose")))})
 
@@ -243,19 +243,24 @@ def personal_data(docs: DataFrame, accept: float = 0.9) -> DataFrame:
 def redact(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     """The documents with every span of personal data replaced by its kind in brackets.
 
-    ``n_chars``, where there is one, follows the new text.
+    Spans that overlap are replaced as one, from the first start to the last end, by all their kinds
+    (``[IP+CARD]``).  ``n_chars``, where there is one, follows the new text.
     """
     candidates = with_candidates(docs)
     model = fit_spans(candidates.select("_base", "_loose"))
     found = F.array_sort(F.transform(accepted(model, accept), lambda s: F.struct(
-        s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))
-    apart = F.aggregate(found, empty, lambda a, s: F.when(s["start"] >= last(a), F.concat(a, F.array(s))).otherwise(a))
+        s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.array(s["kind"]).alias("kinds"))))
+    empty = F.array().cast("array<struct<start:int,end:int,kinds:array<string>>>")
+    at_end = lambda a: F.try_element_at(a, F.lit(-1))
+    last = lambda a: F.coalesce(at_end(a)["end"], F.lit(0))
+    joined = lambda a, s: F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(
+        at_end(a)["start"].alias("start"), F.greatest(last(a), s["end"]).alias("end"),
+        F.array_union(at_end(a)["kinds"], s["kinds"]).alias("kinds"))))
+    apart = F.aggregate(found, empty, lambda a, s: F.when(s["start"] >= last(a), F.concat(a, F.array(s))).otherwise(joined(a, s)))
     rows = candidates.withColumn("_apart", apart)
     end = lambda i: F.when(i > 0, F.col("_apart")[i - 1]["end"]).otherwise(0)
     pieces = F.transform("_apart", lambda s, i: F.concat(
-        F.substring(F.col("text"), end(i) + 1, s["start"] - end(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        F.substring(F.col("text"), end(i) + 1, s["start"] - end(i)), F.lit("["), F.upper(F.array_join(s["kinds"], "+")), F.lit("]")))
     rest = F.substring(F.col("text"), last(F.col("_apart")) + 1, F.length("text"))
     rows = rows.withColumn("text", F.when(F.size("_apart") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -101,3 +101,13 @@ def test_redaction(spark):
     assert by[400]["text"] == "call [PHONE] [CARD] now" and by[400]["n_chars"] == 23
     assert by[203]["text"] == "please call [PHONE] or mail [EMAIL] from [IP]"
     assert by[5]["text"] == rows[5][1] and by[999]["text"] is None
+
+
+def test_overlapping_spans_are_redacted_whole(spark):
+    iban = "GB08 WEST 1234 5698 7654 06"  # its digits after the letters pass Luhn
+    assert luhn("12345698765406") and int("".join(str(int(c, 36)) for c in "WEST12345698765406GB08")) % 97 == 1
+    rows = corpus() + [(900, "from 10.0.0.18 4111111111111111 paid"), (901, "to +4915112345678.anna@firma.de, please"),
+                       (902, f"iban {iban} account"), (903, "10.0.0.18 and 4111111111111111")]
+    by = {r["doc_id"]: r["text"] for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[900] == "from [IP+CARD] paid" and by[901] == "to [PHONE+EMAIL+CARD], please"
+    assert by[902] == "iban [IBAN+CARD] account" and by[903] == "[IP] and [CARD]"
