@@ -9,7 +9,9 @@ that needs fewest wins.
 Whole texts are parsed, in segments of ``SEGMENT`` symbols whose phrases are added up (every language
 has the same cuts): many segments take a step at once through the automaton's table.  The learned
 text is a bounded sample: the ``docs_per_language`` different texts of each language with the smallest
-hashes (all, if fewer), ``chars_per_language`` symbols of them.
+hashes (all, if fewer), ``chars_per_language`` characters of them (less, if all languages together would
+pass ``chars_in_all``).  All of these texts take part: the longer ones, cut to the same size, by pieces
+that are spread over the text.
 
 Defined cases: ``und`` and score 0 for a null text, one without a letter, or if nothing was learned;
 ties go to the first language by name; letters that no sample holds are a phrase each; repeated rows
@@ -22,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hitfeed.llm.common import id_text, map_texts
 
@@ -33,6 +35,8 @@ DOCS_PER_LANGUAGE = 200
 CHARS_PER_LANGUAGE = 40_000
 #: Symbols of all languages together, so that many languages still fit a worker.
 CHARS_IN_ALL = 1_600_000
+#: Pieces of a text that is longer than its share, and the characters a piece should have at least.
+PIECES, PIECE = 4, 50
 
 
 @lru_cache(maxsize=1)
@@ -178,8 +182,28 @@ def held_out(doc_id, folds: int = 3):
     return F.crc32(id_text(doc_id)) % folds == 1
 
 
+def even_share(lengths: list[int], total: int) -> int:
+    """The size at which texts, the longer ones cut to it, have ``total`` characters together; at least 1."""
+    for i, n in enumerate(sorted(lengths)):
+        share = total // (len(lengths) - i)
+        if n > share:
+            return max(1, share)
+        total -= n
+    return max(lengths)
+
+
+def pieces_of(text: Column, size: Column) -> Column:
+    """A text of at most ``size`` characters as it is, of a longer one up to ``PIECES`` pieces spread over it."""
+    n = F.length(text)
+    k = F.greatest(F.lit(1), F.least(F.lit(PIECES), F.floor(size / PIECE))).cast("int")
+    piece = F.floor(size / k).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring(
+        text, (F.floor(n / k * i + (n / k - piece) / 2) + 1).cast("int"), piece))
+    return F.when(n <= size, text).otherwise(F.array_join(cut, "\n"))
+
+
 def learned_texts(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
-                  chars_per_language: int = CHARS_PER_LANGUAGE) -> tuple[tuple[str, str], ...]:
+                  chars_per_language: int = CHARS_PER_LANGUAGE, chars_in_all: int = CHARS_IN_ALL) -> tuple[tuple[str, str], ...]:
     """(language, text) from a bounded sample of labelled documents outside the held-out fold."""
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
@@ -191,14 +215,20 @@ def learned_texts(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     some = docs_per_language + 10 * docs_per_language ** 0.5 + 50
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, some / n)])[F.col("lang")]
     spread = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
-    sample = (rows.select("lang", "text", spread.alias("spread")).filter(F.col("spread") < share)
-              .select("lang", "spread", F.substring("text", 1, chars_per_language).alias("text")).distinct().collect())
+    passed = rows.select("lang", "text", spread.alias("spread")).filter(F.col("spread") < share)
+    lengths: dict[str, list[tuple[float, int]]] = {}
+    for r in sorted(passed.select("lang", "spread", F.length("text").alias("n")).distinct().collect()):
+        lengths.setdefault(r["lang"], []).append((r["spread"], r["n"]))
+    most = min(chars_per_language, chars_in_all // len(lengths))
+    taken = {k: x[:docs_per_language] for k, x in lengths.items()}
+    last = F.create_map(*[F.lit(v) for k, x in taken.items() for v in (k, x[-1][0])])[F.col("lang")]
+    size = F.create_map(*[F.lit(v) for k, x in taken.items() for v in (k, even_share([n for _, n in x], most))])[F.col("lang")]
+    sample = (passed.filter(F.col("spread") <= last).select("lang", "spread", pieces_of(F.col("text"), size).alias("text"))
+              .distinct().collect())
     by_language: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["spread"], r["text"])):
-        if len(texts := by_language.setdefault(r["lang"], [])) < docs_per_language:
-            texts.append(r["text"])
-    most = min(chars_per_language, CHARS_IN_ALL // max(1, len(by_language)))
-    return tuple((name, "\n".join(t)[:most]) for name, t in sorted(by_language.items()))
+    for r in sorted(sample):
+        by_language.setdefault(r["lang"], []).append(r["text"])
+    return tuple((name, "\n".join(t)) for name, t in sorted(by_language.items()))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

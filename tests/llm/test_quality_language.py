@@ -141,6 +141,18 @@ def test_languages_of_copies_are_learned(spark):
     assert len(got["de"].split("\n")) == 3 and len(got["en"].split("\n")) == 200
 
 
+def test_every_sampled_document_takes_part(spark):
+    rows = [(i, f"{w}{w}{w} " * n, "en") for i, (w, n) in enumerate([("ab", 30000), ("cd", 30000), ("ef", 3), ("gh", 20), ("ij", 30000)] * 3)]
+    rows.append((50, "start " + "x" * 60000 + " middle " + "y" * 60000 + " end", "de"))
+    rows = [r for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 3 != 1]
+    present = {r[1][:2] for r in rows if r[2] == "en"}
+    got = dict(learned_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(present) == 5 and all(p in got["en"] for p in present) and 39_000 < len(got["en"]) <= 40_100
+    assert {"x", "y"} <= set(got["de"])
+    small = dict(learned_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_in_all=2000))
+    assert all(p in small["en"] for p in present) and len(small["en"]) <= 1_100
+
+
 @pytest.mark.parametrize("text", [None, "", "123", "Ä", "a1b", "  x"])
 def test_letters(text):
     x = letters(text)
