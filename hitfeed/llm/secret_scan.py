@@ -33,8 +33,13 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Runs of key characters that the battery looks at: 20 or more.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Key characters that a run must have for the battery to look at it, and symbols without separators that it judges.
+LEAST = 16
+
+
+def run_pattern(least: int) -> str:
+    return rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+"
+
 
 # fixed values: chance that two, and three, letters of prose are equal; character-class changes in prose per letter
 PAIR, TRIPLE, CHANGE = 0.065, 0.0055, 0.05
@@ -80,7 +85,7 @@ def log10_tail(z: Column) -> Column:
     return F.when(z > 0, (z * z / 2 + 0.5 * log(2 * pi) + F.log((z + F.sqrt(z * z + 8 / pi)) / 2)) / log(10)).otherwise(F.lit(0.0))
 
 
-def battery(match: Column) -> Column:
+def battery(match: Column, least: int = LEAST) -> Column:
     """(-log10 tail under prose, whether randomness is not rejected) of one run."""
     def judge(s: Column) -> Column:
         k, x = s["k"].cast("double"), s["x"]
@@ -110,7 +115,7 @@ def battery(match: Column) -> Column:
             return F.struct(log10_tail((z_pairs + z_changes) / sqrt(2)).alias("tail"), random.alias("random"))
 
         judged = let(squares, lambda q: let(pairs, lambda p: let(total(x) / n, lambda m: tests(q, p, m))))
-        return F.when(F.size(x) >= 16, judged).otherwise(F.struct(F.lit(0.0).alias("tail"), F.lit(False).alias("random")))
+        return F.when(F.size(x) >= least, judged).otherwise(F.struct(F.lit(0.0).alias("tail"), F.lit(False).alias("random")))
 
     return let(symbols_of(match), judge)
 
@@ -120,12 +125,12 @@ def length_class(size: Column) -> Column:
     return F.floor(2 * F.log2(size.cast("double"))).cast("int")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, base, runs): spans of the patterns, and every judged run that no base span covers."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", base_spans(text).alias("base"), spans(text, RUN, "random", 3).alias("found"))
+    rows = docs.select("doc_id", base_spans(text).alias("base"), spans(text, run_pattern(least), "random", 3).alias("found"))
     free = F.filter("found", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    judged = F.transform(F.col("free"), lambda r: let(battery(r["match"]), lambda j: F.struct(
+    judged = F.transform(F.col("free"), lambda r: let(battery(r["match"], least), lambda j: F.struct(
         r["start"].alias("start"), r["rank"].alias("rank"), r["kind"].alias("kind"), r["end"].alias("end"),
         length_class(r["end"] - r["start"]).alias("length_class"), j["tail"].alias("tail"), j["random"].alias("random"))))
     return rows.withColumn("free", free).select("doc_id", F.transform("base", lambda s: s.dropFields("match", "part")).alias("base"),
@@ -148,9 +153,9 @@ def tail_limits(scanned: DataFrame, fdr: float) -> dict[int, float]:
     return limits
 
 
-def secret_spans(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
+def secret_spans(docs: DataFrame, fdr: float = 0.01, least: int = LEAST) -> DataFrame:
     """(doc_id, base, found): arrays of spans of the patterns, and those with the battery's discoveries."""
-    scanned = materialize(scan(docs), "secrets")
+    scanned = materialize(scan(docs, least), "secrets")
     limits = tail_limits(scanned, fdr)
     table = (F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits
              else F.lit(None).cast("map<int,double>"))
@@ -159,8 +164,8 @@ def secret_spans(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("found"))
 
 
-def secrets(docs: DataFrame, fdr: float = 0.01) -> DataFrame:
+def secrets(docs: DataFrame, fdr: float = 0.01, least: int = LEAST) -> DataFrame:
     """Counts and digest of the base spans and the text of all spans of every document."""
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return secret_spans(docs, fdr).select("doc_id", *map(of, KINDS[:3]), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+    return secret_spans(docs, fdr, least).select("doc_id", *map(of, KINDS[:3]), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
                                           span_text(F.col("found")).alias("spans"))

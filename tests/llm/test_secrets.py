@@ -70,3 +70,14 @@ def test_running_sums(spark):
         xs = [RND.randrange(9) for _ in range(n)]
         got = spark.range(1).select(running_sums(F.array(*map(F.lit, xs)).cast("array<bigint>")).alias("s")).first()["s"]
         assert got == [sum(xs[:i + 1]) for i in range(n)]
+
+
+def test_short_keys_are_candidates(spark):
+    rnd = random.Random(4)
+    keys = {i: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(16 + i % 4)) for i in range(200)}
+    rows = [(i, f"here {k} stands") for i, k in keys.items()] + [(1000 + i, "some internationalisation and uncharacteristically long words") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **kw: {r["doc_id"] for r in secrets(docs, **kw).collect() if r["spans"]}
+    got = found()
+    assert len(got) > 100 and max(got) < 1000
+    assert not found(least=20)
