@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hitfeed.llm import entropy_mix
+from hitfeed.llm import bitsliced_topk, divergence, entropy_mix, fim_chunks
 from hitfeed.llm.bottomk import edited_fingerprints
 from hitfeed.llm.common import read
 from hitfeed.llm.embedding_itq import embedding_components
@@ -62,6 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced_topk.top_inner_products(read(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_chunks.fim_digests(read(spark, sf_dir, "documents"), salt="7:", rate=100, spm=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_itq": op1_embedding_itq,
     "op2_quality_qda": op2_quality_qda,
@@ -73,8 +85,14 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_bitsliced_topk": op12_bitsliced_topk,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op6_entropy_mix": entropy_mix.ORACLE,
+    "op11_divergence_audit": divergence.ORACLE,
+    "op12_bitsliced_topk": bitsliced_topk.ORACLE,
+    "op13_fill_in_middle": fim_chunks.ORACLE,
 }
