@@ -26,7 +26,8 @@ from hitfeed.operators.hits import explode_policies  # noqa: E402
 from hitfeed.operators.multifeed import Feed  # noqa: E402
 from hitfeed.plans.export import export_feed, export_multi  # noqa: E402
 from hitfeed.plans.feed import FeedSpec  # noqa: E402
-from hitfeed.plans.hour_table import refresh_hour_feed, refresh_hour_table  # noqa: E402
+from hitfeed.plans.hour_table import refresh_hour_table  # noqa: E402
+from hitfeed.plans.hour_versions import HourOutput, refresh_hours_feed  # noqa: E402
 from hitfeed.plans.refresh import refresh_feed  # noqa: E402
 from hitfeed.registry import FEEDS, FLAGSHIP  # noqa: E402
 from hitfeed.session import build_session, scratch_path  # noqa: E402
@@ -63,8 +64,9 @@ def main():
     refresh_hour_table(spark, log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), spec_hours,
                        NOW - 3600, hour_table)
 
-    hour_feed = [scratch_path(spark, "bench-feed-table"), scratch_path(spark, "bench-feed")]
-    refresh_hour_feed(spark, log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), wide, NOW - 3600, *hour_feed)
+    hour_feed = [HourOutput("bench_hours", scratch_path(spark, "bench-feed-table")),
+                 HourOutput("bench_feed", scratch_path(spark, "bench-feed"), "csv")]
+    refresh_hours_feed(spark, log.filter(F.col("start_time") < (NOW - 3600) * 1_000_000), wide, NOW - 3600, *hour_feed)
 
     # a stored copy with real partition directories: here the hour bounds prune the scan
     root = partitioned_copy(spark, SF)
@@ -99,7 +101,7 @@ def main():
                                                             scratch_path(spark, "b")),
         "hour_table_refresh_hourly": lambda: refresh_hour_table(spark, log, spec_hours, NOW, hour_table,
                                                                 hourly=True),
-        "hour_feed_refresh_hourly": lambda: refresh_hour_feed(spark, log, wide, NOW, *hour_feed, hourly=True),
+        "hour_feed_refresh_hourly": lambda: refresh_hours_feed(spark, log, wide, NOW, *hour_feed, hourly=True),
         "flagship_export_partitioned": lambda: noop(export_feed(stored, FLAGSHIP, NOW)),
         "multi_feed_partitioned_one_pass": lambda: noop(export_multi(stored, FEEDS, NOW)),
         "partition_sync": sync,

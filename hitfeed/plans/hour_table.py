@@ -13,12 +13,12 @@ kept during the run makes the next run redo the hours of a run that died in betw
 
 Exporting the CSV form is then a plain read of the table.  Hours at or above the seam are
 recomputed from the source, so late events in those hours are picked up; hours below the
-seam are never re-read from the source.
+seam are never re-read from the source.  :mod:`hitfeed.plans.hour_versions` keeps the same table through the
+catalog: late events of any age, hours that readers never miss, and the CSV form.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from dataclasses import dataclass
@@ -26,13 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitfeed.functions.timebounds import DAY, HOUR, floor_to, hours_ago_bound, strict_seam
-from hitfeed.functions.render import csv_safe, render_nested
+from hitfeed.functions.render import render_nested
 from hitfeed.operators.hits import explode_policies
-from hitfeed.operators.ordering import sort_keys
 from hitfeed.plans.feed import FeedSpec
 
 _HOUR_DIR = re.compile(r"/hour=(-?\d+)(?=[;,/}]|$)")
-_HOUR_FILE = re.compile(r"/hour=(-?\d+)/([^;,/}]+)(?=[;,}]|$)")
 
 
 @dataclass
@@ -54,33 +52,6 @@ def _hours(spark: SparkSession, path: str) -> set[int]:
     return {int(m[1]) for m in map(_HOUR_DIR.search, names) if m}
 
 
-_OF = "_of-"
-
-
-def _versions(spark: SparkSession, path: str) -> dict[int, str]:
-    """For each hour of the table a digest of its file names: they hold the id of the write job, so every rewrite changes it."""
-    files: dict[int, list[str]] = {h: [] for h in _hours(spark, path)}
-    for h, name in _hour_files(spark, path, "*"):
-        if name[0] not in "_.":
-            files.setdefault(h, []).append(name)
-    return {h: hashlib.sha1("/".join(sorted(names)).encode()).hexdigest() for h, names in files.items()}
-
-
-def _versions_of(spark: SparkSession, output: str) -> dict[int, str]:
-    """For each hour of an output the version of the table's hour that it was made of ('' where none is noted)."""
-    return dict.fromkeys(_hours(spark, output), "") | {
-        h: name[len(_OF):] for h, name in _hour_files(spark, output, f"{_OF}*")}
-
-
-def _hour_files(spark: SparkSession, path: str, pattern: str) -> list[tuple[int, str]]:
-    fs, root = _fs(spark, path)
-    if not fs.exists(root):
-        return []
-    found = fs.globStatus(_fs(spark, f"{path.rstrip('/')}/hour=*/{pattern}")[1])
-    matches = (_HOUR_FILE.search(st.toString()) for st in found)
-    return [(int(m[1]), m[2]) for m in matches if m]
-
-
 def _hour_path(spark: SparkSession, path: str, hour: int):
     return _fs(spark, f"{path.rstrip('/')}/hour={hour}")[1]
 
@@ -195,37 +166,3 @@ def hour_table_to_csv(spark: SparkSession, path: str, output: str, columns: list
         df = df.filter(F.col("hour") >= F.lit(int(floor)))
     return write_csv(df, output, order_by="start_time", num_partitions=num_partitions, single_file=single_file,
                      filename=filename, max_records_per_file=max_records_per_file)
-
-
-def refresh_hour_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, table: str, output: str, *,
-                      hourly: bool = False, catch_up: bool = True, mode: str = "overlap") -> HourTableResult:
-    """Refresh the hour table and, for the hours that changed only, its CSV form.
-
-    ``output`` holds ``hour=<h>/part-*.csv``, each hour ordered by ``start_time``: files in directory
-    order are in feed order.  Neither a range sort nor a rewrite of the retained window is needed,
-    so a run costs what is new since the last one.  Each CSV hour notes the version of the table's hour
-    that it was made of; the run starts at the first hour where the two differ, so it makes up for runs that
-    published the table and not the CSV."""
-    from hitfeed.sinks.csv import CSV_WRITE_OPTIONS
-
-    result = refresh_hour_table(spark, logs, spec, now, table, hourly=hourly, catch_up=catch_up, mode=mode)
-    versions, made_of = _versions(spark, table), _versions_of(spark, output)
-    differ = [h for h in {*versions, *made_of} if h >= result.floor and versions.get(h) != made_of.get(h)]
-    lo = min([result.rewritten_from if made_of else result.floor, *differ, *_pending(spark, output)])
-    # only the changed hours are listed and read
-    changed_hours = sorted(h for h in versions if h >= lo)
-    if not changed_hours:
-        replace_hours(spark, output, lo, result.floor, lambda stage: None)
-        return result
-    changed = csv_safe(spark.read.option("basePath", table).parquet(*(f"{table.rstrip('/')}/hour={h}" for h in changed_hours)))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = changed.repartition(n, "hour").sortWithinPartitions(F.col("hour").cast("long"), *sort_keys(changed))
-
-    def write(stage: str) -> None:
-        ordered.write.options(**CSV_WRITE_OPTIONS).partitionBy("hour").csv(stage)
-        for h in changed_hours:
-            fs, note = _fs(spark, f"{stage}/hour={h}/{_OF}{versions[h]}")
-            fs.create(note, True).close()
-
-    replace_hours(spark, output, lo, result.floor, write)
-    return result

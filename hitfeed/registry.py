@@ -22,7 +22,8 @@ from hitfeed.operators.multifeed import Feed
 from hitfeed.operators.ordering import with_global_ordinal
 from hitfeed.plans.export import export_feed, export_multi
 from hitfeed.plans.feed import FeedSpec
-from hitfeed.plans.hour_table import read_hour_table, refresh_hour_feed, refresh_hour_table
+from hitfeed.plans.hour_table import read_hour_table, refresh_hour_table
+from hitfeed.plans.hour_versions import HourOutput, read_hours, refresh_hours, refresh_hours_feed
 from hitfeed.plans.refresh import before_seam, last_seen_hour, refresh_feed, retained
 from hitfeed.plans.sync import sync_partitions
 from hitfeed.schemas import PARTITION_COLUMNS, schema_for, struct_from_ddl
@@ -254,26 +255,35 @@ def q_refresh_hour_table(spark, sf):
     return read_hour_table(spark, path, HIT_COLUMNS)
 
 
+def _hour_output(spark, what: str, format: str = "parquet") -> HourOutput:
+    root = scratch_path(spark, what)
+    return HourOutput("hitfeedq_" + root.rsplit("-", 1)[1], root, format)
+
+
 def q_refresh_hour_table_corrected(spark, sf):
-    """The hour table equals the full export after the source changed: the hits of one hour above the
-    seam are gone, and events of the last day arrived 10 hours late."""
+    """The hour table equals the full export after the stored logs changed: every seventh event, of any age, came
+    in late, and the files of one hour are gone."""
+    root, out = scratch_path(spark, "late-logs"), _hour_output(spark, "hours")
     logs = policy_log(spark, sf)
-    path = scratch_path(spark, "hour-table")
     late = F.pmod("event_id", F.lit(7)) == 0
-    refresh_hour_table(spark, logs.filter(~late), FLAGSHIP, NOW, path)
-    corrected = logs.filter(F.col("hour") != F.lit(EMPTIED_HOUR))
-    refresh_hour_table(spark, corrected.filter(~late | (F.col("hour") >= F.lit(NOW - 24 * HOUR))), FLAGSHIP, NOW, path)
-    return read_hour_table(spark, path, HIT_COLUMNS)
+    arrive = lambda rows: rows.repartition(8, "hour").write.mode("append").partitionBy("hour").parquet(root)
+    refresh = lambda: refresh_hours(spark, read_logs(spark, root, _log_schema()), FLAGSHIP, NOW, out, source_root=root)
+    arrive(logs.filter(~late))
+    refresh()
+    arrive(logs.filter(late))
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/hour={EMPTIED_HOUR}")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    refresh()
+    return read_hours(spark, out, HIT_COLUMNS)
 
 
 def q_refresh_hour_feed(spark, sf):
     """The per-hour CSV feed after hourly refreshes over the hour table, read back whole."""
     logs = policy_log(spark, sf)
-    table, out = scratch_path(spark, "hour-table"), scratch_path(spark, "hour-feed")
+    table, csv = _hour_output(spark, "hours"), _hour_output(spark, "hour-feed", "csv")
     for t in (NOW - 30 * HOUR, NOW - HOUR, NOW):
-        refresh_hour_feed(spark, _as_of(logs, t), FLAGSHIP, t, table, out, hourly=t != NOW)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in HIT_COLUMNS])
-    return spark.read.options(**CSV_READ_OPTIONS).schema(schema).csv(out)
+        refresh_hours_feed(spark, _as_of(logs, t), FLAGSHIP, t, table, csv, hourly=t != NOW)
+    return read_hours(spark, csv, HIT_COLUMNS).withColumn("hour", F.col("hour").cast("string"))
 
 
 def q_run_metrics(spark, sf):

@@ -72,6 +72,38 @@ def stored_locations(spark: SparkSession, root: str, kind: str | None = None, *,
     return split_kind(parts, kind) if kind else parts
 
 
+def hour_versions(spark: SparkSession, root: str, kind: str | None = None, *,
+                  since_hour: int | None = None, until: int | None = None) -> DataFrame:
+    """``(hour, version)`` of every ``hour=`` directory level below ``root`` that holds files.
+
+    The version is a digest of the paths, modification times and sizes of the hour's files (of one kind, if
+    given): it changes whenever a file comes, goes or is replaced, however old the hour is.  A listing only, no file
+    is opened.  With ``since_hour`` the directories of the days from then on are listed (see
+    :func:`stored_partitions`), and top-level ``hour=`` directories from then on."""
+    paths = [root] if since_hour is None else [*_day_dirs(spark, root, since_hour, until), *_hour_dirs(spark, root, since_hour)]
+    if not paths:
+        return spark.createDataFrame([], "hour long, version string")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+             .select("path", "modificationTime", "length"))
+    keyed = files.withColumn("hour", F.regexp_extract("path", r"/hour=(-?\d+)/[^/]*$", 1)).filter("hour <> ''").select(
+        F.col("hour").cast("long").alias("hour"), "path", "modificationTime", "length",
+        _unescape(F.regexp_extract("path", r"/subscriber=([^/]+)/", 1)).alias("subscriber"))
+    if since_hour is not None:
+        keyed = keyed.filter(F.col("hour") >= F.lit(int(since_hour)))
+    if kind:
+        keyed = split_kind(keyed, kind)
+    digest = F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))
+    return keyed.groupBy("hour").agg(F.concat_ws(":", F.count("*"), digest.cast("string")).alias("version"))
+
+
+def _hour_dirs(spark: SparkSession, root: str, since_hour: int) -> list[str]:
+    """Top-level ``hour=`` directories from ``since_hour`` on (one listing of the root)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/hour=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    paths = [st.getPath().toString() for st in found if st.isDirectory()]
+    return [p for p in paths if int(p.rsplit("=", 1)[1]) >= int(since_hour)]
+
+
 def _day_dirs(spark: SparkSession, root: str, since_hour: int, until: int | None) -> list[str]:
     """Existing ``subscriber=*/year=/month=/day=`` directories of the listed days (one glob
     call per day, on the driver: a handful of metadata requests)."""

@@ -180,51 +180,3 @@ def test_hour_table_follows_the_source(spark, small_log):
     assert res.rewritten_from == older - 3600
     assert spark.read.parquet(path).count() == export_feed(shrunk, spec, NOW).count()
     assert refresh_hour_table(spark, shrunk, spec, NOW, path, hourly=True).rewritten_from > older
-
-
-def test_hour_feed_writes_changed_hours_only(spark, small_log):
-    from hitfeed.plans.hour_table import refresh_hour_feed
-    spec = FeedSpec(parent_policies="error,p3", hours_ago=72)
-    table, out = scratch_path(spark, "table"), scratch_path(spark, "feed")
-    files = lambda: {r[0] for r in spark.read.option("header", True).csv(out).select(F.input_file_name()).distinct().collect()}
-    refresh_hour_feed(spark, as_of(small_log, NOW - 3600), spec, NOW - 3600, table, out)
-    first = files()
-    refresh_hour_feed(spark, small_log, spec, NOW, table, out, hourly=True)
-    second = files()
-    want = csv_safe(export_feed(small_log, spec, NOW))
-    got = spark.read.option("header", True).option("escape", '"').schema(want.schema).csv(out).select(*want.columns)
-    assert same(got, want)
-    assert len(first & second) > len(second) / 2  # most hours were not touched
-    rows = [int(r["start_time"]) for f in sorted(second) for r in spark.read.option("header", True).csv(f).collect()]
-    assert rows == sorted(rows)
-
-
-@pytest.mark.parametrize("died", ["CSV not written", "CSV hours half moved", "table refreshed alone"])
-def test_hour_feed_makes_up_for_a_run_that_lost_the_csv(spark, small_log, monkeypatch, died):
-    from hitfeed.plans import hour_table
-    spec = FeedSpec(parent_policies="error,p3", hours_ago=72)
-    table, out = scratch_path(spark, "table"), scratch_path(spark, "feed")
-    run = lambda t: hour_table.refresh_hour_feed(spark, as_of(small_log, t), spec, t, table, out, hourly=True)
-    run(NOW - 30 * 3600)
-    real = hour_table.replace_hours
-
-    def fails(spark_, path, lo, floor, write):
-        if path == out:
-            if died == "CSV hours half moved":
-                fs, gone = hour_table._fs(spark, f"{out}/hour={max(hour_table._hours(spark, out)) - 3600}")
-                fs.delete(gone, True)
-            raise RuntimeError("died")
-        return real(spark_, path, lo, floor, write)
-
-    t = NOW - 3600
-    if died == "table refreshed alone":
-        hour_table.refresh_hour_table(spark, as_of(small_log, t), spec, t, table, hourly=True)
-    else:
-        monkeypatch.setattr(hour_table, "replace_hours", fails)
-        with pytest.raises(RuntimeError, match="died"):
-            run(t)
-        monkeypatch.setattr(hour_table, "replace_hours", real)
-    run(NOW)
-    want = csv_safe(export_feed(small_log, spec, NOW))
-    got = spark.read.option("header", True).option("escape", '"').schema(want.schema).csv(out).select(*want.columns)
-    assert same(got, want)
