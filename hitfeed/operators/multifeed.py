@@ -1,14 +1,19 @@
 """Many feeds in one scan.
 
-The per-feed form scans the source once per feed.  Here the source is scanned once, with
-the feeds' merged time windows (both bounds) and their common kind as partition filters.  The exploded
-hits are equi-joined with a (source, policy) table of the feeds, with each feed's own window
-and kind as residual conditions.  The result equals the union of the per-feed exports,
-tagged by feed.  Policy lists are de-duplicated per feed first: ``IN`` is idempotent, a join
-is not.
+The per-feed form scans the source once per feed.  Here the source is scanned once, with the feeds' merged
+time windows (both bounds) and their common kind as partition filters.
 
-A feed with a subscriber gets that subscriber's rows only (its proxy logs included); a feed
-without one gets every subscriber's.
+* **Before the generator** rows without a wanted policy are dropped: by the policies as literals where a
+  list of feeds names few, else by a bitmap of policy hashes that Spark aggregates from the feed table (a fixed
+  size however many the policies are; a false positive only costs work, the join decides).
+* **The join** is on source, policy and time.  Every window is cut into buckets of aligned spans (64 days, a day, an
+  hour) that together are exactly the window, so a row meets a feed only if it is one of its hits, and once: feeds
+  with other windows on the same policy are no candidates.  A row carries one key for each size of bucket
+  that occurs.  Before 1970 and after the day of ``now`` there is one bucket each, where the bounds decide.
+
+The result equals the union of the per-feed exports, tagged by feed.  Policy lists are de-duplicated per feed
+first: ``IN`` is idempotent, a join is not.  A feed with a subscriber gets that subscriber's rows only (its proxy
+logs included); a feed without one gets every subscriber's.
 
 Sizing: the feed table is an ordinary DataFrame, whatever its size, and the plan is the same for few
 and many feeds.  Spark broadcasts it if its size is below the session's broadcast threshold;
@@ -21,8 +26,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hitfeed.functions.policies import unique_policies
 from hitfeed.functions.timebounds import DAY, HOUR
@@ -35,6 +42,12 @@ FEED_TABLE_DDL = "feed string, source string, policy string, min_hour long, max_
 
 #: Join key of feeds that read every subscriber.
 ANY_SOURCE = ""
+#: Sizes of time buckets, the largest first.
+SPANS = (64 * DAY, DAY, HOUR)
+#: A bucket that no window has.
+NO_BUCKET = -2
+#: Bits of the policy bitmap, and policies of a list of feeds up to which literals are used instead.
+BITMAP_BITS, LITERALS = 1 << 16, 64
 
 
 @dataclass(frozen=True)
@@ -67,7 +80,11 @@ def feed_rows(feeds: Sequence[Feed], now: int) -> list[tuple]:
 
 
 def feeds_frame(spark: SparkSession, feeds: Sequence[Feed], now: int) -> DataFrame:
-    return spark.createDataFrame(feed_rows(feeds, now), FEED_TABLE_DDL)
+    """The rows of a list of feeds, as a local relation: Spark knows its size without a job."""
+    schema = T._parse_datatype_string(FEED_TABLE_DDL)
+    columns = zip(*feed_rows(feeds, now))
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.fieldNames()), schema)
 
 
 def feed_locations_frame(spark: SparkSession, feeds: Sequence[Feed], salt: str) -> DataFrame:
@@ -145,22 +162,117 @@ def merged_windows(windows: Sequence[tuple[int, int | None]]) -> list[tuple[int,
     return out
 
 
-def scan_predicate(table: DataFrame) -> tuple[Column, bool, bool]:
-    """Partition predicate of the scan, and whether some feeds name a subscriber, and some do not.
-
-    The distinct windows and kinds of the feeds reach the driver, a few rows however many the feeds are."""
-    rows = table.select("min_hour", "max_hour", "kind", F.col("source").isNull().alias("any")).distinct().collect()
-    if not rows:
-        raise ValueError("no feeds")
-    out = None
-    for lo, hi in merged_windows([(r["min_hour"], r["max_hour"]) for r in rows]):
-        p = F.col("hour") >= F.lit(lo)
-        p = p if hi is None else p & (F.col("hour") < F.lit(hi))
-        out = p if out is None else out | p
-    kinds = {r["kind"] for r in rows}
-    if len(kinds) == 1 and None not in kinds:
-        out = out & kind_predicate(kinds.pop())
-    return out, not all(r["any"] for r in rows), any(r["any"] for r in rows)
+@dataclass(frozen=True)
+class FeedScope:
+    """What the feeds have in common: known before the join is planned."""
+
+    windows: list[tuple[int, int | None]]
+    kinds: set[str | None]
+    named: bool  # some feeds name a subscriber
+    unnamed: bool  # some do not
+    policies: list[str] | None = None  # all of them, if they are few
+
+    @classmethod
+    def of_list(cls, feeds: Sequence[Feed], now: int) -> FeedScope:
+        if not feeds:
+            raise ValueError("no feeds")
+        policies = sorted({p for f in feeds for p in f.spec.values})
+        return cls(sorted({f.spec.window(now) for f in feeds}, key=str), {f.kind for f in feeds}, any(f.subscriber for f in feeds),
+                   not all(f.subscriber for f in feeds), policies if len(policies) <= LITERALS else None)
+
+    @classmethod
+    def of_table(cls, table: DataFrame) -> FeedScope:
+        """The distinct windows and kinds reach the driver: at most a few for each hour of retention."""
+        rows = table.select("min_hour", "max_hour", "kind", F.col("source").isNull().alias("any")).distinct().collect()
+        if not rows:
+            raise ValueError("no feeds")
+        return cls(sorted({(r["min_hour"], r["max_hour"]) for r in rows}, key=str), {r["kind"] for r in rows},
+                   not all(r["any"] for r in rows), any(r["any"] for r in rows))
+
+    def predicate(self) -> Column:
+        """Partition predicate of the scan."""
+        out = None
+        for lo, hi in merged_windows(self.windows):
+            p = F.col("hour") >= F.lit(lo)
+            p = p if hi is None else p & (F.col("hour") < F.lit(hi))
+            out = p if out is None else out | p
+        if len(self.kinds) == 1 and None not in self.kinds:
+            out = out & kind_predicate(next(iter(self.kinds)))
+        return out
+
+    def spans(self, cap: int) -> list[int]:
+        """Bucket sizes that occur in the windows."""
+        length = max((cap if hi is None else min(hi, cap)) - max(lo, 0) for lo, hi in self.windows)
+        hourly = any(0 < x < cap and x % DAY for w in self.windows for x in w if x is not None)
+        return [s for s, used in zip(SPANS, (length >= SPANS[0], True, hourly)) if used]
+
+
+def time_cap(now: int) -> int:
+    """The first hour of the day after ``now``: from there on rows share one bucket."""
+    return now - now % DAY + DAY
+
+
+def bucket(span: int, at: str) -> str:
+    """One number (SQL) for the aligned bucket of a size that starts at ``at``; the outer buckets are those of size 0."""
+    return f"({at}) * 4L + {SPANS.index(span) if span else 3}"
+
+
+def window_buckets(lo: str, hi: str, cap: int) -> Column:
+    """Array of the aligned buckets that make up the window of columns ``lo`` <= hour < ``hi`` (open where null).
+
+    As one SQL expression: built from single columns it costs more time than the join of a few feeds."""
+    up = lambda x, s: f"({x} + pmod(-{x}, {s}L))"
+    down = lambda x, s: f"({x} - pmod({x}, {s}L))"
+
+    def whole(a: str, b: str, span: int) -> str:
+        return f"CASE WHEN {a} < {b} THEN transform(sequence({a}, {b} - {span}L, {span}L), at -> {bucket(span, 'at')}) ELSE none END"
+
+    def cut(a: str, b: str, spans: tuple[int, ...]) -> list[str]:
+        """The largest buckets within [a, b), then the smaller ones on both sides of them."""
+        span, rest = spans[0], spans[1:]
+        if not rest:
+            return [whole(a, b, span)]
+        left = f"least({up(a, span)}, {b})"
+        right = f"greatest({down(b, span)}, {left})"
+        return [whole(left, right, span), *cut(a, left, rest), *cut(right, b, rest)]
+
+    ends = f"struct(greatest({lo}, 0L) AS a, least(coalesce({hi}, {cap}L), {cap}L) AS b)"
+    outer = [f"CASE WHEN {lo} < 0 THEN array({bucket(0, '-1')}) ELSE none END",
+             f"CASE WHEN coalesce({hi} > {cap}, true) THEN array({bucket(0, str(cap))}) ELSE none END"]
+    every = ", ".join([*cut("w.a", "w.b", SPANS), *outer]).replace("none", "CAST(array() AS ARRAY<BIGINT>)")
+    return F.expr(f"transform(array({ends}), w -> concat({every}))[0]")
+
+
+def row_buckets(hour: str, spans: Sequence[int], cap: int) -> list[Column]:
+    """The bucket of a row for each size; before 1970 and from ``cap`` on the outer one (and one that no feed has)."""
+    outer = f"CASE WHEN {hour} < 0 THEN {bucket(0, '-1')} ELSE {bucket(0, str(cap))} END"
+    # never null: nothing has to be tested before the join
+    return [F.expr(f"coalesce(CASE WHEN {hour} >= 0 AND {hour} < {cap} THEN {bucket(s, f'{hour} - pmod({hour}, {s})')} "
+                   f"ELSE {NO_BUCKET if i else outer} END, {NO_BUCKET}L)") for i, s in enumerate(spans)]
+
+
+def policy_bitmap(table: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """One row, one array of 64-bit words: the hashes of all policies of the feed table."""
+    at = F.pmod(F.xxhash64("policy"), F.lit(bits))
+    words = table.select(F.floor(at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    held = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    return held.select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda w: F.coalesce(F.col("held")[w], F.lit(0).cast("long"))).alias("words"))
+
+
+def in_bitmap(policy: Column, words: Column, bits: int = BITMAP_BITS) -> Column:
+    at = F.pmod(F.xxhash64(policy), F.lit(bits))
+    return F.call_function("shiftright", words[F.floor(at / 64).cast("int")], (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def wanted_hits(logs: DataFrame, column: str, scope: FeedScope, table: DataFrame) -> DataFrame:
+    """The exploded hits of rows that hold a policy of some feed; others are dropped before the generator."""
+    if scope.policies is not None:
+        return explode_policies(logs, column, scope.policies)
+    words = F.col("_words")
+    rows = logs.withColumn("_words", policy_bitmap(table).scalar()).filter(F.exists(column, lambda p: in_bitmap(p, words)))
+    hits = explode_policies(rows.drop("_words"), column)
+    return hits.withColumn("_words", policy_bitmap(table).scalar()).filter(in_bitmap(F.col("policy"), words)).drop("_words")
 
 
 def multi_feed_hits(logs: DataFrame, feeds, now: int, *, policy_column: str = "parent_policies",
@@ -177,25 +289,36 @@ def multi_feed_hits(logs: DataFrame, feeds, now: int, *, policy_column: str = "p
     spark = logs.sparkSession
     if isinstance(feeds, DataFrame):
         table = feed_table_from_frame(feeds, now, policy_column=policy_column)
+        scope = FeedScope.of_table(table)
     else:
         for f in feeds:
             if f.spec.policy_column != policy_column:
                 raise ValueError(f"feed {f.name!r} reads {f.spec.policy_column}, not {policy_column}")
         table = feeds_frame(spark, feeds, now)
-    predicate, some_source, any_source = scan_predicate(table)
-    hits = explode_policies(logs.filter(predicate), policy_column)
+        scope = FeedScope.of_list(feeds, now)
+    hits = wanted_hits(logs.filter(scope.predicate()), policy_column, scope, table)
 
-    # the join key of a hit is its subscriber, and the key of every subscriber if some feed reads all
+    # the keys of a hit: its buckets, and its subscriber or the key of every subscriber, where feeds name some
+    cap = time_cap(int(now))
+    buckets = row_buckets("hour", scope.spans(cap), cap)
     subscriber = F.regexp_replace(F.col("subscriber"), PROXY_SUFFIX.replace(".", r"\.") + "$", "")
-    keys = [subscriber] * some_source + [F.lit(ANY_SOURCE)] * any_source
-    keyed = hits.withColumn("_source", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)))
-    f = table.select(F.coalesce("source", F.lit(ANY_SOURCE)).alias("_f_source"),
-                     *[F.col(c).alias(f"_f_{c}") for c in table.columns if c != "source"])
-    is_proxy = F.col("subscriber").endswith(PROXY_SUFFIX)
-    cond = ((keyed["_source"] == F.col("_f_source")) & (keyed["policy"] == F.col("_f_policy"))
-            & (keyed["hour"] >= F.col("_f_min_hour"))
-            & (F.col("_f_max_hour").isNull() | (keyed["hour"] < F.col("_f_max_hour")))
-            & (F.col("_f_kind").isNull() | ((F.col("_f_kind") == F.lit("proxy")) == is_proxy)))
+    sources = [subscriber] * scope.named + [F.lit(ANY_SOURCE)] * scope.unnamed
+    several = lambda keys: keys[0] if len(keys) == 1 else F.explode(F.array(*keys))
+    keyed = hits.withColumn("_bucket", several(buckets))
+    f = table.withColumn("_f_bucket", F.explode(window_buckets("min_hour", "max_hour", cap)))
+    f = f.select("_f_bucket", F.coalesce("source", F.lit(ANY_SOURCE)).alias("_f_source"),
+                 *[F.col(c).alias(f"_f_{c}") for c in table.columns if c != "source"])
+    cond = (keyed["_bucket"] == F.col("_f_bucket")) & (keyed["policy"] == F.col("_f_policy"))
+    if scope.named:
+        keyed = keyed.withColumn("_source", several(sources))
+        cond = cond & (keyed["_source"] == F.col("_f_source"))
+    # the bounds decide in the outer buckets only, the first (before 1970) and the last
+    outer = (keyed["hour"] < 0) | (keyed["hour"] >= cap)
+    cond = cond & (~outer | ((keyed["hour"] >= F.col("_f_min_hour"))
+                             & (F.col("_f_max_hour").isNull() | (keyed["hour"] < F.col("_f_max_hour")))))
+    if scope.kinds not in ({None}, {"dns"}, {"proxy"}):  # one kind of all feeds is in the predicate of the scan
+        is_proxy = F.col("subscriber").endswith(PROXY_SUFFIX)
+        cond = cond & (F.col("_f_kind").isNull() | ((F.col("_f_kind") == F.lit("proxy")) == is_proxy))
     if salt_buckets and salt_buckets > 1:
         n = int(salt_buckets)
         # spread by a hash of the scalar columns (maps cannot be hashed)

@@ -176,6 +176,8 @@ ORACLES["repair_then_read"] = hits(FLAG_WHERE + " AND subscriber NOT LIKE '%.pro
 ORACLES["sync_with_locations"] = f"""WITH {hits_from(FLAG_WHERE + " AND hour >= 1706400000", FLAG)}
   SELECT * REPLACE (subscriber || ':x' AS subscriber) FROM hits"""
 ORACLES["refresh_hour_table_corrected"] = hits(f"hour >= {NOW - 72 * H} AND hour <> {NOW - 5 * H}", FLAG)
+ORACLES["multi_feed_by_day"] = f"""WITH {hits_from("TRUE")}
+  SELECT policy || '-' || printf('%04d%02d%02d', year, month, day) AS feed, * FROM hits"""
 ORACLES["multi_feed_by_source"] = f"""WITH {hits_from("TRUE")}
   SELECT 's0' AS feed, * FROM hits WHERE hour >= 1706313600 AND hour < 1706486400 AND policy IN ('error', 'p3')
     AND subscriber IN ('sub.0', 'sub.0.proxy')

@@ -365,6 +365,16 @@ def q_multi_feed_by_source(spark, sf):
     return export_multi(policy_log(spark, sf), feeds, NOW)
 
 
+def q_multi_feed_by_day(spark, sf):
+    """A feeds table that Spark derives from the log: a feed for every policy and day on which it was hit."""
+    logs = policy_log(spark, sf)
+    day = F.format_string("%04d%02d%02d", "year", "month", "day")
+    hit = logs.select(F.explode("parent_policies").alias("policy"), day.alias("day")).distinct()
+    feeds = hit.select(F.concat_ws("-", "policy", "day").alias("feed"), F.col("policy").alias("parent_policies"),
+                       F.concat_ws("-", "day", "day").alias("day_range"))
+    return export_multi(logs, feeds, NOW)
+
+
 FEED_SALT = "example-salt"
 
 
@@ -578,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "refresh_hour_feed_csv": q_refresh_hour_feed,
     "refresh_hour_table_corrected": q_refresh_hour_table_corrected,
     "multi_feed_by_source": q_multi_feed_by_source,
+    "multi_feed_by_day": q_multi_feed_by_day,
     "feed_export_republish": q_feed_export_republish,
     "stream_hits_retained": q_stream_hits_retained,
 }

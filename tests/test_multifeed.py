@@ -151,3 +151,90 @@ def test_feed_locations_frame(spark, small_log):
 def test_salted_shuffle_path_same(spark, small_log):
     got = export_multi(small_log, FEEDS, NOW, salt_buckets=4)
     assert same(got, union_of_singles(small_log))
+
+
+def plain_buckets(lo, hi, cap, spans):
+    """The hours of a window's buckets, by going through every hour."""
+    return [h for h in range(-6 * 3600, cap + 6 * 3600, 3600) if h >= lo and (hi is None or h < hi)]
+
+
+def test_buckets_make_up_the_window(spark):
+    from hitfeed.operators.multifeed import SPANS, FeedScope, row_buckets, window_buckets
+    day, cap = 86400, 70 * 86400
+    hours = spark.range(-6, cap // 3600 + 6).selectExpr("id * 3600 AS hour")
+    windows = [(0, day), (0, None), (3600, 7200), (5 * 3600, 2 * day + 3600), (day, 65 * day), (64 * day, None), (3 * 3600, 69 * day + 7 * 3600),
+               (-7200, 3600), (-9 * 3600, None), (cap, None), (cap + 3600, None), (cap - 3600, cap + 7200), (69 * day + 3600, None), (2 * day, 2 * day)]
+    table = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(windows)], "i int, lo long, hi long")
+    scope = FeedScope(windows, {None}, False, True)
+    assert scope.spans(cap) == list(SPANS)
+    keys = table.select("i", "lo", "hi", F.explode(window_buckets("lo", "hi", cap)).alias("b"))
+    rows = hours.select("hour", F.explode(F.array(*row_buckets("hour", SPANS, cap))).alias("b"))
+    met = rows.join(keys, "b").filter("(hour >= 0 AND hour < %d) OR (hour >= lo AND (hi IS NULL OR hour < hi))" % cap)
+    got = {}
+    for r in met.collect():
+        got.setdefault(r["i"], []).append(r["hour"])
+    for i, (lo, hi) in enumerate(windows):
+        assert sorted(got.get(i, [])) == plain_buckets(lo, hi, cap, SPANS)  # each hour once
+    assert keys.groupBy("i").count().agg(F.max("count")).first()[0] < 240
+
+
+def test_hour_buckets_only_where_needed():
+    from hitfeed.operators.multifeed import FeedScope
+    day = 86400
+    assert FeedScope([(0, day), (day, None)], {None}, False, True).spans(3 * day) == [day]
+    assert FeedScope([(3600, None)], {None}, False, True).spans(3 * day) == [day, 3600]
+    assert FeedScope([(0, None)], {None}, False, True).spans(90 * day) == [64 * day, day]
+
+
+def test_feeds_of_other_windows_are_no_candidates(spark, small_log):
+    """Thousands of feeds on one policy, most of them one hour long: the join's keys alone give the result."""
+    from hitfeed.operators import multifeed as mf
+    n = 3000
+    feeds = spark.range(n).selectExpr("concat('f', id) AS feed", "'error' AS parent_policies", "CAST(NULL AS STRING) AS source",
+                                      f"{NOW} - 3600 * (1 + id % 700) AS lo")
+    table = feeds.selectExpr("feed", "source", "parent_policies AS policy", "lo AS min_hour", "lo + 3600 AS max_hour", "CAST(NULL AS STRING) AS kind")
+    cap = mf.time_cap(NOW)
+    scope = mf.FeedScope.of_table(table)
+    assert len(scope.windows) == 700 and scope.spans(cap) == [86400, 3600]
+    keys = table.select("feed", "policy", F.explode(mf.window_buckets("min_hour", "max_hour", cap)).alias("b"))
+    assert keys.count() == n
+    hits = mf.wanted_hits(small_log, "parent_policies", scope, table)
+    rows = hits.select("event_id", "policy", "hour", F.explode(F.array(*mf.row_buckets("hour", scope.spans(cap), cap))).alias("b"))
+    want = hits.join(table, "policy").filter("hour >= min_hour AND hour < max_hour").count()
+    assert want > n / 10 and rows.join(keys, ["policy", "b"]).count() == want
+
+
+def test_bitmap_drops_rows_before_the_generator(spark, small_log):
+    from hitfeed.operators import multifeed as mf
+    table = spark.createDataFrame([("a", f"x{i}") for i in range(3000)] + [("b", "p3")], "feed string, policy string")
+    bits = mf.policy_bitmap(table).first()["words"]
+    assert len(bits) == mf.BITMAP_BITS // 64 and 2800 < sum(bin(w & (1 << 64) - 1).count("1") for w in bits) <= 3001
+    scope = mf.FeedScope([(0, None)], {None}, False, True)
+    hits = mf.wanted_hits(small_log, "parent_policies", scope, table)
+    kept = {r[0] for r in hits.select("policy").distinct().collect()}
+    assert "p3" in kept and len(kept) <= 3  # nearly all of the others are gone
+    assert hits.filter("policy = 'p3'").count() == small_log.select(F.explode("parent_policies").alias("p")).filter("p = 'p3'").count()
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists" in plan[plan.index("Generate"):]  # the test on the array is below the generator
+
+
+def test_many_policies_in_a_list_of_feeds(spark, small_log):
+    feeds = [*FEEDS, Feed("many", FeedSpec(parent_policies=",".join(f"x{i}" for i in range(500)) + ",p2", day_range="20240101-20240103"))]
+    got = export_multi(small_log, feeds, NOW)
+    extra = export_feed(small_log, feeds[-1].spec, NOW).select(F.lit("many").alias("feed"), "*")
+    assert extra.count() and same(got, union_of_singles(small_log).unionByName(extra))
+
+
+def test_rows_outside_the_ordinary_range(spark, small_log):
+    odd = small_log.limit(4).withColumn("hour", F.expr(f"CAST(element_at(array(-7200, {NOW + 5 * 86400}, {NOW + 86400}, NULL), "
+                                                         "CAST(1 + monotonically_increasing_id() % 4 AS INT)) AS INT)"))
+    odd = spark.createDataFrame(odd.withColumn("parent_policies", F.array(F.lit("error"))).collect(), small_log.schema)
+    feeds = [Feed("open", FeedSpec(parent_policies="error", hours_ago=5)), Feed("day", FeedSpec(parent_policies="error", day_range="20240205-20240205")),
+             Feed("all", FeedSpec(parent_policies="error", hours_ago=10 ** 6), kind="dns")]
+    got = export_multi(odd, feeds, NOW)
+    want = None
+    for f in feeds:
+        src = odd.filter("NOT endswith(subscriber, '.proxy')") if f.kind else odd
+        one = export_feed(src, f.spec, NOW).select(F.lit(f.name).alias("feed"), "*")
+        want = one if want is None else want.unionByName(one)
+    assert got.count() >= 3 and same(got, want)
