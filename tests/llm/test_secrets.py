@@ -1,10 +1,14 @@
 import hashlib
+import math
 import random
 import re
 import string
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from hitfeed.llm import secret_scan as scan
 from hitfeed.llm.secret_scan import secrets
 from hitfeed.llm.spans import running_sums
 
@@ -81,3 +85,121 @@ def test_short_keys_are_candidates(spark):
     got = found()
     assert len(got) > 100 and max(got) < 1000
     assert not found(least=20)
+
+
+def judge(run, pairs, least=16):
+    """The battery in numpy: (-log10 tail, whether randomness stands)."""
+    plain = re.sub("[-_=]", "", run)
+    k, text = next((k, t) for k, t, ok in (
+        (10, plain, re.fullmatch("[0-9]*", plain)), (16, plain.lower(), re.fullmatch("[0-9a-f]*|[0-9A-F]*", plain)),
+        (36, plain.lower(), re.fullmatch("[0-9a-z]*|[0-9A-Z]*", plain)), (64, plain, True)) if ok)
+    x = np.array([scan.ALPHABETS[k].index(c) + 1 for c in text])
+    n = len(x)
+    if n < least:
+        return 0.0, False
+    counts = np.bincount(x, minlength=k + 1)[1:]
+    chi = ((counts - n / k) ** 2 / (n / k)).sum()
+    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    low = x <= k / 2
+    n1, n2 = low.sum(), (~low).sum()
+    mean = 2 * n1 * n2 / n
+    z_runs = ((low[1:] != low[:-1]).sum() - mean) / math.sqrt(max(2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1)), 1e-9))
+    d = x - x.mean()
+    z_serial = (d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9) * math.sqrt(n)
+    steps = False
+    for lag in range(1, min(8, n - 3) + 1):
+        s = x[lag:] - x[:-lag]
+        m = (n - 1 - lag) / k
+        steps |= (s[1:] == s[:-1]).sum() > m + 6.2 * math.sqrt(m) + 2
+    ok = z <= 3.1 and abs(z_runs) <= 3.1 and abs(z_serial) <= 3.1 and not steps
+    bits, table, size = 0.0, scan.name_bits(pairs), len(scan.SYMBOLS)
+    for a, b in zip(" " + run, run):
+        bits += table[(0 if a == " " else 1 + scan.SYMBOLS.index(a)) * size + scan.SYMBOLS.index(b)]
+    bits -= n * math.log2(k) + 2
+    return (max(bits, 0) * math.log10(2) if ok and k > 10 else 0.0), ok
+
+
+def corpus_pairs(spark):
+    return scan.letter_pairs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_every_statistic_equals_numpy(spark):
+    pairs, rnd = corpus_pairs(spark), random.Random(21)
+    alphabets = ["0123456789", "0123456789abcdef", "ABCDEF0123456789", string.ascii_lowercase + string.digits, B64, B64 + "-_=", "ab", "aB1"]
+    runs = ["".join(rnd.choice(a) for _ in range(rnd.randrange(16, 90))) for a in alphabets for _ in range(25)]
+    runs += ["".join(f"{chr(97 + i)}{chr(65 + i)}{i % 10}" for i in range(20)), string.ascii_letters + string.digits, "a" * 50, "ab" * 20, "QueryBuilderFactoryTest", "x" * 3000]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, r string")
+    got = {r["i"]: r["j"] for r in df.select("i", scan.battery(F.col("r"), scan.bits_table(pairs)).alias("j")).collect()}
+    for i, r in enumerate(runs):
+        tail, ok = judge(r, pairs)
+        assert got[i]["random"] == ok, r
+        assert got[i]["tail"] == pytest.approx(tail, abs=0.02), r
+    assert any(got[i]["tail"] > 5 for i in got) and not got[200]["random"]
+
+
+def test_letter_pairs_are_those_of_all_words(spark):
+    rows = [(1, "Ab ab, abc"), (2, None), (3, "x" * 200 + " été aB3 ab-ab"), (4, "")]
+    pairs = scan.letter_pairs(spark.createDataFrame(rows, "doc_id int, text string"))
+    prior = [2000 * p / sum(scan.LETTERS_PER_1000) for p in scan.LETTERS_PER_1000]
+    assert pairs[1][1] == pytest.approx((3 + prior[1]) / 2003) and pairs[2][2] == pytest.approx((1 + prior[2]) / 2001)
+    assert pairs[0][0] == pytest.approx((3 + prior[0]) / (2000 + 3 + 1)) and pairs[24][23] == pytest.approx(prior[23] / 2000)
+    assert all(sum(r) == pytest.approx(1) for r in pairs)
+
+
+def names(rnd, n, words):
+    """CamelCase, snake and kebab names, paths, URLs and codes with numbers, of 16 symbols or more."""
+    parts = ["Test", "Query", "Http", "V2", "3D", "Builder", "Factory", "Id", "Async", "User", "Client", "Server", "Json", "Xml", "Utf8", "Impl"]
+    out = []
+    while len(out) < n:
+        kind = len(out) % 7
+        some = [rnd.choice(words) for _ in range(rnd.randrange(2, 7))]
+        x = ["".join(rnd.choice(parts) for _ in range(6)), "".join(w.title() for w in some), "_".join(some), "/".join(["", "usr", *some]),
+             "-".join([*some, str(rnd.randrange(10 ** 6))]), some[0] + "".join(w.title() for w in some[1:]) + str(rnd.randrange(100)),
+             "_".join(some).upper()][kind]
+        if 16 <= len(x) <= 60:
+            out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("with_keys", [False, True])
+def test_names_stay_and_keys_are_found(spark, with_keys):
+    rnd = random.Random(31)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    words = sorted({w for t in texts for w in re.findall("[a-z]{3,12}", t)})
+    plain = names(rnd, 2000, words)
+    plain += ["".join(f"{chr(97 + (i + s) % 26)}{chr(65 + (i + s) % 26)}{(i + s) % 10}" for i in range(10)) for s in range(3)] * 300
+    plain += ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOP0123456789", "00000000000000000001", "20240131-123456-000017", "aaaabbbbccccddddeeee"] * 20
+    keys = ["".join(rnd.choice(a) for _ in range(rnd.randrange(20, 65))) for a in (B64, string.ascii_letters + string.digits) for _ in range(150)] * with_keys
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + i, f"see {x} there") for i, x in enumerate(plain)]
+    rows += [(20_000 + i, f"see {x} there") for i, x in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r["doc_id"] for r in secrets(docs).filter("spans LIKE '%random%'").select("doc_id").collect()}
+    false = sum(10_000 <= d < 20_000 for d in found)
+    hits = sum(d >= 20_000 for d in found)
+    assert false <= 0.01 * len(plain) and (not with_keys or hits >= 0.9 * len(keys))
+    assert false <= 0.01 * max(hits, 1) + 3  # the rate among the reported
+
+
+def test_the_rate_holds_under_the_model(spark):
+    """Runs drawn from the model of names itself: of the reported ones, with keys among them, at most about fdr are names."""
+    pairs, rnd = corpus_pairs(spark), random.Random(41)
+    bits, size = scan.name_bits(pairs), len(scan.SYMBOLS)
+    p = [[2.0 ** -b if b else 0.0 for b in bits[i * size:(i + 1) * size]] for i in range(size + 1)]
+    runs = []
+    for _ in range(4000):
+        run, at = "", 0
+        for _ in range(rnd.randrange(18, 40)):
+            at = 1 + rnd.choices(range(size), p[at])[0]
+            run += scan.SYMBOLS[at - 1]
+        runs.append(run)
+    tails = [judge(r, pairs)[0] for r in runs]
+    for t in (1, 2, 3):  # a tail of 10^-t has that chance at most
+        assert sum(x >= t for x in tails) <= 10 ** -t * len(runs) + 3 * math.sqrt(10 ** -t * len(runs))
+
+
+def test_a_very_long_run_is_linear(spark):
+    rnd = random.Random(51)
+    key = "".join(rnd.choice(B64) for _ in range(300_000))
+    rows = [(1, f"data:{key}"), (2, "A" * 300_000), (3, "some words " * 30_000)]
+    got = {r["doc_id"]: r["spans"] for r in secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "random:5:300005", 2: "", 3: ""}
