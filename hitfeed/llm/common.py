@@ -20,7 +20,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared scratch folder and read it back.
 
     A reliable lineage cut: what is read later never recomputes the plan above it, and
-    survives the loss of executors.
+    survives the loss of executors.  The copy is removed when the driver ends (or by :func:`discard`).
     """
     return store(df, name)[0]
 
@@ -30,9 +30,21 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free_name(name: str, *taken: DataFrame | list[str]) -> str:
+    """``name``, or the first of name_1, name_2, ... that none of the frames (or lists of columns) has."""
+    used = {c.lower() for t in taken for c in (t if isinstance(t, list) else t.columns)}
+    out, i = name, 0
+    while out.lower() in used:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove stored results that nothing reads any more."""
     for path in paths:

@@ -12,17 +12,19 @@ summed once over the corpus (combined before the shuffle), and each source takes
 executors.
 
 Rates become whole copies: the integer part for every document, and one more for documents in the
-order of a hash until the source's remaining words are taken.  The place where that ends is found
-from 4,096 hash bins of each source; only documents of the one bin in which it lies are ordered.  So
-a source's words miss its target by less than one document, reruns agree, and no source is
-gathered in one task.
+order of a hash of their id, their size and a number until the source's remaining words are taken.  The place where
+that ends is found level by level: from 4,096 bins of the first digits of the hash, of the next ones, from the ids
+and sizes there, and from 4,096 bins of a hash of the number.  Only documents that agree with the end on all levels
+are ordered, so neither a large source nor an id that many documents share is gathered in one task; a
+source's words miss its target by less than one document, and reruns agree.
 
 Targets: sources by code point (null last) weigh ``weights`` in turn; a target stops at ``cap`` times
 its source's words and the excess goes to the others by weight.
 
 Defined cases: a null text has size 0; documents without words take nothing, and a source without
-words has target 0; repeated rows are mixed row by row; ties in the order are between equal rows; a
-null doc_id counts as an empty text in the hash; extra columns are ignored; an empty table gives no rows.
+words has target 0; repeated rows are mixed row by row; ties in the order are between rows of one id and size; a
+null doc_id counts as an empty text in the hash; long texts count whole; extra columns are ignored by the query and
+kept by :func:`mixed_documents`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,9 +45,14 @@ def hash_order() -> Column:
     return F.md5(id_text(F.col("doc_id")))
 
 
-def hash_bin() -> Column:
-    """The first three digits of the hash: 0 to 4095."""
-    return F.conv(F.substring(hash_order(), 1, 3), 16, 10).cast("int")
+def level_keys() -> list[Column]:
+    """What the order goes by, level by level, as text: few values within one value of the levels before."""
+    return [F.substring(hash_order(), 1, 3), F.substring(hash_order(), 4, 3),
+            F.concat_ws(":", hash_order(), F.lpad(F.col("size").cast("string"), 19, "0")),
+            F.substring(F.md5(F.col("number").cast("string")), 1, 3)]
+
+
+LEVELS = ["level_1", "level_2", "level_3", "level_4"]
 
 
 def capped_targets(totals: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -75,58 +82,74 @@ def newton_rate(size: Column, target: Column) -> Column:
 
 
 def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """A row per source: target, rate, whole copies, and where the extra copies end.
+    """A row per source: target, rate, whole copies, and where the extra copies end (``end``, a key for each level, and the
+    words ``before`` it).
 
-    ``sizes`` has doc_id, source and size of every document and must be stored.
+    ``sizes`` has doc_id, source, size and number of every document and must be stored.
     """
-    bins = materialize(sizes.groupBy("source", hash_bin().alias("bin")).agg(F.sum("size").alias("size")), "mix-bins")
+    keyed = sizes.select("source", "size", *[k.alias(n) for k, n in zip(level_keys(), LEVELS)])
+    bins = materialize(keyed.groupBy("source", "level_1").agg(F.sum("size").alias("size")), "mix-bins")
     totals = bins.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = capped_targets(totals, weights, cap).withColumn("rate", newton_rate(F.col("source_size"), F.col("target")))
     plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = materialize(plan, "mix-targets")
-    upto = F.sum("size").over(W.partitionBy("source").orderBy("bin"))
-    ends = (bins.withColumn("upto", upto).withColumnRenamed("source", "s")
-            .join(plan.select("source", "rest"), F.col("s").eqNullSafe(F.col("source")))
-            .filter(F.col("upto") >= F.col("rest")).groupBy("source")
-            .agg(F.min_by(F.struct(F.col("bin").alias("end_bin"), (F.col("upto") - F.col("size")).alias("before")), "bin").alias("e"))
-            .select(F.col("source").alias("s"), "e.*"))
-    return materialize(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        *plan.columns, F.coalesce("end_bin", F.lit(4096)).alias("end_bin"), F.coalesce("before", F.lit(0)).alias("before")), "mix-plan")
-
-
-def with_copies(rows: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
-    """Add the plan's columns and ``copies`` to rows with doc_id and source.
-
-    Only the documents of a source's last bin are ordered; all others are decided by their bin.
+    plan = materialize(plan.withColumns({"end": F.array().cast("array<string>"), "before": F.lit(0).cast("long")}), "mix-targets")
+    for i, level in enumerate(LEVELS):
+        if i:
+            at = F.slice(F.array(*LEVELS[:i]), 1, i)
+            p = plan.select(F.col("source").alias("s"), "end")
+            near = keyed.join(p, F.col("source").eqNullSafe(F.col("s"))).filter(at == F.col("end"))
+            bins = near.groupBy("source", level).agg(F.sum("size").alias("size"))
+        plan = materialize(with_end(plan, bins, level), "mix-plan")
+    return plan
+
+
+def with_end(plan: DataFrame, bins: DataFrame, level: str) -> DataFrame:
+    """Extend ``end`` by the first bin of a level at whose end the extra words are all taken, and ``before`` by the bins
+    that precede it; a source whose documents are all taken gets the end '~', behind every key."""
+    order = W.partitionBy("s").orderBy(level)
+    b = bins.select(F.col("source").alias("s"), level, "size").withColumn("upto", F.sum("size").over(order))
+    met = plan.join(b, F.col("source").eqNullSafe(F.col("s")), "left")
+    here = F.when(F.col("before") + F.col("upto") >= F.col("rest"), F.col(level))
+    found = met.groupBy("source").agg(
+        F.min(here).alias("key"), F.min_by(F.col("upto") - F.col("size"), here).alias("passed")).withColumnRenamed("source", "s")
+    out = plan.join(found, F.col("source").eqNullSafe(F.col("s")))
+    return out.select(*[c for c in plan.columns if c not in ("end", "before")],
+                      F.concat("end", F.array(F.coalesce("key", F.lit("~")))).alias("end"),
+                      (F.col("before") + F.coalesce("passed", F.lit(0))).alias("before"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the plan's columns and ``copies`` to rows with doc_id, source, size and number.
+
+    Only the documents at a source's end, on every level, are ordered; all others are decided by their keys.
     """
     p = plan.withColumnRenamed("source", "plan_source")
-    at = rows.withColumn("bin", hash_bin()).join(p, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    clear = at.filter("bin <> end_bin").withColumn("extra", (F.col("bin") < F.col("end_bin")).cast("long"))
-    order = W.partitionBy("source").orderBy("h", "doc_id", "s")
-    edge = at.filter("bin = end_bin").withColumn("s", size).withColumn("h", hash_order())
-    past = F.col("before") + F.coalesce(F.sum("s").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("extra", (past + F.col("s") / 2 <= F.col("rest")).cast("long")).drop("s", "h")
-    return clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).drop("bin", "extra")
+    at = rows.withColumn("key", F.array(*level_keys())).join(p, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    clear = at.filter("key <> end").withColumn("extra", (F.col("key") < F.col("end")).cast("long"))
+    order = W.partitionBy("source").orderBy("key", "doc_id", "number")
+    past = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = at.filter("key = end").withColumn("extra", (past + F.col("size") / 2 <= F.col("rest")).cast("long"))
+    return clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).drop("key", "extra")
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", n_words().alias("size")), "mix-sizes")
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size and a number of every document (the same in every reading of a stored table)."""
+    return docs.select(*more, "doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("number"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(doc_id, size, source_size, target, taken, rate, copies) of every document."""
-    sizes = document_sizes(docs)
-    rows = with_copies(sizes, mixing_plan(sizes, weights, cap), F.col("size"))
+    sizes = materialize(sized(docs), "mix-sizes")
+    rows = with_copies(sizes, mixing_plan(sizes, weights, cap))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                        "rate", "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """The documents, each as often as the mix takes it (documents not taken go)."""
-    plan = mixing_plan(document_sizes(docs), weights, cap)
-    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
-    rows = with_copies(kept, plan, n_words()).filter("copies > 0")
+    plan = mixing_plan(materialize(sized(docs), "mix-sizes"), weights, cap)
+    rows = with_copies(sized(docs, F.struct(*docs.columns).alias("row")), plan).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 

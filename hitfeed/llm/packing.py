@@ -8,8 +8,8 @@ patterns.  The patterns are then joined back: the r-th piece of a length (ranked
 pieces) goes to the r-th place that the patterns hold for that length.
 
 Defined cases: a null text is an empty one, and an empty document is its closing
-identifier alone; repeated rows are packed row by row; extra columns are ignored; an empty
-table gives no rows.  Special strings inside texts become their identifier, as the
+identifier alone; repeated rows are packed row by row, and equal or null ids make no large bucket; long texts
+become many pieces; extra columns are ignored; an empty table gives no rows.  Special strings inside texts become their identifier, as the
 tokenizer's library does by default.
 """
 
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from hitfeed.llm.common import materialize
 from hitfeed.llm.token_count import WordCache, byte_symbols
 
+#: Column that tells equal pieces apart.
+NUMBER = "number"
 #: Rows of one rank bucket: the most that one window partition orders.
 RANK_BLOCK = 10_000
 
@@ -97,6 +99,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, closing: int
         cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with a number of their own, fixed once they are stored."""
+    return pieces.withColumn(NUMBER, F.monotonically_increasing_id())
+
+
 def pack_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """(lengths of a pack, packs of that kind), longest lengths first, into the shortest pack."""
     room: dict[int, list[tuple[list[int], int]]] = {}  # open packs by the room left
@@ -144,7 +151,7 @@ def pattern_places(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int
 def pack(pieces: DataFrame, capacity: int, rank_block: int = RANK_BLOCK) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``length`` <= ``capacity``).
 
-    ``pieces`` must be stored (it is read more than once).  The rank of a piece within its
+    ``pieces`` must be :func:`numbered` and stored (it is read more than once).  The rank of a piece within its
     length comes from hash buckets of about ``rank_block`` rows: a row number within
     (bucket, length) plus the pieces of that length in earlier buckets, so a length that
     most pieces share is ordered in many tasks.
@@ -153,11 +160,12 @@ def pack(pieces: DataFrame, capacity: int, rank_block: int = RANK_BLOCK) -> Data
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows
     places = pattern_places(pack_patterns(histogram, capacity))
     buckets = max(1, -(-sum(histogram.values()) // rank_block))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    # pieces that are equal in all columns (repeated rows, empty texts without id) are told apart by their own number
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", NUMBER), F.lit(buckets)))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     earlier = rows.groupBy("bucket", "length").count().select(
         "bucket", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
-    within = W.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = W.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", NUMBER)
     ranked = (rows.withColumn("within", F.row_number().over(within) - 1).join(earlier, ["bucket", "length"])
               .withColumn("rank", F.col("earlier") + F.col("within")))
     # one row for each place of a pattern: bounded by the capacity, not by the corpus
@@ -165,9 +173,9 @@ def pack(pieces: DataFrame, capacity: int, rank_block: int = RANK_BLOCK) -> Data
     return (ranked.join(F.broadcast(table), "length")
             .filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
             .withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
-            .select(*pieces.columns, "sequence_id", "offset"))
+            .select(*[c for c in pieces.columns if c != NUMBER], "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024) -> DataFrame:
     """One row for each piece of every document, with its sequence and its offset there."""
-    return pack(materialize(cut_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
+    return pack(materialize(numbered(cut_pieces(docs, tokenizer_path, capacity)), "pieces"), capacity)

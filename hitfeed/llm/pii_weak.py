@@ -17,8 +17,9 @@ A loose candidate becomes a span if its posterior reaches ``accept`` and its kin
 speak against it; base spans always stay.
 
 Defined cases: a null text is an empty one; repeated rows get the same spans, and each counts in
-the estimates; spans are ordered by kind as listed, then start; without candidates the priors stand;
-extra columns are ignored; an empty table gives no rows.
+the estimates; spans are ordered by kind as listed, then start; without candidates the priors stand; very long texts are
+searched whole; extra columns are ignored by the query and kept by :func:`redact`, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -156,13 +157,14 @@ def voted(text: Column, found: Column) -> Column:
         F.concat_ws(",", *[v.cast("string") for v in votes(text, s).values()]).alias("votes")))
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """Add ``_base`` and ``_loose``: voted spans of the base patterns, and loose ones that lie in none of them."""
+def with_candidates(docs: DataFrame, *more: Column) -> DataFrame:
+    """``more`` columns, and ``base`` and ``loose``: voted spans of the base patterns, and loose ones that lie in none of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_base": F.concat(*base_spans(text)), "_loose": F.concat(*loose_spans(text))})
-    free = F.filter("_loose", lambda c: ~F.exists("_base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-    return rows.withColumn("_loose", free).withColumns({
-        "_base": F.array_sort(voted(text, F.col("_base"))), "_loose": F.array_sort(voted(text, F.col("_loose")))})
+    rows = docs.select(*more, text.alias("whole_text"), F.concat(*base_spans(text)).alias("base"), F.concat(*loose_spans(text)).alias("loose"))
+    free = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
+    rows = rows.withColumn("loose", free)
+    found = [F.array_sort(voted(F.col("whole_text"), F.col(c))).alias(c) for c in ("base", "loose")]
+    return rows.select(*[c for c in rows.columns if c not in ("whole_text", "base", "loose")], *found)
 
 
 class SpanModel:
@@ -212,8 +214,8 @@ class SpanModel:
 
 
 def fit_spans(candidates: DataFrame) -> SpanModel:
-    """Learn from ``_base`` and ``_loose`` of :func:`with_candidates`; at most 6 x 3^5 rows reach the driver."""
-    rows = (candidates.select(F.explode(F.concat("_base", "_loose")).alias("s")).groupBy("s.kind", "s.votes").count()
+    """Learn from ``base`` and ``loose`` of :func:`with_candidates`; at most 6 x 3^5 rows reach the driver."""
+    rows = (candidates.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", "s.votes").count()
             .orderBy("kind", "votes").collect())
     return SpanModel([tuple(r) for r in rows])
 
@@ -222,15 +224,15 @@ def accepted(model: SpanModel, accept: float) -> Column:
     """All spans: the base ones, and the loose ones that the classifier accepts; by kind, then start."""
     least = log(accept / (1 - accept))
     check = LABELERS.index("check")
-    added = F.filter("_loose", lambda s: (F.split(s["votes"], ",")[check] != "-1")
+    added = F.filter("loose", lambda s: (F.split(s["votes"], ",")[check] != "-1")
                      & F.coalesce(model.score(s["kind"], s["votes"]) >= least, F.lit(False)))
-    return F.array_sort(F.concat("_base", added))
+    return F.array_sort(F.concat("base", added))
 
 
 def personal_spans(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     """(doc_id, base, found): arrays of base spans and of all spans."""
-    stored = materialize(with_candidates(docs.select("doc_id", "text")).drop("text"), "pii")
-    return stored.select("doc_id", F.col("_base").alias("base"), accepted(fit_spans(stored), accept).alias("found"))
+    stored = materialize(with_candidates(docs, F.col("doc_id")), "pii")
+    return stored.select("doc_id", "base", accepted(fit_spans(stored), accept).alias("found"))
 
 
 def personal_data(docs: DataFrame, accept: float = 0.9) -> DataFrame:
@@ -244,10 +246,11 @@ def redact(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     """The documents with every span of personal data replaced by its kind in brackets.
 
     Spans that overlap are replaced as one, from the first start to the last end, by all their kinds
-    (``[IP+CARD]``).  ``n_chars``, where there is one, follows the new text.
+    (``[IP+CARD]``).  ``n_chars``, where there is one, follows the new text.  The patterns run once: the documents are
+    stored with their candidates, from which the model learns and the spans are chosen.
     """
-    candidates = with_candidates(docs)
-    model = fit_spans(candidates.select("_base", "_loose"))
+    candidates = materialize(with_candidates(docs, F.struct(*docs.columns).alias("row")), "pii-documents")
+    model = fit_spans(candidates)
     found = F.array_sort(F.transform(accepted(model, accept), lambda s: F.struct(
         s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.array(s["kind"]).alias("kinds"))))
     empty = F.array().cast("array<struct<start:int,end:int,kinds:array<string>>>")
@@ -257,13 +260,15 @@ def redact(docs: DataFrame, accept: float = 0.9) -> DataFrame:
         at_end(a)["start"].alias("start"), F.greatest(last(a), s["end"]).alias("end"),
         F.array_union(at_end(a)["kinds"], s["kinds"]).alias("kinds"))))
     apart = F.aggregate(found, empty, lambda a, s: F.when(s["start"] >= last(a), F.concat(a, F.array(s))).otherwise(joined(a, s)))
-    rows = candidates.withColumn("_apart", apart)
-    end = lambda i: F.when(i > 0, F.col("_apart")[i - 1]["end"]).otherwise(0)
-    pieces = F.transform("_apart", lambda s, i: F.concat(
+    rows = candidates.select("row", F.col("row.text").alias("text"), apart.alias("apart"))
+    end = lambda i: F.when(i > 0, F.col("apart")[i - 1]["end"]).otherwise(0)
+    pieces = F.transform("apart", lambda s, i: F.concat(
         F.substring(F.col("text"), end(i) + 1, s["start"] - end(i)), F.lit("["), F.upper(F.array_join(s["kinds"], "+")), F.lit("]")))
-    rest = F.substring(F.col("text"), last(F.col("_apart")) + 1, F.length("text"))
-    rows = rows.withColumn("text", F.when(F.size("_apart") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    rest = F.substring(F.col("text"), last(F.col("apart")) + 1, F.length("text"))
+    changed = F.size("apart") > 0
+    rows = rows.select("row", changed.alias("changed"), F.when(changed, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")).alias("text"))
+    own = lambda c: F.col("row").getField(c)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_apart") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-                               .otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return rows.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

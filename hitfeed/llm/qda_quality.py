@@ -11,8 +11,8 @@ they reach the driver).  Inputs of a score are counts of its text alone.
 
 Defined cases: null and empty texts are scored as a text without observations; repeated rows get
 the same score; documents with contradictory labels are not learned from; without rows of both
-classes the score is the share of class 1 (0.5 without labels); extra columns are ignored; an empty
-table gives no rows.
+classes the score is the share of class 1 (0.5 without labels); very long texts are counted whole; extra columns are
+ignored by the query and kept by :func:`keep_quality`, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,12 +157,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score at least ``threshold``, unchanged (no shuffle of texts)."""
-    model = fit_quality(materialize(document_counts(docs), "quality"), labels)
+    """The documents that score at least ``threshold``, unchanged (no shuffle of texts).
+
+    Texts are counted once: the documents are stored with their counts, from which the model learns and scores."""
+    @F.pandas_udf("array<double>")
+    def count(text: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, counts(t))) for t in text], dtype="object")
+
+    stored = materialize(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", count("text").alias("counts")), "quality-documents")
+    model = fit_quality(stored.select("doc_id", "counts"), labels)
 
     @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        c = np.array([counts(t) for t in text], np.float64).reshape(-1, len(COUNTS))
-        return pd.Series(model.score(c) >= threshold, dtype="bool")
+    def good(c: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.vstack(c)) >= threshold if len(c) else [], dtype="bool")
 
-    return docs.filter(good("text"))
+    return stored.filter(good("counts")).select("row.*")

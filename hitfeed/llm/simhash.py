@@ -14,8 +14,9 @@ Each comparison returns a spanning forest of its links, never the pairs.
 
 Defined cases: null and wordless texts have fingerprint 0 and link like any other; fewer words
 than a shingle are one shingle; repeated rows and ties each get their row with the same
-component; a null doc_id never names a component unless no other id is in it; extra columns
-are ignored; an empty table gives no rows.
+component; a null doc_id never names a component unless no other id is in it; very long texts are hashed whole;
+extra columns are ignored by the query and kept by :func:`drop_near_duplicates`, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hitfeed.llm.common import block_cells, components, map_texts, materialize, merge_links, parts, runs
+from hitfeed.llm.common import block_cells, components, free_name, map_texts, materialize, merge_links, parts, runs
 
 #: Fingerprints in a block; a bucket above it is compared block by block.
 BLOCK = 2048
@@ -158,17 +159,28 @@ def near_links(fps: DataFrame, radius: int = 4, block: int = BLOCK, spare: int |
     return link_cells(block_cells(keyed, ["mask_no", "bits"], large, F.xxhash64("fp"), block), radius)
 
 
+def least_of_components(reach: DataFrame, least: DataFrame) -> DataFrame:
+    """(component, component_id): the smallest ``least`` of the nodes of each component of ``reach``.
+
+    Nodes are dealt by themselves and add up their components first; only then do the sums, one per component
+    and partition, meet by component, so a component with a large share of the nodes is no hot key."""
+    n = parts(reach.sparkSession)
+    own = reach.join(least, reach["node"] == least["fp"]).select("component", "least", F.pmod(F.xxhash64("node"), F.lit(n)).alias("part"))
+    some = own.groupBy("component", "part").agg(F.min("least").alias("least"))
+    return some.groupBy("component").agg(F.min("least").alias("component_id"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; component_id is the smallest
     doc_id reachable by links of at most ``radius`` differing bits."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    reach = components(near_links(distinct.select("fp"), radius, block))
-    grouped = distinct.join(reach, distinct["fp"] == reach["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    reach = materialize(components(near_links(distinct.select("fp"), radius, block)), "simhash-reach")
+    smallest = materialize(least_of_components(reach, distinct), "simhash-least")
+    # a large component's nodes all look up one row: AQE splits that key, or broadcasts a small table
+    named = reach.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return marked.join(every, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -182,7 +194,8 @@ def row_key(docs: DataFrame) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component: the row of the smallest :func:`row_key` (of repeated rows, one)."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    reach = simhash_components(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, radius)
-    keep = reach.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    name = free_name("key", docs)
+    keyed = docs.withColumn(name, row_key(docs))
+    reach = simhash_components(keyed.select(F.col(name).alias("doc_id"), "text"), shingle, radius)
+    keep = reach.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -75,3 +75,32 @@ def test_small_tables(spark, data):
     assert len(got) == len(data)
     total = sum(r["size"] for r in got)
     assert sum(r["taken"] for r in got) == total
+
+
+def test_an_id_that_many_documents_share(spark):
+    """A third of the rows have no id: the end of a source lies among them, and is found without ordering them all."""
+    from pyspark.sql import functions as F
+
+    from hitfeed.llm.common import materialize
+    from hitfeed.llm.entropy_mix import LEVELS, level_keys, mixing_plan, sized
+    rnd = random.Random(12)
+    data = [(None, " ".join(["w"] * rnd.choice([2, 3, 3, 5])), rnd.choice("ab")) for _ in range(3000)]
+    data += [(i, " ".join(["w"] * rnd.choice([1, 4])), rnd.choice("abc")) for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    sizes = {s: sum(len(t.split()) for _, t, x in data if x == s) for s in "abc"}
+    want = brute_targets(sizes)
+    for got in (mix(df).collect(), ):
+        for s in "abc":
+            mine = [r for r in got if r["source_size"] == sizes[s]]
+            assert abs(sum(r["taken"] for r in mine) - want[s]) <= 5 and all(r["taken"] <= 3 * r["size"] for r in mine)
+    taken = [len(r["text"].split()) for r in mixed_documents(df).filter("source = 'a'").collect()]
+    assert abs(sum(taken) - want["a"]) <= 5
+    stored = materialize(sized(df), "sizes")
+    plan = mixing_plan(stored, (5, 2, 1), 3)
+    ends = stored.withColumn("key", F.array(*level_keys())).join(plan, "source").filter(F.col("key") == F.col("end"))
+    assert ends.groupBy("source").count().agg(F.max("count")).first()[0] < 20 and len(LEVELS) == 4
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "w " * 1000, "a"), (3, "x" * 500_000, "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mix(df).collect()} == {1: 400_000, 2: 1000, 3: 1}

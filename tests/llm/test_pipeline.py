@@ -74,3 +74,32 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_every_stage(spark, sf_dir):
+    """Columns named like those that the stages use themselves come through with their values."""
+    from pyspark.sql import functions as F
+    names = ["key", "_key", "key_1", "row", "counts", "base", "_base", "loose", "_loose", "apart", "_apart", "changed", "whole_text", "size", "number",
+             "copies", "rate", "target", "end", "before", "level_1", "source_size", "component", "fp", "bin", "quality", "score"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumns({n: F.concat_ws("/", F.lit(n), "doc_id") for n in names})
+    docs = corpus_pipeline.materialize(docs, "test-names")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == "packing":
+            assert out.count() > 0
+            break
+        docs = corpus_pipeline.materialize(out, "test-stage")
+        assert docs.columns[-len(names):] == names and docs.count() > 0
+        for r in docs.collect():
+            assert all(r[n] == (f"{n}/{r['doc_id']}" if r["doc_id"] is not None else n) for n in names)
+
+
+def test_a_run_leaves_only_its_result(spark, sf_dir):
+    from hitfeed.session import scratch_root
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stages = lambda: {s.getPath().getName() for s in fs.listStatus(root) if "hitfeed-stage-" in s.getPath().getName()}
+    before = stages()
+    n = corpus_pipeline.run(spark, sf_dir).count()
+    assert n > 0 and len(stages() - before) == 1 and all("packing" in s for s in stages() - before)

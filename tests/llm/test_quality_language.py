@@ -57,7 +57,7 @@ def test_quality_corner_cases(spark):
     assert [r["score"] for r in quality_scores(docs, none).collect()] == [0.5] * 5
     one = spark.createDataFrame([(3, 1), (2, 1), (1, 1), (4, None)], "doc_id long, quality int")
     assert {r["score"] for r in quality_scores(docs, one).collect()} == {1.0}
-    assert keep_quality(docs, one).collect() == docs.collect()
+    assert sorted(map(tuple, keep_quality(docs, one).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
     assert quality_scores(docs.limit(0), one).count() == 0
     # partitions without a labelled row
     spread = spark.range(40, numPartitions=8).selectExpr("id AS doc_id", "concat('word ', id) AS text")

@@ -124,3 +124,13 @@ def test_components_of_chain_star_and_cycle(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {n: (0 if n <= 50 else 100 if n < 200 else 200) for e in edges for n in e}
     assert near_links(spark.createDataFrame([(5,)], "fp long")).count() == 0
+
+
+def test_a_component_with_a_third_of_the_fingerprints(spark):
+    from hitfeed.llm.simhash import least_of_components
+    reach = spark.createDataFrame([(i, 0 if i < 1000 else i - i % 2) for i in range(2000)], "node long, component long")
+    least = spark.createDataFrame([(i, 5000 - i) for i in range(2000)], "fp long, least long")
+    got = {r["component"]: r["component_id"] for r in least_of_components(reach, least).collect()}
+    assert got == {0: 4001} | {c: 5000 - c - 1 for c in range(1000, 2000, 2)}
+    plan = least_of_components(reach, least)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(component") >= 2 or "part" in plan

@@ -9,7 +9,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from hitfeed.llm.packing import encoder, pack, pack_documents, pack_patterns, pattern_places
+from hitfeed.llm.common import materialize
+from hitfeed.llm.packing import cut_pieces, encoder, numbered, pack, pack_documents, pack_patterns, pattern_places
 from hitfeed.llm.token_count import WordCache, counter, token_counts
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -85,12 +86,11 @@ def test_patterns_hold_every_piece_once(histogram):
 
 @pytest.mark.parametrize("block", [10_000, 3])
 def test_pieces_fill_sequences(spark, block):
-    from hitfeed.llm.packing import cut_pieces
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice(["the", "of", "xqz", "é"]) for _ in range(rnd.choice([0, 1, 5, 40, 90])))) for i in range(60)]
     rows += [(100, None), (101, ""), (5, rows[5][1]), (None, "no id"), (102, "<|endoftext|> in text")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, offset string")
-    out = pack(cut_pieces(df, BYTES, 32), 32, rank_block=block).toPandas()
+    out = pack(materialize(numbered(cut_pieces(df, BYTES, 32)), "pieces"), 32, rank_block=block).toPandas()
     ids = {d: [*_lib(BYTES).encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
     total = sum(len(_lib(BYTES).encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
     assert out["length"].sum() == total
@@ -110,3 +110,16 @@ def test_layout_is_checked(tmp_path):
                                                  "pre_tokenizer": {"type": "ByteLevel"}, "added_tokens": []}))
     with pytest.raises(ValueError):
         encoder(str(tmp_path / "x.json"))
+
+
+def test_equal_pieces_make_no_large_bucket(spark):
+    """A third of the rows are one text without id: their ranks come from many buckets, and every piece has a place."""
+    rows = [(None, "the same words again")] * 400 + [(i, "other words " * (i % 9)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    pieces = materialize(numbered(cut_pieces(df, BYTES, 64)), "pieces")
+    sizes = pieces.selectExpr("pmod(xxhash64(doc_id, start, ids_crc32, number), 20) AS b").groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) < 150
+    out = pack(pieces, 64, rank_block=60).toPandas()
+    assert len(out) == pieces.count() and "number" not in out.columns
+    for _, g in out.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
