@@ -16,7 +16,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hitfeed.llm.common import materialize, read
+from hitfeed.llm.common import discard, materialize, read, store  # noqa: F401
 from hitfeed.llm.entropy_mix import mixed_documents
 from hitfeed.llm.packing import pack_documents
 from hitfeed.llm.pii_weak import redact
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each result is written as Parquet and read again, and removed once the next
+    stage has read it (the last when the driver ends)."""
+    docs, path = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        done = path
+        docs, path = store(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if done:
+            discard(spark, done)
     return docs
