@@ -7,7 +7,8 @@ that point into the learned text, per letter of the parsed text, is the cross en
 that needs fewest wins.
 
 Whole texts are parsed, in segments of ``SEGMENT`` symbols whose phrases are added up (every language
-has the same cuts): many segments take a step at once through the automaton's table.  The learned
+has the same cuts): many segments take a step at once through the automaton.  Its transitions are a dense table
+where that is small, else a hash table, so memory follows the learned text and not the size of its alphabet.  The learned
 text is a bounded sample: the ``docs_per_language`` different texts of each language with the smallest
 hashes (all, if fewer), ``chars_per_language`` characters of them (less, if all languages together would
 pass ``chars_in_all``).  All of these texts take part: the longer ones, cut to the same size, by pieces
@@ -21,6 +22,7 @@ get the same result; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ DOCS_PER_LANGUAGE = 200
 CHARS_PER_LANGUAGE = 40_000
 #: Symbols of all languages together, so that many languages still fit a worker.
 CHARS_IN_ALL = 1_600_000
+#: Cells of all dense transition tables together (4 bytes each); languages beyond it have hashed ones.
+DENSE_CELLS = 24_000_000
 #: Pieces of a text that is longer than its share, and the characters a piece should have at least.
 PIECES, PIECE = 4, 50
 
@@ -64,12 +68,23 @@ def letters(text: str | None) -> np.ndarray:
     return out[keep]
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Dense transitions (states x alphabet) of the automaton of all substrings; -1: none."""
+class Edges(NamedTuple):
+    """The transitions of an automaton, sorted by state, then symbol; state 0 is the start."""
+
+    symbols: np.ndarray  # code points of the text, ascending; edges number them from 0
+    states: int
+    source: np.ndarray
+    symbol: np.ndarray
+    target: np.ndarray
+
+
+def suffix_automaton(text: np.ndarray) -> Edges:
+    """Automaton of all substrings of the code points: at most two states and three edges for each of them."""
+    symbols, numbers = np.unique(text, return_inverse=True)
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
-    for c in symbols:
+    for c in numbers.tolist():
         cur = len(nxt)
         nxt.append({})
         link.append(0)
@@ -92,36 +107,97 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.full((len(nxt), alphabet), -1, np.int32)
-    for state, edges in enumerate(nxt):
-        for c, to in edges.items():
-            table[state, c] = to
-    return table
+    count = np.fromiter(map(len, nxt), np.int64, len(nxt))
+    flat = lambda of: np.fromiter((x for edges in nxt for x in of(sorted(edges.items()))), np.int32, int(count.sum()))
+    return Edges(symbols, len(nxt), np.repeat(np.arange(len(nxt), dtype=np.int32), count),
+                 flat(lambda e: [c for c, _ in e]), flat(lambda e: [to for _, to in e]))
+
+
+class DenseSteps:
+    """Transitions as a table of states x own symbols: one look per step."""
+
+    def __init__(self, edges: Edges):
+        self.size = len(edges.symbols) + 1  # the last symbol: not in the text
+        self.table = np.full(edges.states * self.size, -1, np.int32)
+        self.table[edges.source.astype(np.int64) * self.size + edges.symbol] = edges.target
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table[state.astype(np.int64) * self.size + symbol]
+
+
+class HashedSteps:
+    """Transitions in a hash table with open addressing: memory in proportion to the edges, whatever the alphabet."""
+
+    def __init__(self, edges: Edges):
+        self.size = len(edges.symbols) + 1
+        keys = edges.source.astype(np.int64) * self.size + edges.symbol
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.targets = np.full(1 << bits, -1, np.int32)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)  # of several that want a slot, one gets it
+            won = free[first]
+            self.keys[at[won]], self.targets[at[won]] = keys[won], edges.target[won]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = at[todo] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        keys = state.astype(np.int64) * self.size + symbol
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.targets[at], -1).astype(np.int32)
+        todo = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(todo):  # the few whose slot another edge has taken
+            at[todo] = at[todo] + 1 & self.mask
+            seen = self.keys[at[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.targets[at[todo[hit]]]
+            todo = todo[~hit & (seen >= 0)]
+        return out
+
+
+def learn(learned: tuple[tuple[str, str], ...]) -> list[tuple[str, int, Edges]]:
+    """(language, symbols of its text, automaton) of each learned text; built once, on the driver, from the bounded sample."""
+    texts = [(name, letters(t)) for name, t in learned]
+    return [(name, len(x), suffix_automaton(x)) for name, x in texts]
 
 
 class CrossParser:
-    """Automata of the learned texts; symbols are numbered over all of them."""
-
-    def __init__(self, learned: tuple[tuple[str, str], ...]):
-        texts = [letters(t) for _, t in learned]
-        self.languages = [name for name, _ in learned]
-        known = np.unique(np.concatenate(texts))
-        self.size = len(known) + 1  # the last symbol: unknown to all
-        self.number = np.full(1 << 16, self.size - 1, np.int32)
-        self.number[known] = np.arange(len(known))
-        self.bits = np.log2([max(2, len(t)) for t in texts])
-        self.tables = [suffix_automaton(self.number[t].tolist(), self.size) for t in texts]
+    """The automata of all languages; each numbers its own symbols.
+
+    The languages with the smallest tables have dense ones, ``DENSE_CELLS`` together at most; the others are hashed.
+    Both give the same steps."""
+
+    def __init__(self, learned: list[tuple[str, int, Edges]], dense_cells: int = DENSE_CELLS):
+        self.languages = [name for name, _, _ in learned]
+        self.bits = np.log2([max(2, n) for _, n, _ in learned])
+        self.numbers, self.steps = [], [None] * len(learned)
+        for _, _, e in learned:
+            number = np.full(1 << 16, len(e.symbols), np.uint16)
+            number[e.symbols] = np.arange(len(e.symbols))
+            self.numbers.append(number)
+        cells = [e.states * (len(e.symbols) + 1) for _, _, e in learned]
+        for i in sorted(range(len(learned)), key=lambda i: cells[i]):
+            dense_cells -= cells[i]
+            self.steps[i] = (DenseSteps if dense_cells >= 0 else HashedSteps)(learned[i][2])
 
     def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """(segments, languages) phrases; ``segments`` (SEGMENT x n) has the longest first."""
-        out = np.ones((len(lengths), len(self.tables)), np.int64)
+        """(segments, languages) phrases; ``segments`` (SEGMENT x n code points) has the longest first."""
+        out = np.ones((len(lengths), len(self.steps)), np.int64)
         active = [int(np.searchsorted(-lengths, -step, "left")) for step in range(int(lengths[0]))]
-        for i, table in enumerate(self.tables):
-            flat, start = table.reshape(-1), np.maximum(table[0], 0)
+        for i, (number, step_of) in enumerate(zip(self.numbers, self.steps)):
+            own = number[segments]
+            start = np.maximum(step_of(np.zeros(step_of.size, np.int32), np.arange(step_of.size)), 0)
             state = np.zeros(len(lengths), np.int32)
             for step, n in enumerate(active):
-                c = segments[step, :n]
-                to = flat[state[:n] * self.size + c]
+                c = own[step, :n]
+                to = step_of(state[:n], c)
                 miss = (to < 0) | (state[:n] == 0)  # no longer match, or an unknown symbol before
                 if step:  # the first phrase is counted already
                     out[:n, i] += miss
@@ -135,7 +211,7 @@ class CrossParser:
         for i, t in enumerate(texts):
             x = letters(t)
             if x.any():
-                held.append((i, self.number[x]))
+                held.append((i, x))
                 size += len(x)
             if held and (size >= CHUNK or i == len(texts) - 1):
                 self._parse(held, found)
@@ -154,7 +230,7 @@ class CrossParser:
         at = first[order][None, :] + np.arange(SEGMENT)[:, None]
         segments = flat[np.minimum(at, len(flat) - 1)]
         phrases = self.phrases(segments, length[order])
-        total = np.zeros((len(held), len(self.tables)), np.int64)
+        total = np.zeros((len(held), len(self.steps)), np.int64)
         np.add.at(total, owner[order], phrases)
         for (i, x), n in zip(held, total):
             found[i] = n * self.bits / len(x)
@@ -173,9 +249,15 @@ class CrossParser:
         return names, scores
 
 
-@lru_cache(maxsize=2)
-def parser(learned: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(learned)
+_parsers: dict[int, CrossParser] = {}
+
+
+def parser(key: int, learned) -> CrossParser:
+    """The parser of a broadcast, one for each Python worker."""
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = CrossParser(learned.value)
+    return _parsers[key]
 
 
 def held_out(doc_id, folds: int = 3):
@@ -233,12 +315,14 @@ def learned_texts(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    learned = learned_texts(docs)
+    sample = learned_texts(docs)
+    # a few bytes for each character of the bounded sample
+    shipped, key = docs.sparkSession.sparkContext.broadcast(learn(sample)) if sample else None, hash(sample)
 
     def make():
-        if not learned:
+        if shipped is None:
             return lambda texts: [pa.array(["und"] * len(texts), pa.string()), pa.array([0.0] * len(texts), pa.float64())]
-        p = parser(learned)
+        p = parser(key, shipped)
         return lambda texts: [pa.array(x, t) for x, t in zip(p.predict(texts), (pa.string(), pa.float64()))]
 
     return map_texts(docs, make, "lang_pred string, score double").select(

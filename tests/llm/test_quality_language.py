@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hitfeed.llm.langid_crossparse import CrossParser, SEGMENT, letters, learned_texts, predict_languages, suffix_automaton
+from hitfeed.llm.langid_crossparse import (
+    CrossParser, DenseSteps, HashedSteps, SEGMENT, learn, learned_texts, letters, predict_languages, suffix_automaton,
+)
 from hitfeed.llm.qda_quality import COUNTS, QualityModel, counts, fit_quality, document_counts, keep_quality, quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -88,7 +90,7 @@ def brute_phrases(learned, text):
 def test_phrases_match_substring_search():
     rnd = random.Random(2)
     learned = [("aa", "".join(rnd.choice("abc ") for _ in range(400))), ("bb", "".join(rnd.choice("abdé ") for _ in range(300)))]
-    p = CrossParser(tuple(learned))
+    p = CrossParser(learn(tuple(learned)))
     texts = ["".join(rnd.choice("ABcdéz, x") for _ in range(rnd.randrange(1, 900))) for _ in range(40)]
     norm = lambda t: "".join(chr(c) if c else " " for c in letters(t))
     for t, h in zip(texts, p.entropies(texts)):
@@ -100,17 +102,38 @@ def test_phrases_match_substring_search():
         assert np.allclose(h, want)
 
 
-def test_automaton_knows_all_substrings():
-    t = suffix_automaton([0, 1, 0, 0, 1, 2], 3)
-    known = lambda w: (s := 0) == 0 and all((s := int(t[s, c])) >= 0 for c in w)
+@pytest.mark.parametrize("kind", [DenseSteps, HashedSteps])
+def test_automaton_knows_all_substrings(kind):
+    step = kind(suffix_automaton(np.array([7, 9, 7, 7, 9, 2000])))  # numbered 0, 1, 0, 0, 1, 2
+    one = lambda s, c: int(step(np.array([s], np.int32), np.array([c]))[0])
+    known = lambda w: (s := 0) == 0 and all((s := one(s, c)) >= 0 for c in w)
     text = "010012"
     subs = {text[i:j] for i in range(6) for j in range(i + 1, 7)}
     for n in range(1, 7):
-        for k in range(3 ** n):
-            w = np.base_repr(k, 3).zfill(n)
+        for k in range(4 ** n):
+            w = np.base_repr(k, 4).zfill(n)  # 3: a symbol that is not in the text
             assert known(map(int, w)) == (w in subs)
 
 
+def test_large_alphabets_take_little_memory():
+    """Three languages, one of 3,000 Han letters: tables under 200 MB, and the same entropies as dense ones have."""
+    rnd = np.random.default_rng(5)
+    han = lambda n: "".join(map(chr, 0x4E00 + (rnd.zipf(1.3, n) - 1) % 3000))
+    latin = lambda letters_, n: " ".join("".join(rnd.choice(list(letters_), 5)) for _ in range(n // 6))
+    learned = learn((("en", latin("etaoinshr", 40_000)), ("fr", latin("esaitnrulé", 40_000)), ("zh", han(40_000))))
+    assert [len(e.symbols) > 1500 for _, _, e in learned] == [False, False, True]
+    p = CrossParser(learned)
+    tables = [x for s in p.steps for x in ([s.table] if isinstance(s, DenseSteps) else [s.keys, s.targets])]
+    assert sum(t.nbytes for t in [*tables, *p.numbers]) < 60e6
+    assert [type(s) for s in p.steps] == [DenseSteps, DenseSteps, HashedSteps]
+    texts = [latin("etaoinshr", 300), latin("esaitnrulé", 300), han(300), "日本 and more", "", han(3000) + latin("eta", 400)]
+    hashed = CrossParser(learned, dense_cells=0).entropies(texts)
+    dense = CrossParser(learned, dense_cells=10 ** 9).entropies(texts)
+    for a, b, c in zip(hashed, dense, p.entropies(texts)):
+        assert (a is None and b is None and c is None) or ((a == b).all() and (b == c).all())
+    assert p.predict(texts)[0][:3] == ["en", "fr", "zh"]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = predict_languages(docs.withColumn("lang_pred", F.lit(1))).join(docs, "doc_id").filter("held_out").toPandas()
