@@ -7,11 +7,18 @@ that every bit is balanced.  Several rotations from different starts give 64 bit
 Retrieval: each 64-bit code is cut into substrings.  Two vectors are candidates if a
 substring differs in at most one bit; then one of its halves is equal, so the bucket of each half
 finds them (and the other half is probed within the bucket).  Every row is indexed.  A
-pair that meets in several tables is counted in the first of them only.
+pair that meets in several tables is counted in the first of them only.  The halves grow with the number of
+different vectors (:func:`index_shape`), so that a bucket holds about ``BUCKET_ROWS`` of them, and there are as
+many rotations as keep the chance that a pair at the threshold meets.
 
-Rerank: cosine of the original vectors in double precision, >= ``threshold``.  Large buckets are
-cut into blocks of bounded size, compared pairwise in separate tasks.  A task returns a
-number of links and one neighbour (a spanning forest) for each vector, never the pairs.
+Only ids and codes go into the tables.  A first pass over the buckets names the vectors that have a candidate at
+all (by substring, and by the distance of the whole codes, which drops nearly all chance meetings); only their
+vectors are fetched, for those buckets, and compared there.
+
+Rerank: cosine of the original vectors in double precision, >= ``threshold``.  Equal vectors are one, with
+their number, from the start.  Large buckets are cut into blocks of bounded size, compared pairwise in
+separate tasks.  A task returns a number of links and one neighbour (a spanning forest) for each vector,
+never the pairs.
 
 Recall is that of the index: tests hold it against brute force.  Pairs below the threshold
 are never linked.
@@ -39,6 +46,25 @@ BLOCK = 1024
 #: Candidate pairs that a task reranks at once.
 PAIRS = 100_000
 CODE_BITS = 64
+#: Different vectors that a bucket should hold, about, and the bits of half a substring, at least.
+BUCKET_ROWS, LEAST_HALF = 512, 8
+#: Chance that a pair at the threshold meets in no table (for independent bits).
+MISS = 0.055
+#: Components of the vectors that learn the rotations, at most.
+SAMPLE_VALUES = 4_000_000
+#: Share of code bits that a candidate may differ in: far above a pair at the threshold, below most chance pairs.
+FAR = 0.3
+
+
+def index_shape(vectors: int, threshold: float) -> tuple[int, int]:
+    """(rotations, bits of a substring) for a number of different vectors."""
+    half = LEAST_HALF
+    while vectors > BUCKET_ROWS << half and 4 * half < CODE_BITS:
+        half += 1
+    differ = np.arccos(min(1.0, max(0.0, threshold))) / np.pi
+    meets = (1 - differ) ** (2 * half) + 2 * half * differ * (1 - differ) ** (2 * half - 1)
+    substrings = int(np.ceil(np.log(MISS) / np.log1p(-meets))) if meets < 1 else 1
+    return max(2, -(-substrings // (CODE_BITS // (2 * half)))), 2 * half
 
 
 def fit_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 50) -> np.ndarray:
@@ -78,7 +104,7 @@ class HalfTables:
     def __init__(self, rotations: int, substring_bits: int):
         self.half = substring_bits // 2
         self.low = np.uint64((1 << self.half) - 1)
-        self.substrings = [(r, s) for r in range(rotations) for s in range(0, CODE_BITS, substring_bits)]
+        self.substrings = [(r, s) for r in range(rotations) for s in range(0, CODE_BITS - substring_bits + 1, substring_bits)]
         self.tables = [(r, s, h) for r, s in self.substrings for h in (0, 1)]
         self.probes = [0, *(1 << i for i in range(self.half))]
 
@@ -121,12 +147,31 @@ class HalfTables:
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, embedding, ok): one row per vec_id; ok marks vectors that can link."""
+    """(vec_id, embedding, ok, h0, h1): one row per vec_id; ok marks vectors that can link, the hashes tell vectors apart."""
     one = embeddings.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     ok = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound
           & F.exists("embedding", lambda v: v != 0))
-    return one.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return one.withColumns({"ok": F.coalesce(ok, F.lit(False)), "h0": F.xxhash64("embedding"), "h1": F.xxhash64(F.lit(1), "embedding")})
+
+
+def different(rows: DataFrame) -> DataFrame:
+    """(vec_id, embedding, m, h0, h1): the smallest id of each different vector, and how many have it."""
+    least = F.min(F.struct("vec_id", "embedding")).alias("least")
+    return rows.filter("ok").groupBy("h0", "h1").agg(least, F.count("*").alias("m")).select("least.vec_id", "least.embedding", "m", "h0", "h1")
+
+
+def learning_sample(sound: DataFrame, sample: int) -> np.ndarray | None:
+    """At most ``sample`` vectors (and ``SAMPLE_VALUES`` components) of the commonest length, those of the lowest hashes of
+    their ids; None if there are none."""
+    sizes = sound.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    if not sizes:
+        return None
+    dim = sizes[0]["dim"]
+    taken = (sound.filter(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id")
+             .limit(max(CODE_BITS, min(sample, SAMPLE_VALUES // dim))).select("embedding").toArrow())
+    x = np.concatenate([c.flatten().to_numpy() for c in taken.column(0).chunks]).reshape(-1, dim).astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
 
 def stored_type(rows: DataFrame) -> str:
@@ -134,8 +179,8 @@ def stored_type(rows: DataFrame) -> str:
     return "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
 
-def keyed_codes(rows: DataFrame, mean: np.ndarray, planes: np.ndarray, tables: HalfTables) -> DataFrame:
-    """A row for each vector and table: (t, bits, vec_id, codes, vec)."""
+def vector_codes(rows: DataFrame, mean: np.ndarray, planes: np.ndarray) -> DataFrame:
+    """(vec_id, m, dim, codes, vec) of each different vector: its codes and its bytes."""
     dim, stored = len(mean), np.dtype(stored_type(rows))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,81 +194,125 @@ def keyed_codes(rows: DataFrame, mean: np.ndarray, planes: np.ndarray, tables: H
                 raw.append(v.astype(stored).tobytes())
                 v = v / np.abs(v).max()
                 x[i, :min(len(v), dim)] = (v / np.linalg.norm(v))[:dim]
-            codes = sign_codes(x, mean, planes)
-            packed = [c.tobytes() for c in codes]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "m": b["m"], "dim": [len(r) // stored.itemsize for r in raw],
+                                "codes": [c.tobytes() for c in sign_codes(x, mean, planes)], "vec": raw})
+
+    return rows.select("vec_id", "m", "embedding").mapInPandas(encode, "vec_id long, m long, dim int, codes binary, vec binary")
+
+
+def keyed_codes(coded: DataFrame, tables: HalfTables) -> DataFrame:
+    """A row for each vector and table, without the vector: (t, dim, bits, vec_id, codes)."""
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            codes = np.frombuffer(b"".join(b["codes"]), np.uint64).reshape(len(b), -1)
             for t in range(len(tables.tables)):
                 bits, _ = tables.halves(codes, t)
-                yield pd.DataFrame({"t": t, "dim": [len(r) // stored.itemsize for r in raw], "bits": bits.astype(np.int64),
-                                    "vec_id": b["vec_id"], "codes": packed, "vec": raw})
+                yield pd.DataFrame({"t": t, "dim": b["dim"], "bits": bits.astype(np.int64), "vec_id": b["vec_id"], "codes": b["codes"]})
 
-    return rows.select("vec_id", "embedding").mapInPandas(
-        encode, "t int, dim int, bits long, vec_id long, codes binary, vec binary")
+    return coded.select("vec_id", "dim", "codes").mapInPandas(keys, "t int, dim int, bits long, vec_id long, codes binary")
 
 
 KEYS = ["t", "dim", "bits"]
 
 
-def link_cells(cells: DataFrame, tables: HalfTables, threshold: float, stored: str) -> DataFrame:
-    """(vec_id, n, peer): links counted in a cell and a vector of the same linked group."""
-    keys = [*KEYS, "lo", "hi"]
+CELL = [*KEYS, "lo", "hi"]
 
+
+def cell_candidates(cell: pd.DataFrame, tables: HalfTables) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """(order of the cell's rows, its first block in front; pairs of places in that order that this cell compares)."""
+    t, lo, hi = int(cell["t"].iat[0]), cell["lo"].iat[0], cell["hi"].iat[0]
+    own = cell["own"].to_numpy()
+    order = np.argsort(own != lo, kind="stable")
+    n_lo = int((own == lo).sum())
+    codes = np.frombuffer(b"".join(cell["codes"]), np.uint64).reshape(len(cell), -1)[order]
+    second = np.arange(len(cell)) if lo == hi else np.arange(n_lo, len(cell))
+    far = FAR * 64 * codes.shape[1]
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in tables.candidates(codes[:n_lo], codes[second], t):
+            j = second[j]
+            if lo == hi:
+                i, j = i[i < j], j[i < j]
+            near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= far
+            i, j = i[near], j[near]
+            first = tables.first_meeting(codes[i], codes[j], t)
+            yield i[first], j[first]
+
+    return order, pairs()
+
+
+def cells_with_candidates(cells: DataFrame, tables: HalfTables) -> DataFrame:
+    """The rows of ``cells`` that have a candidate there."""
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in runs(batches, CELL):
+            if len(cell) < 2:
+                continue
+            order, pairs = cell_candidates(cell, tables)
+            seen = np.zeros(len(cell), bool)
+            for i, j in pairs:
+                seen[i] = seen[j] = True
+            if seen.any():
+                yield cell.iloc[np.sort(order[seen])]
+
+    by_cell = cells.select(*CELL, "own", "vec_id", "codes").repartition(parts(cells.sparkSession), *CELL).sortWithinPartitions(*CELL)
+    return by_cell.mapInPandas(mark, "t int, dim int, bits long, lo int, hi int, own int, vec_id long, codes binary")
+
+
+def link_cells(cells: DataFrame, tables: HalfTables, threshold: float, stored: str) -> DataFrame:
+    """(vec_id, n, peer): links counted in a cell (a vector that m rows have counts m times) and a vector of the same linked group."""
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in runs(batches, keys):
+        for cell in runs(batches, CELL):
             if len(cell) < 2:
                 continue
-            t, lo, hi = int(cell["t"].iat[0]), cell["lo"].iat[0], cell["hi"].iat[0]
-            order = np.argsort(cell["own"].to_numpy() != lo, kind="stable")  # the first block in front
-            n_lo = int((cell["own"] == lo).sum())
-            ids = cell["vec_id"].to_numpy()[order]
-            codes = np.frombuffer(b"".join(cell["codes"]), np.uint64).reshape(len(cell), -1)[order]
+            order, pairs = cell_candidates(cell, tables)
+            ids, m = cell["vec_id"].to_numpy()[order], cell["m"].to_numpy()[order]
             x = np.frombuffer(b"".join(cell["vec"]), stored).reshape(len(cell), -1)[order].astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            second = np.arange(len(ids)) if lo == hi else np.arange(n_lo, len(ids))
             parent, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-            for i, j in tables.candidates(codes[:n_lo], codes[second], t):
-                j = second[j]
-                if lo == hi:
-                    i, j = i[i < j], j[i < j]
-                keep = tables.first_meeting(codes[i], codes[j], t)
-                i, j = i[keep], j[keep]
+            for i, j in pairs:
                 near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
                 i, j = i[near], j[near]
-                n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+                n += (np.bincount(i, m[j], len(n)) + np.bincount(j, m[i], len(n))).astype(np.int64)
                 merge_links(parent, i, j)
             linked = np.flatnonzero(n)
             if len(linked):
                 yield pd.DataFrame({"vec_id": ids[linked], "n": n[linked], "peer": ids[parent[linked]]})
 
-    return cells.select(*keys, "own", "vec_id", "codes", "vec").repartition(
-        parts(cells.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(
-            link, "vec_id long, n long, peer long")
+    by_cell = cells.select(*CELL, "own", "vec_id", "codes", "m", "vec").repartition(
+        parts(cells.sparkSession), *CELL).sortWithinPartitions(*CELL)
+    return by_cell.mapInPandas(link, "vec_id long, n long, peer long")
 
 
-def embedding_components(embeddings: DataFrame, threshold: float = 0.9, rotations: int = 2,
-                         substring_bits: int = 16, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
+def embedding_components(embeddings: DataFrame, threshold: float = 0.9, rotations: int | None = None,
+                         substring_bits: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; rotations and bits of a substring follow the number of
+    different vectors where they are not given."""
     rows = materialize(vectors(embeddings), "vectors")
-    sound = rows.filter("ok")
-    # the rotations learn from at most ``sample`` vectors of one length, the lowest hashes of their ids
-    learn = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    ids = rows.select("vec_id")
-    if learn:
-        lengths = [len(r[0]) for r in learn]
-        dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-        x = np.array([r[0] for r in learn if len(r[0]) == dim], np.float64)
-        mean, planes = fit_codes(x / np.abs(x).max(axis=1, keepdims=True), rotations)
+    one = materialize(different(rows), "different-vectors")
+    learn = learning_sample(one, sample)
+    members = rows.filter("ok").select("vec_id", "h0", "h1").join(
+        one.select(F.col("vec_id").alias("same"), "m", "h0", "h1"), ["h0", "h1"]).select("vec_id", "same", "m")
+    if learn is not None:
+        shape = index_shape(one.count(), threshold)
+        rotations, substring_bits = rotations or shape[0], substring_bits or shape[1]
         tables = HalfTables(rotations, substring_bits)
-        keyed = keyed_codes(sound, mean, planes, tables)
+        coded = materialize(vector_codes(one, *fit_codes(learn, rotations)), "vector-codes")
+        keyed = keyed_codes(coded, tables)
         large = (keyed.groupBy(*KEYS).count().filter(F.col("count") > block)
                  .select(*KEYS, F.ceil(F.col("count") / block).cast("int").alias("n_blocks")))
-        found = materialize(link_cells(block_cells(keyed, KEYS, large, F.xxhash64("vec_id"), block),
-                                       tables, threshold, stored_type(sound)), "links")
-        counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+        met = materialize(cells_with_candidates(block_cells(keyed, KEYS, large, F.xxhash64("vec_id"), block), tables), "candidates")
+        found = materialize(link_cells(met.join(coded.select("vec_id", "m", "vec"), "vec_id"), tables, threshold, stored_type(one)), "links")
+        counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
         reach = components(found, "vec_id", "peer")
-        out = ids.join(counts, "vec_id", "left").join(reach.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        linked = counts.join(reach.withColumnRenamed("node", "vec_id"), "vec_id", "full").withColumnRenamed("vec_id", "same")
+        members = members.join(linked, "same", "left")
     else:
-        out = ids.withColumns({"n_links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+        members = members.withColumns({"n": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    links = members.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "same").alias("component"))
+    out = rows.select("vec_id").join(links, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                       component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_components(read(spark, sf_dir, "embeddings"), threshold=0.9, rotations=2, substring_bits=16)
+    return embedding_components(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
