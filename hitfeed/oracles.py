@@ -200,3 +200,9 @@ ORACLES["policy_column_choice"] = f"""WITH {POLICY_LOG},
                subscriber, year, month, day, hour FROM policy_log WHERE {FLAG_WHERE} AND subscriber NOT LIKE '%.proxy')
   SELECT * FROM x WHERE policy IN ('error', 'any')"""
 ORACLES["refresh_hour_feed_csv"] = hits_text(FLAG_WHERE, FLAG)
+
+ORACLES["stream_hits_compacted"] = ORACLES["stream_hits_proxy"]
+ORACLES["csv_roundtrip_escaped"] = ORACLES["csv_roundtrip"]
+ORACLES["feed_statistics"] = f"""WITH {hits_from(FLAG_WHERE, FLAG)}
+  SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(max(start_time) AS BIGINT) AS max_start_time, CAST(min(hour) AS BIGINT) AS min_hour,
+         CAST(max(hour) AS BIGINT) AS max_hour FROM hits"""

@@ -30,6 +30,7 @@ from hitfeed.operators.ordering import sort_by_start_time
 from hitfeed.plans.feed import FeedSpec
 from hitfeed.schemas import target_columns
 from hitfeed.sinks.csv import write_csv
+from hitfeed.sources.notes import read_statistics
 from hitfeed.sources.snapshots import latest_snapshot, read_snapshot
 
 
@@ -52,6 +53,13 @@ def last_seen_hour(snapshot: DataFrame, aligner: int = HOUR) -> int | None:
     return None if v is None else floor_to(int(v) // MICROS, aligner)
 
 
+def noted_hour(spark: SparkSession, path: str, aligner: int = HOUR) -> tuple[bool, int | None]:
+    """(whether the snapshot at ``path`` has a note of its own, :func:`last_seen_hour` from it): no job."""
+    note = read_statistics(spark, path)
+    newest = note.max_start_time if note else None
+    return note is not None, None if newest is None else floor_to(int(newest) // MICROS, aligner)
+
+
 def retained(floor: int):
     """Whether a snapshot row is at or above the retention floor."""
     return F.coalesce(_num("hour") >= F.lit(floor), F.lit(False))
@@ -64,9 +72,12 @@ def before_seam(seam: int):
 
 def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int, previous: DataFrame, *,
                  hourly: bool = False, catch_up: bool = False, refilter: bool = False,
-                 mode: str = "overlap") -> tuple[DataFrame, list[str], int, int]:
+                 mode: str = "overlap", path: str | None = None) -> tuple[DataFrame, list[str], int, int]:
     """The refresh as one tagged, all-text frame (unordered) plus ``(columns, floor, seam)``.
 
+    With catch-up the newest event of the snapshot comes from its note, if it was written by this library and is
+    at ``path``; any other snapshot is scanned for it.
+
     Tags: ``_new`` (fresh hit), ``_in_window`` (old row at or above the floor) and ``_keep``
     (row belongs to the output).  Old rows are filtered *after* the ordering step, so the
     run counts can be observed above the range sort: observers below it would also count
@@ -79,7 +90,9 @@ def refresh_plan(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     floor = hours_ago_bound(now, spec.hours_ago, spec.full_days)
     in_window = retained(floor)
     if catch_up:
-        seam = catchup_seam(floor, last_seen_hour(previous, DAY if spec.full_days else HOUR))
+        unit = DAY if spec.full_days else HOUR
+        noted, newest = noted_hour(spark, path, unit) if path else (False, None)
+        seam = catchup_seam(floor, newest if noted else last_seen_hour(previous, unit))
     else:
         seam = strict_seam(now, hourly)
     keep = in_window & before_seam(seam)
@@ -122,7 +135,7 @@ def refresh_feed(spark: SparkSession, logs: DataFrame, spec: FeedSpec, now: int,
     columns = target_columns(logs.schema, spec.policy_column)
     prev = read_snapshot(spark, previous, columns)
     tagged, columns, floor, seam = refresh_plan(spark, logs, spec, now, prev, hourly=hourly,
-                                                catch_up=catch_up, refilter=refilter, mode=mode)
+                                                catch_up=catch_up, refilter=refilter, mode=mode, path=previous)
     ordered = sort_by_start_time(tagged, num_partitions)
     obs = Observation("refresh")
     old = ~F.col("_new")

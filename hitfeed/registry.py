@@ -473,6 +473,31 @@ def q_stream_hits_retained(spark, sf):
     return _read_stream(spark, outs[0]).unionByName(_read_stream(spark, outs[1]))
 
 
+def q_stream_hits_compacted(spark, sf):
+    """The proxy stream's hits after two packing runs: closed hours from the packed table, the last day from the stream."""
+    from hitfeed.streaming.compaction import compact_hits, read_packed
+    out, schema = _stream(spark, sf, "proxy"), hits_schema(spark, _log_schema(), "parent_policies")
+    table = _hour_output(spark, "packed")
+    for closed_before in (NOW - 2 * DAY, NOW - DAY):
+        compact_hits(spark, out, schema, closed_before, table)
+    return read_packed(spark, out, schema, table)
+
+
+def q_csv_roundtrip_escaped(spark, sf):
+    """Texts with line ends in files that can be split: escaped by the writer, restored by the reader."""
+    docs = table(spark, sf, "documents")
+    return read_snapshot(spark, write_csv(docs, scratch_path(spark, "docs-csv"), line_ends="escape"), docs.columns)
+
+
+def q_feed_statistics(spark, sf):
+    """What the write of a feed notes beside it, without a pass over the feed."""
+    from hitfeed.sources.notes import read_statistics
+    path = write_csv(export_feed(policy_log(spark, sf), FLAGSHIP, NOW), scratch_path(spark, "feed"), order_by="start_time")
+    n = read_statistics(spark, path)
+    return spark.createDataFrame([(n.rows, n.max_start_time, n.min_hour, n.max_hour)],
+                                 "n_rows long, max_start_time long, min_hour long, max_hour long")
+
+
 def _log_frame(spark, sf, kind):
     """The 44 or 50 data columns and 5 partition columns of a kind, derived from ``events``: the check
     view's columns under their table names, ``policies`` from its event type, others null."""
@@ -591,4 +616,7 @@ QUERIES: dict[str, Query] = {
     "multi_feed_by_day": q_multi_feed_by_day,
     "feed_export_republish": q_feed_export_republish,
     "stream_hits_retained": q_stream_hits_retained,
+    "stream_hits_compacted": q_stream_hits_compacted,
+    "csv_roundtrip_escaped": q_csv_roundtrip_escaped,
+    "feed_statistics": q_feed_statistics,
 }

@@ -19,11 +19,12 @@ import random
 import string
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from hitfeed.functions.location import location_hash
 from hitfeed.functions.render import csv_safe
 from hitfeed.operators.ordering import sort_keys, sort_by_start_time
+from hitfeed.sources.notes import escape_lines, statistics_columns, statistics_of, write_statistics
 
 # Default output directory name, ``<prefix>-<epoch>-<8 chars of [a-z0-9]>``
 DEFAULT_DIR_PREFIX = "PolicyTriggerCSV"
@@ -43,9 +44,14 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: st
               num_partitions: int | None = None, single_file: bool = False,
               max_records_per_file: int | None = None, partition_by: list[str] | None = None,
               filename: str | None = None, keep_original: bool = False,
-              target_dir: str | None = None) -> str:
+              target_dir: str | None = None, line_ends: str = "keep") -> str:
     """Write ``df`` (rendered to text first) and return the output path.
 
+    The write observes its rows and leaves their statistics beside the output (:mod:`hitfeed.sources.notes`; not with
+    ``partition_by``).  ``line_ends="escape"`` writes line ends within values as ``\\n`` and ``\\r`` (and a backslash
+    doubled), so that :func:`hitfeed.sources.read_snapshot` can split the files; with ``"keep"`` it can where no
+    value holds one.
+
     With ``filename`` the feed gets a stable name: ``path/filename`` (or ``target_dir/filename``).
     It is a directory of part files, or one file with ``single_file``."""
     if mode not in ("overwrite", "errorifexists"):
@@ -54,6 +60,8 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: st
         raise ValueError("a stable name and partition_by exclude each other")
     if keep_original and not (filename and single_file):
         raise ValueError("keep_original needs a filename and single_file=True")
+    if line_ends not in ("keep", "escape"):
+        raise ValueError(f"line_ends must be keep or escape, got {line_ends!r}")
     spark = df.sparkSession
     target = path if filename is None or single_file else f"{(target_dir or path).rstrip('/')}/{filename}"
     out = csv_safe(df)
@@ -61,6 +69,10 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: st
         out = sort_by_start_time(out, num_partitions, key=order_by)
     if single_file:
         out = out.coalesce(1)
+    seen = Observation("feed")  # above the sort, whose sampling would count rows twice
+    out = out.observe(seen, *statistics_columns(out, line_ends == "escape"))
+    if line_ends == "escape":
+        out = out.select(*[escape_lines(F.col(c)).alias(c) for c in out.columns])
     run = run_directory(target)
     w = out.write.mode("errorifexists").options(**CSV_WRITE_OPTIONS)
     if max_records_per_file:
@@ -71,9 +83,14 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite", order_by: st
         if mode == "errorifexists" and _fs(spark, target)[0].exists(_fs(spark, target)[1]):
             raise FileExistsError(target)
         w.csv(run)
+        found = statistics_of(seen.get, line_ends == "escape")
         if filename and single_file:
-            return rename_single_output(spark, run, filename, keep_original=keep_original,
-                                        target_dir=target_dir or path, original_dir=path)
+            named = rename_single_output(spark, run, filename, keep_original=keep_original,
+                                         target_dir=target_dir or path, original_dir=path)
+            write_statistics(spark, named, found)
+            return named
+        if not partition_by:
+            write_statistics(spark, run, found)
         return publish(spark, run, target)
     finally:
         fs, p = _fs(spark, run)

@@ -74,7 +74,7 @@ def stored_locations(spark: SparkSession, root: str, kind: str | None = None, *,
 
 def hour_versions(spark: SparkSession, root: str, kind: str | None = None, *,
                   since_hour: int | None = None, until: int | None = None) -> DataFrame:
-    """``(hour, version)`` of every ``hour=`` directory level below ``root`` that holds files.
+    """``(hour, version, bytes)`` of every ``hour=`` directory level below ``root`` that holds files.
 
     The version is a digest of the paths, modification times and sizes of the hour's files (of one kind, if
     given): it changes whenever a file comes, goes or is replaced, however old the hour is.  A listing only, no file
@@ -82,10 +82,10 @@ def hour_versions(spark: SparkSession, root: str, kind: str | None = None, *,
     :func:`stored_partitions`), and top-level ``hour=`` directories from then on."""
     paths = [root] if since_hour is None else [*_day_dirs(spark, root, since_hour, until), *_hour_dirs(spark, root, since_hour)]
     if not paths:
-        return spark.createDataFrame([], "hour long, version string")
+        return spark.createDataFrame([], "hour long, version string, bytes long")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
              .select("path", "modificationTime", "length"))
-    keyed = files.withColumn("hour", F.regexp_extract("path", r"/hour=(-?\d+)/[^/]*$", 1)).filter("hour <> ''").select(
+    keyed = files.withColumn("hour", F.regexp_extract("path", r"/hour=(-?\d+)/", 1)).filter("hour <> ''").select(
         F.col("hour").cast("long").alias("hour"), "path", "modificationTime", "length",
         _unescape(F.regexp_extract("path", r"/subscriber=([^/]+)/", 1)).alias("subscriber"))
     if since_hour is not None:
@@ -93,7 +93,7 @@ def hour_versions(spark: SparkSession, root: str, kind: str | None = None, *,
     if kind:
         keyed = split_kind(keyed, kind)
     digest = F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))
-    return keyed.groupBy("hour").agg(F.concat_ws(":", F.count("*"), digest.cast("string")).alias("version"))
+    return keyed.groupBy("hour").agg(F.concat_ws(":", F.count("*"), digest.cast("string")).alias("version"), F.sum("length").alias("bytes"))
 
 
 def _hour_dirs(spark: SparkSession, root: str, since_hour: int) -> list[str]:

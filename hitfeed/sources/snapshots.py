@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from hitfeed.sources.notes import ESCAPED, QUOTED, read_statistics, unescape_lines
+
 #: Part files of a Spark output directory.
 PART_FILE = r"/part-[0-9]+[^/]*\.csv$"
 
@@ -77,11 +79,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_snapshot(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A snapshot as all-string columns.  With ``columns`` the schema is given (header names
-    must then match); without, names come from the header."""
-    reader = spark.read.options(**CSV_READ_OPTIONS)
+    must then match); without, names come from the header.
+
+    A snapshot whose own note says that no value is broken over lines is read without ``multiLine``: its files are split over
+    many tasks, however large they are.  Any other CSV is read with it, a task a file."""
+    note = read_statistics(spark, path)
+    split = note is not None and note.line_ends != QUOTED
+    reader = spark.read.options(**CSV_READ_OPTIONS | ({"multiLine": "false"} if split else {}))
     if columns is not None:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         reader = reader.schema(schema).option("enforceSchema", "false")
     else:
         reader = reader.option("inferSchema", "false")
-    return reader.csv(path)
+    df = reader.csv(path)
+    return df.select(*[unescape_lines(F.col(c)).alias(c) for c in df.columns]) if note and note.line_ends == ESCAPED else df
