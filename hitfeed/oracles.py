@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 
+from hitfeed.schemas import DNS_COLUMNS, PROXY_COLUMNS
+
 
 def _pbkdf2(salt: str, ordinal: str, subscriber: str, receiver: str) -> str:
     return hashlib.pbkdf2_hmac("sha512", (subscriber + receiver).encode(), (salt + ordinal).encode(), 100000).hex()
@@ -185,9 +187,20 @@ ORACLES["multi_feed_by_source"] = f"""WITH {hits_from("TRUE")}
     AND subscriber IN ('sub.1', 'sub.1.proxy')
   UNION ALL SELECT 'all' AS feed, * FROM hits WHERE hour >= {NOW - 10 * H} AND policy IN ('p3', 'error')
     AND subscriber LIKE '%.proxy'"""
-for _kind, _not in (("dns", "NOT "), ("proxy", "")):
+#: The check's value of each column type, rendered, by the column's name {c} and place {i}.
+_RENDERED = {
+    "string": "'{c}/' || event_id % 97", "int": "CAST((event_id + {i}) % 1000 AS INTEGER)", "bigint": "CAST(event_id * 1000 + {i} AS BIGINT)",
+    "float": "CAST(event_id % 100 + 0.5 AS FLOAT)", "array<string>": "'[{c}, ' || event_type || ']'", "array<int>": "'[' || event_id % 7 || ', {i}]'",
+    "map<string,string>": "'{{k=' || event_type || ', n=' || event_id % 5 || '}}'",
+    "array<map<string,string>>": "'[{{name=' || event_type || '.example}}, {{ttl=' || event_id % 11 || '}}]'",
+    "array<struct<ip:string,cc:string,region:string,city:string,asnum:string,asname:string>>":
+        "'[{{ip=10.0.0.' || event_id % 256 || ', cc=US, region=None, city=' || event_type || ', asnum=' || event_id % 9 || ', asname={c}}}]'",
+}
+for _kind, _not, _columns in (("dns", "NOT ", DNS_COLUMNS), ("proxy", "", PROXY_COLUMNS)):
+    _own = {"start_time": "start_time", "parent_policies": "CAST(parent_policies AS VARCHAR)", "policies": "'[' || event_type || ', any]'"}
+    _values = ",\n    ".join(f"{_own.get(c) or _RENDERED[t].format(c=c, i=i)} AS {c}" for i, (c, t) in enumerate(_columns))
     ORACLES[f"read_{_kind}_full_schema"] = f"""WITH {POLICY_LOG}
-  SELECT start_time, coalesce(array_to_string(parent_policies, '|'), '') AS parent_policies, subscriber, year, month, day, hour
+  SELECT {_values}, subscriber, year, month, day, hour
   FROM policy_log WHERE subscriber {_not}LIKE '%.proxy'"""
 ORACLES["add_partition_at_location"] = f"""WITH {POLICY_LOG}
   SELECT event_id, start_time, 'it''s:here' AS subscriber, 2024 AS year, 1 AS month, 31 AS day, {NOW} AS hour FROM policy_log"""

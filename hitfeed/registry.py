@@ -498,14 +498,25 @@ def q_feed_statistics(spark, sf):
                                  "n_rows long, max_start_time long, min_hour long, max_hour long")
 
 
+#: A value of each type of the log tables, by the column's name {c} and place {i}.
+_VALUES = {
+    "string": "concat('{c}/', event_id % 97)", "int": "CAST((event_id + {i}) % 1000 AS INT)", "bigint": "event_id * 1000 + {i}",
+    "float": "CAST(event_id % 100 + 0.5 AS FLOAT)", "array<string>": "array('{c}', event_type)", "array<int>": "array(CAST(event_id % 7 AS INT), {i})",
+    "map<string,string>": "map('k', event_type, 'n', CAST(event_id % 5 AS STRING))",
+    "array<map<string,string>>": "array(map('name', concat(event_type, '.example')), map('ttl', CAST(event_id % 11 AS STRING)))",
+    "array<struct<ip:string,cc:string,region:string,city:string,asnum:string,asname:string>>":
+        "array(named_struct('ip', concat('10.0.0.', event_id % 256), 'cc', 'US', 'region', CAST(NULL AS STRING), 'city', event_type, "
+        "'asnum', CAST(event_id % 9 AS STRING), 'asname', '{c}'))",
+}
+
+
 def _log_frame(spark, sf, kind):
-    """The 44 or 50 data columns and 5 partition columns of a kind, derived from ``events``: the check
-    view's columns under their table names, ``policies`` from its event type, others null."""
+    """The 44 or 50 data columns and 5 partition columns of a kind, derived from ``events``, all with values."""
     log = policy_log(spark, sf).filter(F.col("subscriber").endswith(".proxy") == F.lit(kind == "proxy"))
-    given = {"start_time": F.col("start_time"), "parent_policies": F.col("parent_policies"), "subscriber": F.col("subscriber"),
-             "policies": F.array(F.col("event_type"), F.lit("any")), **{n: F.col(n) for n, _ in PARTITION_COLUMNS}}
-    return log.select(*[(given[f.name] if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
-                        for f in schema_for(kind).fields])
+    given = {"start_time": "start_time", "parent_policies": "parent_policies", "subscriber": "subscriber",
+             "policies": "array(event_type, 'any')", **{n: n for n, _ in PARTITION_COLUMNS}}
+    values = [given.get(f.name) or _VALUES[f.dataType.simpleString()].format(c=f.name, i=i) for i, f in enumerate(schema_for(kind).fields)]
+    return log.select(*[F.expr(v).cast(f.dataType).alias(f.name) for v, f in zip(values, schema_for(kind).fields)])
 
 
 _full_copies: dict[tuple, str] = {}
@@ -524,10 +535,9 @@ def _full_copy(spark, sf) -> str:
 
 def _reader(kind):
     def q(spark, sf):
-        """Read with the kind's own full schema."""
+        """Every column of the kind's own full schema, nested ones rendered."""
         root = _full_copy(spark, sf)
-        read = read_dns if kind == "dns" else read_proxy
-        return read(spark, root).select("start_time", F.concat_ws("|", "parent_policies").alias("parent_policies"), *[n for n, _ in PARTITION_COLUMNS])
+        return render_nested((read_dns if kind == "dns" else read_proxy)(spark, root))
     return q
 
 
