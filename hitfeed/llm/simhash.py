@@ -180,6 +180,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, block
     # a large component's nodes all look up one row: AQE splits that key, or broadcasts a small table
     named = reach.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # stored, so that the last join has no shuffle in common with this one and AQE can split a hot fingerprint
+    every = materialize(every, "simhash-named")
     return marked.join(every, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
