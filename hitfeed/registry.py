@@ -510,13 +510,23 @@ _VALUES = {
 }
 
 
-def _log_frame(spark, sf, kind):
-    """The 44 or 50 data columns and 5 partition columns of a kind, derived from ``events``, all with values."""
+def _log_rows(spark, sf, kind):
+    """The rows of a kind with only the columns that the others are computed from."""
     log = policy_log(spark, sf).filter(F.col("subscriber").endswith(".proxy") == F.lit(kind == "proxy"))
-    given = {"start_time": "start_time", "parent_policies": "parent_policies", "subscriber": "subscriber",
-             "policies": "array(event_type, 'any')", **{n: n for n, _ in PARTITION_COLUMNS}}
-    values = [given.get(f.name) or _VALUES[f.dataType.simpleString()].format(c=f.name, i=i) for i, f in enumerate(schema_for(kind).fields)]
-    return log.select(*[F.expr(v).cast(f.dataType).alias(f.name) for v, f in zip(values, schema_for(kind).fields)])
+    return log.select("event_id", "event_type", "start_time", "parent_policies", *dict(PARTITION_COLUMNS))
+
+
+def _log_columns(kind):
+    """The 44 or 50 data columns and 5 partition columns of a kind over ``_log_rows``, all with values."""
+    given = {"start_time": "start_time", "parent_policies": "parent_policies", "policies": "array(event_type, 'any')"}
+    value = lambda f, i: F.expr(given.get(f.name) or _VALUES[f.dataType.simpleString()].format(c=f.name, i=i))
+    own = dict(PARTITION_COLUMNS)
+    return [F.col(f.name) if f.name in own else value(f, i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema_for(kind).fields)]
+
+
+def _log_frame(spark, sf, kind):
+    """The full schema of a kind, derived from ``events``."""
+    return _log_rows(spark, sf, kind).select(*_log_columns(kind))
 
 
 _full_copies: dict[tuple, str] = {}
@@ -528,7 +538,7 @@ def _full_copy(spark, sf) -> str:
     if key not in _full_copies:
         root = scratch_path(spark, "logs")
         for k in ("dns", "proxy"):
-            write_partitioned(_log_frame(spark, sf, k), root, mode="append")
+            write_partitioned(_log_rows(spark, sf, k), root, mode="append", columns=_log_columns(k))
         _full_copies[key] = root
     return _full_copies[key]
 

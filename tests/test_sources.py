@@ -112,3 +112,42 @@ def test_refresh_plan_has_one_range_shuffle(spark, small_log):
     tagged, cols, _, _ = refresh_plan(spark, small_log, spec, NOW, read_snapshot(spark, prev, cols), hourly=True)
     plan = sort_by_start_time(tagged, 4, tiebreak=cols)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
+
+
+@pytest.fixture
+def own_events(spark, tmp_dir):
+    """A few events of both kinds: some of one hour, one twice, null times, users and types."""
+    rows = [(i, None if i == 3 else f"2024-01-{30 + i % 2} 0{i % 3}:00:0{i % 10}", None if i == 4 else i, None if i == 5 else "error", '{"k": 1}') for i in [*range(24), 7]]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string")
+    events.withColumn("ts", F.expr("CAST(ts AS timestamp_ntz)")).write.parquet(f"{tmp_dir}/events.parquet")
+    return tmp_dir
+
+
+@pytest.mark.parametrize("kind", ["dns", "proxy"])
+def test_full_schema_rows_shuffle_and_sort_narrow(spark, own_events, monkeypatch, kind):
+    """The stored copy of the full schema shuffles and sorts what its columns are computed from, not the 49 or 55 columns,
+    and the partitioned write sorts no second time; every row comes back as computed without a write."""
+    import re
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from hitfeed import registry
+    from hitfeed.functions.render import render_nested
+    written, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (written.append(self._df), parquet(self, *a, **b))[1])
+    got = registry.QUERIES[f"read_{kind}_full_schema"](spark, own_events)
+    want = render_nested(registry._log_frame(spark, own_events, kind))
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() >= 11
+    assert {len(df.columns) for df in written} == {49, 55}  # both kinds lie below the one root
+    for df in written:
+        name = f"hitfeed_narrow_{kind}_{len(df.columns)}"
+        df.createOrReplaceTempView(f"{name}_rows")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (subscriber, year, month, day, hour)")
+        try:
+            plan = spark.sql(f"EXPLAIN FORMATTED INSERT INTO {name} SELECT * FROM {name}_rows").first()[0]
+        finally:
+            spark.sql(f"DROP TABLE {name}")
+        moved = re.findall(r"\(\d+\) (Exchange|Sort)\s*\nInput \[(\d+)\]", plan)
+        assert [k for k, _ in moved] == ["Exchange", "Sort"] and all(int(n) < 12 for _, n in moved), plan
